@@ -1,6 +1,20 @@
-def queries():
-    return {}
+"""Registered queries over the driver's tables, each with its DuckDB SQL where SQL can express it."""
 
+from __future__ import annotations
 
-def oracle_sql():
-    return {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from . import bars, evaluation, indicators, portfolio, quality, stores
+from .base import ORACLES, QUERIES
+
+__all__ = ["bars", "evaluation", "indicators", "oracle_sql", "portfolio", "quality", "queries", "stores"]
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
