@@ -43,8 +43,8 @@ def _parameter(text: str) -> str:
 
 def canonical(name: str, aliases: dict[str, str] | None = None) -> str:
     """The canonical snake_case form of a column name; `aliases` (exact spellings) come first."""
-    if not name:
-        return name
+    if not name.strip():
+        return ""
     if aliases and name.strip() in aliases:
         return aliases[name.strip()]
     text = fold(name.strip())
