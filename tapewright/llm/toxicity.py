@@ -108,18 +108,32 @@ class SubwordSoftmax:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.logits(texts) + self.shift, -40, 40)))
 
 
+def _slices(texts: pa.Array, n: int = 64):
+    """(first, texts) in small runs, so that training needs little memory at a time."""
+    for at in range(0, len(texts), n):
+        yield at, texts.slice(at, n)
+
+
 class _Bags:
     """All bags of the training texts as slices of one array of known n-grams, with their full sizes."""
 
-    def __init__(self, grams: np.ndarray, hops: np.ndarray, hop_doc: np.ndarray, known: np.ndarray, span: int):
-        order = np.argsort(hops, kind="stable")
-        grams, hops = grams[order], hops[order]
+    def __init__(self, texts: pa.Array, known: np.ndarray, bag_words: int, hop: int):
+        place = np.full(BUCKETS, -1, np.int32)
+        place[known] = np.arange(len(known), dtype=np.int32)
+        held_grams, held_n, all_n, docs = [], [], [], []
+        for first, part in _slices(texts):
+            grams, hops, hop_doc = subwords(part, bag_words, hop)
+            at = place[grams]
+            ok = at >= 0
+            all_n.append(np.bincount(hops, minlength=len(hop_doc)))
+            held_n.append(np.bincount(hops[ok], minlength=len(hop_doc)))
+            held_grams.append(at[ok][np.argsort(hops[ok], kind="stable")])
+            docs.append(hop_doc + first)
+        hop_doc, span = np.concatenate(docs), bag_words // hop
         n = len(hop_doc)
-        size = np.concatenate([[0], np.cumsum(np.bincount(hops, minlength=n))])
-        at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
-        ok = known[at] == grams
-        self.grams = at[ok].astype(np.int32)
-        held = np.concatenate([[0], np.cumsum(np.bincount(hops[ok], minlength=n))])
+        size = np.concatenate([[0], np.cumsum(np.concatenate(all_n))])
+        self.grams = np.concatenate(held_grams)
+        held = np.concatenate([[0], np.cumsum(np.concatenate(held_n))])
         last = np.searchsorted(hop_doc, hop_doc, "right")
         end = np.minimum(np.arange(n) + span, last)
         self.begin, self.end, self.doc = held[:-1], held[end], hop_doc
@@ -131,7 +145,8 @@ class _Bags:
         return self.grams[np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.begin[idx], n)], row
 
     def values(self, margin: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0.0], np.cumsum(margin[self.grams], dtype=np.float64)])
+        total = np.zeros(len(self.grams) + 1)
+        np.cumsum(margin[self.grams], out=total[1:])
         return (total[self.end] - total[self.begin]) / self.size
 
     def best(self, value: np.ndarray, most: int) -> np.ndarray:
@@ -179,15 +194,15 @@ def fit_texts(texts: pa.Array, y: np.ndarray, dim: int = 4, bag_words: int = 12,
     none = SubwordSoftmax(np.zeros(BUCKETS, np.float32), 0.0, 0.0, -40.0, bag_words, hop)
     if not (y == 1).any() or not (y == 0).any():
         return none
-    grams, hops, hop_doc = subwords(texts, bag_words, hop)
-    if not len(grams):
-        return none
-    seen = np.unique(grams.astype(np.int64) * len(texts) + hop_doc[hops]) // len(texts)
-    known, docs_of = np.unique(seen, return_counts=True)
-    known = known[docs_of >= LEAST_DOCS]
+    docs_of = np.zeros(BUCKETS, np.int32)
+    for _, part in _slices(texts):
+        grams, hops, hop_doc = subwords(part, bag_words, hop)
+        if len(grams):
+            docs_of += np.bincount(np.unique(hop_doc[hops] * BUCKETS + grams) % BUCKETS, minlength=BUCKETS).astype(np.int32)
+    known = np.flatnonzero(docs_of >= LEAST_DOCS)
     if not len(known):
         return none
-    bags = _Bags(grams, hops, hop_doc, known, bag_words // hop)
+    bags = _Bags(texts, known, bag_words, hop)
     rng = np.random.default_rng(seed)
     e = ((rng.random((len(known), dim), np.float32) - 0.5) * 0.02).astype(np.float32)
     w = ((rng.random((dim, 2), np.float32) - 0.5) * 0.4).astype(np.float32)
@@ -221,7 +236,7 @@ def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(v[0] / scale), float(v[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, usable: Column | None = None, per_toxic: int = 500, per_clean: int = 1500, most_bytes: int = 6 << 20) -> SubwordSoftmax:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, usable: Column | None = None, per_toxic: int = 500, per_clean: int = 1500, most_bytes: int = 4 << 20) -> SubwordSoftmax:
     """Fit on at most per_toxic + per_clean labelled rows and about `most_bytes` of text (documented bounds).
 
     Of the drawn rows (the same ones on every run, broadcast) texts are taken in hash order until
@@ -232,7 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
         rows = rows.where(usable)
     rows = rows.select(col(id_col).alias("__i"), col(label_col).cast("int").alias("__y"))
     drawn = bounded_rows(rows.where("__y = 0"), per_clean, F.col("__i")).union(bounded_rows(rows.where("__y = 1"), per_toxic, F.col("__i"))).distinct()
-    found = docs.select(col(id_col).alias("__i"), col(text_col).alias("__t")).join(F.broadcast(drawn), "__i").where(F.octet_length("__t") <= most_bytes // 64)
+    found = docs.select(col(id_col).alias("__i"), col(text_col).alias("__t")).join(F.broadcast(drawn), "__i").where(F.octet_length("__t") <= most_bytes // 32)
     seen = found.dropDuplicates(["__i", "__y"]).toPandas().sort_values(["__i", "__y"])
     order = np.random.default_rng(5).permutation(len(seen))
     size = seen["__t"].fillna("").map(len).to_numpy()[order]
