@@ -1,7 +1,7 @@
 """Rules over bars: screening a day, scanning a range, audits.
 
-A rule's predicate is a Spark SQL boolean expression or a Column. All rules and all days are one plan: each select
-evaluates a chunk of rules and emits the hits of a row; selects are united.
+A rule's predicate is a Spark SQL boolean expression or a Column. All rules, all days and all symbols are one pass: a
+projection gathers the numbers of the rules that a row meets, one generator emits them, and their codes are looked up.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from ..functions import scalar as S
 
-#: Rules in one projection; more would overrun the size of generated code.
+#: Rules in one array expression and in one call of the analyser.
 CHUNK = 50
 
 
@@ -118,7 +118,11 @@ def _types(panel: DataFrame, rules: list[Rule]) -> list[T.DataType | str]:
     for at in range(0, len(rules), CHUNK):
         some = rules[at : at + CHUNK]
         try:
-            out += [f.dataType for f in panel.select(*[r.column().alias(f"p{i}") for i, r in enumerate(some)]).schema.fields]
+            columns = [r.predicate if isinstance(r.predicate, str) else r.predicate.alias("p") for r in some]
+            if all(isinstance(c, str) for c in columns):
+                out += [f.dataType for f in panel.selectExpr(*[f"({c}\n) as p{i}" for i, c in enumerate(columns)]).schema.fields]
+            else:
+                out += [f.dataType for f in panel.select(*[F.expr(c) if isinstance(c, str) else c for c in columns]).schema.fields]
         except AnalysisException as e:
             out += [str(e).split("\n")[0][:300]] if len(some) == 1 else [k for r in some for k in _types(panel, [r])]
     return out
@@ -126,9 +130,13 @@ def _types(panel: DataFrame, rules: list[Rule]) -> list[T.DataType | str]:
 
 def audit(panel: DataFrame, rules: list[Rule]) -> list[dict]:
     """What is wrong with each rule on this panel: code, ok, reason. Only the analyser works; no job runs."""
+    return _audit(rules, _types(panel, rules))
+
+
+def _audit(rules: list[Rule], kinds: list[T.DataType | str]) -> list[dict]:
     codes = Counter(r.code for r in rules)
     out = []
-    for r, kind in zip(rules, _types(panel, rules), strict=True):
+    for r, kind in zip(rules, kinds, strict=True):
         why = None
         if codes[r.code] > 1:
             why = "duplicate code"
@@ -152,42 +160,55 @@ def future_reference(text: str) -> bool:
     return any(re.search(p, text, re.IGNORECASE) for p in AHEAD)
 
 
-def usable(panel: DataFrame, rules: list[Rule], on_error: str = "skip") -> list[Rule]:
-    """Rules that the audit passes; others are skipped or raise."""
-    bad = {a["code"]: a["reason"] for a in audit(panel, rules) if not a["ok"]}
+def usable(panel: DataFrame, rules: list[Rule], on_error: str = "skip") -> list[tuple[Rule, T.DataType]]:
+    """Rules that the audit passes, with the types of their predicates; others are skipped or raise."""
+    kinds = _types(panel, rules)
+    found = _audit(rules, kinds)
+    bad = {a["code"]: a["reason"] for a in found if not a["ok"]}
     if bad and on_error == "raise":
         raise RuleError("; ".join(f"{c}: {why}" for c, why in bad.items()))
-    return [r for r in rules if r.code not in bad]
+    return [(r, k) for r, k, a in zip(rules, kinds, found, strict=True) if a["ok"]]
+
+
+def _text(value: str | None) -> str:
+    """A string as a SQL literal."""
+    if value is None:
+        return "cast(null as string)"
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def scan(panel: DataFrame, rules: list[Rule], start=None, end=None, on_error: str = "skip") -> DataFrame:
     """Signals (filter_code, grp, symbol, side, date) of all rules on all bars of [start, end], history first.
 
-    One row for each hit, codes being unique and bars too; a row's hits come from one generator, so a rule costs an
-    expression, not a pass.
+    One row for each hit, codes being unique and bars too. A rule costs an expression, not a pass over the panel.
     """
-    rules = usable(panel, rules, on_error)
+    good = usable(panel, rules, on_error)
     columns = "filter_code string, grp string, symbol string, side string, date date"
-    if not rules:
+    if not good:
         return panel.sparkSession.createDataFrame([], columns)
-    text = lambda v: F.lit(v).cast("string")
-    kinds = _types(panel, rules)
-    parts = []
-    for at in range(0, len(rules), CHUNK):
-        hits = []
-        for r, kind in zip(rules[at : at + CHUNK], kinds[at : at + CHUNK], strict=True):
-            c = S.known(r.column()) if isinstance(kind, T.BooleanType) else S.nonzero(r.column())
-            hits.append(F.struct(text(r.code).alias("filter_code"), text(r.group).alias("grp"), text(r.side).alias("side"), c.alias("hit")))
-        rows = panel.withColumn("__hits", F.filter(F.array(*hits), lambda h: h["hit"]))
-        if start is not None:
-            rows = rows.where(F.col("date") >= F.lit(start).cast("date"))
-        if end is not None:
-            rows = rows.where(F.col("date") <= F.lit(end).cast("date"))
-        parts.append(rows.select("symbol", "date", F.inline("__hits")).select("filter_code", "grp", "symbol", "side", "date"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    found = []
+    for at in range(0, len(good), CHUNK):
+        # texts go to Spark's parser as one expression, so that a rule costs no call of its own
+        texts, columns_ = [], []
+        for n, (r, kind) in enumerate(good[at : at + CHUNK], at):
+            truth = isinstance(kind, T.BooleanType)
+            if isinstance(r.predicate, str):
+                texts.append(f"if(coalesce(({r.predicate}\n), false), {n}, null)" if truth else f"if(coalesce(({r.predicate}\n), 0) <> 0, {n}, null)")
+            else:
+                columns_.append(F.when(S.known(r.predicate) if truth else S.nonzero(r.predicate), F.lit(n)))
+        if texts:
+            found.append(F.expr(f"array_compact(array({', '.join(texts)}))"))
+        if columns_:
+            found.append(F.array_compact(F.array(*columns_)))
+    every = found[0] if len(found) == 1 else F.concat(*found)
+    rows = panel.select("symbol", "date", every.alias("__hits"))  # before the days are cut: rules see all history
+    if start is not None:
+        rows = rows.where(F.col("date") >= F.lit(start).cast("date"))
+    if end is not None:
+        rows = rows.where(F.col("date") <= F.lit(end).cast("date"))
+    about = F.expr("array(" + ", ".join(f"named_struct('filter_code', {_text(r.code)}, 'grp', {_text(r.group)}, 'side', {_text(r.side)})" for r, _ in good) + ")")
+    hit = rows.select("symbol", "date", F.explode("__hits").alias("n"))
+    return hit.select("symbol", "date", F.get(about, F.col("n")).alias("r")).select("r.filter_code", "r.grp", "symbol", "r.side", "date")
 
 
 def scan_day(panel: DataFrame, rules: list[Rule], day, on_error: str = "skip") -> DataFrame:

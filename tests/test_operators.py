@@ -105,6 +105,8 @@ def test_rules_are_checked(spark):
         rules.scan_range(p, [rules.Rule("X")], "1990-01-01", "1990-02-01")
     assert rules.scan(p, [rules.Rule("N", "close - 1"), rules.Rule("T", "true", "g", "long")]).count() == 3
     assert rules.scan(p, []).count() == 0
+    rising = rules.Rule("UP", "close > lag(close) over (partition by symbol order by date)")
+    assert rules.scan_day(p, [rising, rules.Rule("IT'S \\", "true")], day(1)).count() == 2  # a day sees the history before it
     assert [a["reason"] for a in rules.audit(p, [rules.Rule("A", "shift(-1) > 0"), rules.Rule("S", "true", None, "foo")])] == ["looks ahead", "invalid side foo"]
     out, skipped = rules.add_crossovers(p)
     assert out.columns == p.columns and len(skipped) == 4
