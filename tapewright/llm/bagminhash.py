@@ -111,17 +111,56 @@ def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
     return acc.view(np.int64)
 
 
-def weighted_jaccard(left: pa.Array, right: pa.Array) -> np.ndarray:
-    """Exact multiset Jaccard of the shingles of two text columns, row by row; two texts without words give 1."""
+def _counts(side: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    e, c, d = multisets(*shingles(side))
+    return e, c, d, np.bincount(d, weights=c, minlength=n)
+
+
+def compare(left: pa.Array, right: pa.Array, threshold: float | None = None) -> tuple[np.ndarray, list[pa.Array]]:
+    """Exact multiset Jaccard of the shingles of two text columns, row by row (two texts without words give 1), and, with
+    a threshold, token lists of the left text.
+
+    Tokens are int32 hashes of shingle occurrences: first those that the right text lacks (extra), then of those that it
+    has (common) as many as a prefix of n - ceil(threshold * n) + 1 tokens may still need, n being the left text's
+    occurrences. In any order of all occurrences that puts extra before common and depends on the right text alone, the
+    prefixes of two texts with at least this similarity share a token.
+    """
     n = len(left)
-    parts = []
-    for side in (left, right):
-        e, c, d = multisets(*shingles(side))
-        parts.append((e, c, d))
-    e, c, d = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((e, d))
-    e, c, d = e[order], c[order], d[order]
-    same = np.flatnonzero((e[1:] == e[:-1]) & (d[1:] == d[:-1]))
-    inter = np.bincount(d[same], weights=np.minimum(c[same], c[same + 1]), minlength=n)
-    total = np.bincount(d, weights=c, minlength=n)
-    return np.where(total > 0, inter / np.maximum(total - inter, 1), 1.0)
+    e, c, d, n_left = _counts(left, n)
+    f, g, h, n_right = _counts(right, n)
+    both, kind = np.concatenate([e, f]), np.repeat([0, 1], [len(e), len(f)])
+    row = np.concatenate([d, h])
+    order = np.lexsort((kind, both, row))
+    at = np.flatnonzero((both[order][1:] == both[order][:-1]) & (row[order][1:] == row[order][:-1]))
+    mine, theirs = order[at], order[at + 1] - len(e)
+    other = np.zeros(len(e), np.int64)
+    other[mine] = g[theirs]
+    inter = np.bincount(d, weights=np.minimum(c, other), minlength=n)
+    total = n_left + n_right
+    j = np.where(total > 0, inter / np.maximum(total - inter, 1), 1.0)
+    if threshold is None:
+        return j, []
+    rep = np.repeat(np.arange(len(e)), c)
+    occ = np.arange(len(rep)) - np.repeat(np.cumsum(c) - c, c)
+    token = (mix(e[rep] + occ.astype(U) * U(0x8CB92BA72F3D8DD7)) >> U(32)).astype(np.uint32).view(np.int32)
+    known, doc = occ < other[rep], d[rep]
+    n_extra = (n_left - inter).astype(np.int64)
+    fill = np.maximum(prefix_size(n_left, threshold) - n_extra, 0)
+    at = np.flatnonzero(known)
+    at = at[np.lexsort((token[at], doc[at]))]
+    n_common = inter.astype(np.int64)
+    nth = np.arange(len(at)) - np.repeat(np.cumsum(n_common) - n_common, n_common)
+    few = at[nth < fill[doc[at]]]
+
+    def lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values))
+
+    return j, [lists(token[~known], n_extra), lists(token[few], np.minimum(fill, n_common))]
+
+
+def prefix_size(n: np.ndarray, threshold: float) -> np.ndarray:
+    return (n - np.ceil(threshold * n - 1e-9) + 1).astype(np.int64) * (n > 0)
+
+
+def weighted_jaccard(left: pa.Array, right: pa.Array) -> np.ndarray:
+    return compare(left, right)[0]

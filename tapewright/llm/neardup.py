@@ -1,10 +1,13 @@
 """MinHash near-duplicates with BagMinHash signatures, bands and exact verification of the multiset overlap.
 
 1. Equal texts become one member, their least id (hashes are shuffled, not texts).
-2. Members whose signatures share a band meet in a bucket. Each is held against its bucket's least member, exactly.
-3. Components of the links found so far; then what a bucket holds of other components is held against the rest of the
-   bucket, unless the exact similarities to the common leader already rule a link out: 1 - J is a metric, so
-   |J(a, L) - J(b, L)| > 1 - threshold proves J(a, b) < threshold. Members of one component need no further link.
+2. Members whose signatures share a band meet in a bucket. Each is held, exactly, against its bucket's leader, the member
+   that meets most others.
+3. Components of the links found so far; then what met a leader and is of another component is held against all that met
+   that leader, unless an exact bound rules a link out. Two members that are near enough must share a token of their
+   prefixes, where what the leader lacks comes first and of that the rarest: copies with edits of their own do not meet.
+   And 1 - J is a metric, so |J(a, L) - J(b, L)| > 1 - threshold proves J(a, b) < threshold. Members of one component
+   need no further link.
 4. Components again. No candidate is capped or sampled.
 """
 
@@ -13,10 +16,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bagminhash import band_keys, multisets, shingles, signatures, weighted_jaccard
+from .bagminhash import band_keys, compare, multisets, shingles, signatures
 from .common import append, col, stash, steps
 from .components import connected_components
 
@@ -38,8 +42,9 @@ def with_bands(docs: DataFrame, text_col: str, bands: int, rows: int) -> DataFra
     return append(docs, text_col, [T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("n_shingles", T.LongType())], make)
 
 
-def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b) of member ids and (id, t) -> (a, b, j): the exact weighted Jaccard of each pair."""
+def verify(pairs: DataFrame, texts: DataFrame, threshold: float | None = None) -> DataFrame:
+    """(a, b) of member ids and (id, t) -> (a, b, j[, extra, common]): the exact weighted Jaccard of each pair, and with a
+    threshold the tokens of a against b (see bagminhash.compare)."""
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def run(batches):
@@ -52,9 +57,10 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 for right in steps(whole.column(3)):
                     part = whole.slice(done, len(right))
                     done += len(right)
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(weighted_jaccard(part.column(2), part.column(3)))], names=["a", "b", "j"])
+                    j, tokens = compare(part.column(2), part.column(3), threshold)
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(j), *tokens], names=["a", "b", "j", "extra", "common"][: 3 + len(tokens)])
 
-    return both.mapInArrow(run, "a long, b long, j double")
+    return both.mapInArrow(run, "a long, b long, j double" + (", extra array<int>, common array<int>" if threshold else ""))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 32, rows: int = 6) -> DataFrame:
@@ -71,34 +77,49 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     own = stash(base.select("id", F.md5(F.col("t").cast("binary")).alias("digest")).join(member.select("digest", "m"), "digest").select("id", "m").distinct())
 
     bucket = stash(member.where("bands is not null").select(F.explode("bands").alias("k"), "m", "n"))
-    lead = bucket.groupBy("k").agg(F.min("m").alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    met = stash(bucket.join(lead, "k").select("k", "m", "n", "lead"))
+    shared = bucket.groupBy("k").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    crowded = stash(bucket.join(shared, "k"))
+    # the member that meets most others leads its buckets: in a family of copies that is the original, near to all
+    pull = crowded.groupBy("m").agg(F.sum("size").alias("pull"))
+    led = stash(crowded.join(pull, "m"))
+    lead = led.groupBy("k").agg(F.max_by("m", F.struct("pull", (-F.col("m")).alias("o"))).alias("lead"))
+    met = stash(led.join(lead, "k").select("k", "m", "n", "lead"))
     pairs = met.where("m <> lead").select(F.col("m").alias("a"), F.col("lead").alias("b")).distinct()
     needed = met.select(F.col("m").alias("id")).distinct()
     texts = stash(base.join(own.where("id = m").select("id"), "id", "left_semi").join(needed.hint("shuffle_hash"), "id", "left_semi"))
-    links = stash(verify(pairs, texts))
+    links = stash(verify(pairs, texts, threshold))
 
     copies = own.where("id <> m").select(F.col("id").alias("u"), F.col("m").alias("v"))
     near = links.where(F.col("j") >= threshold).select(F.col("a").alias("u"), F.col("b").alias("v"))
     first = stash(connected_components(near))
 
-    # What a bucket holds of other components than its leader's, against all of the bucket.
+    # members of other components than their leader's, against all that met the same leader
+    part = first.select("id", "component")
     placed = (
-        met.join(links.select(F.col("a").alias("m"), F.col("b").alias("lead"), "j"), ["m", "lead"], "left")
-        .join(first.select(F.col("id").alias("m"), F.col("component").alias("c")), "m", "left")
-        .select("k", "m", "n", "lead", F.coalesce("j", F.lit(1.0)).alias("j"), F.coalesce("c", "m").alias("c"))
+        links.join(part.select(F.col("id").alias("a"), F.col("component").alias("c")), "a", "left")
+        .join(part.select(F.col("id").alias("b"), F.col("component").alias("lead_c")), "b", "left")
+        .join(member.select(F.col("m").alias("a"), "n"), "a")
+        .withColumns({"c": F.coalesce("c", "a"), "lead_c": F.coalesce("lead_c", "b")})
+        .withColumn("apart", F.col("c") != F.col("lead_c"))
     )
-    placed = stash(placed)
-    heads = placed.where("m = lead").select("k", F.col("c").alias("lead_c"))
-    other = placed.where("m <> lead").join(heads, "k").where("c <> lead_c")
+    open_ = placed.where("apart").groupBy("b").agg(F.count(F.lit(1)).alias("others"))
+    live = stash(placed.join(open_.select("b"), "b").select("b", F.col("a").alias("m"), "n", "j", "c", "apart", "extra", "common"))
+    # the order of a leader's extra tokens: the rarest first; of each member just the prefix is kept
+    extra = live.select("b", "m", "n", F.explode("extra").alias("tok"))
+    often = extra.groupBy("b", "tok").agg(F.count(F.lit(1)).alias("often"))
+    long_enough = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
+    nth = F.row_number().over(W.partitionBy("b", "m").orderBy("often", "tok"))
+    rare = extra.join(often, ["b", "tok"]).withColumn("nth", nth).where(F.col("nth") <= long_enough).where("often > 1").select("b", "m", "tok", "nth")
+    filled = live.select("b", "m", F.size("extra").alias("before"), F.posexplode("common").alias("at", "tok")).select("b", "m", "tok", (F.col("before") + F.col("at") + 1).alias("nth"))
+    tokens = stash(rare.union(filled).join(live.drop("extra", "common"), ["b", "m"]))
     slack = 1.0 - threshold + 1e-9
-    x, y = other.alias("x"), placed.where("m <> lead").alias("y")
+    x, y = tokens.where("apart").alias("x"), tokens.alias("y")
+    same = (F.col("x.b") == F.col("y.b")) & (F.col("x.tok") == F.col("y.tok")) & (F.col("x.c") != F.col("y.c")) & (~F.col("y.apart") | (F.col("x.m") < F.col("y.m")))
     near_enough = (F.abs(F.col("x.j") - F.col("y.j")) <= slack) & (F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * threshold)
-    rest = (
-        x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.c") != F.col("y.c")) & near_enough)
-        .select(F.least("x.m", "y.m").alias("a"), F.greatest("x.m", "y.m").alias("b"))
-        .distinct()
-    )
+    # at their first shared token, what may still be shared must reach the overlap that the sizes ask for
+    overlap = F.ceil((F.col("x.n") + F.col("y.n")) * (threshold / (1 + threshold)) - 1e-6)
+    reach = (F.col("x.n") - F.col("x.nth") + 1 >= overlap) & (F.col("y.n") - F.col("y.nth") + 1 >= overlap)
+    rest = x.join(y, same & near_enough & reach).select(F.least("x.m", "y.m").alias("a"), F.greatest("x.m", "y.m").alias("b")).distinct()
     more = verify(stash(rest), texts).where(F.col("j") >= threshold).select(F.col("a").alias("u"), F.col("b").alias("v"))
     merged = connected_components(copies.union(first.select(F.col("id").alias("u"), F.col("component").alias("v"))).union(more))
     return (
@@ -107,8 +128,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Drop all rows of a class but those of its least id (of rows that repeat that id, one); columns as they were."""
+    """Drop all rows of a class but one of its least id (of rows that repeat that id, the one of least text); columns as
+    they were. Rows with a null id stay.
+
+    Only ids that go or repeat are joined to the documents, and only rows that repeat an id are shuffled by it.
+    """
     found = classes(docs, id_col, text_col, **options)
-    drop = found.where("id <> class_id").select(F.col("id").alias("__drop"))
-    kept = docs.join(drop, col(id_col) == F.col("__drop"), "left_anti")
-    return kept
+    gone = found.where("id <> class_id").select(F.col("id").alias("__mark"))
+    again = docs.where(col(id_col).isNotNull()).groupBy(col(id_col).cast("long").alias("__mark")).count().where("count > 1").select("__mark")
+    marks = stash(gone.withColumn("__gone", F.lit(True)).union(again.withColumn("__gone", F.lit(False))).groupBy("__mark").agg(F.bool_or("__gone").alias("__gone")))
+    key = col(id_col).cast("long") == F.col("__mark")
+    single = docs.join(marks, key, "left_anti")
+    repeated = docs.join(marks.where("not __gone"), key, "left_semi")
+    first = repeated.withColumn("__n", F.row_number().over(W.partitionBy(col(id_col)).orderBy(col(text_col)))).where("__n = 1").drop("__n")
+    return single.unionByName(first)
