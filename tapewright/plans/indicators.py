@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import indicators as I
 from ..sources import bars as B
-from .base import query, r4, settled
+from .base import query, r4, r8, settled
 
 
 def _roll(n: int) -> str:
@@ -46,12 +46,12 @@ def rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "i3_wma",
-    f"""SELECT symbol, date, CASE WHEN n >= 5 THEN {r4('(5 * close + 4 * lag(close, 1) OVER w + 3 * lag(close, 2) OVER w + 2 * lag(close, 3) OVER w + lag(close, 4) OVER w) / 15')} END AS wma_5
+    f"""SELECT symbol, date, CASE WHEN n >= 5 THEN {r8('(5 * close + 4 * lag(close, 1) OVER w + 3 * lag(close, 2) OVER w + 2 * lag(close, 3) OVER w + lag(close, 4) OVER w) / 15')} END AS wma_5
         FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date)""",
     ("bars",),
 )
 def wma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return settled(I.add_named(B.panel(spark, sf_dir), ["wma_5"]).select("symbol", "date", "wma_5"), "wma_5")
+    return settled(I.add_named(B.panel(spark, sf_dir), ["wma_5"]).select("symbol", "date", "wma_5"), "wma_5", digits=8)
 
 
 @query(
