@@ -239,8 +239,8 @@ def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, usable: Column | None = None, per_toxic: int = 500, per_clean: int = 1500, most_bytes: int = 4 << 20) -> SubwordSoftmax:
     """Fit on at most per_toxic + per_clean labelled rows and about `most_bytes` of text (documented bounds).
 
-    Of the drawn rows (the same ones on every run, broadcast) texts are taken in hash order until
-    the bytes are spent; a text that would overrun them alone is left to the others.
+    Of the drawn rows (the same ones on every run, broadcast) texts are taken in a fixed order until the bytes are spent;
+    a text of more than a thirty-second of them is left to the others.
     """
     rows = labels.where(col(label_col).isin(0, 1) & col(id_col).isNotNull())
     if usable is not None:
@@ -248,12 +248,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     rows = rows.select(col(id_col).alias("__i"), col(label_col).cast("int").alias("__y"))
     drawn = bounded_rows(rows.where("__y = 0"), per_clean, F.col("__i")).union(bounded_rows(rows.where("__y = 1"), per_toxic, F.col("__i"))).distinct()
     found = docs.select(col(id_col).alias("__i"), col(text_col).alias("__t")).join(F.broadcast(drawn), "__i").where(F.octet_length("__t") <= most_bytes // 32)
-    seen = found.dropDuplicates(["__i", "__y"]).toPandas().sort_values(["__i", "__y"])
-    order = np.random.default_rng(5).permutation(len(seen))
-    size = seen["__t"].fillna("").map(len).to_numpy()[order]
-    take = np.sort(order[np.cumsum(size) <= most_bytes])
-    seen = seen.iloc[take]
-    return fit_texts(pa.array(seen["__t"].tolist(), pa.string()), seen["__y"].to_numpy())
+
+    def train(batches):
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        seen = pa.Table.from_batches(held).to_pandas().sort_values(["__i", "__y"])
+        order = np.random.default_rng(5).permutation(len(seen))
+        size = seen["__t"].fillna("").map(len).to_numpy()[order]
+        seen = seen.iloc[np.sort(order[np.cumsum(size) <= most_bytes])]
+        m = fit_texts(pa.array(seen["__t"].tolist(), pa.string()), seen["__y"].to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array([m.margins.tobytes()]), pa.array([m.bias]), pa.array([m.slope]), pa.array([m.shift])], names=["margins", "bias", "slope", "shift"])
+
+    # the bounded sample is trained on in one task, so that the driver needs no room for it
+    rows = found.dropDuplicates(["__i", "__y"]).repartition(1).mapInArrow(train, "margins binary, bias double, slope double, shift double").collect()
+    if not rows:
+        return SubwordSoftmax(np.zeros(BUCKETS, np.float32), 0.0, 0.0, -40.0)
+    return SubwordSoftmax(np.frombuffer(rows[0]["margins"], np.float32), rows[0]["bias"], rows[0]["slope"], rows[0]["shift"])
 
 
 def predict(docs: DataFrame, model: SubwordSoftmax, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
