@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from .common import col, stash, steps, without
 
 #: Words (and as many pre-tokens) that a generation of a Python worker's memory holds; the generation before is kept too.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 400_000
 _MEMO: dict[str, tuple] = {}
 
 
@@ -59,37 +59,49 @@ class WordTokenizer:
         if len(self.memo) > MEMO_WORDS:
             self.memo, self.old_memo = {}, self.memo
         words = [t.split() for t in texts]
-        self.learn(set().union(*words).difference(self.memo))
-        get = self.memo.__getitem__
+        # the batch's own words in a small table, so that most lookups stay in the processor's cache
+        known, local, new = self.memo.get, {}, []
+        for w in set().union(*words):
+            if (ids := known(w)) is None:
+                new.append(w)
+            else:
+                local[w] = ids
+        self.learn(new, local)
+        get = local.__getitem__
         return [b"".join(map(get, w)) for w in words]
 
-    def learn(self, words: set[bytes]) -> None:
+    def learn(self, words: list[bytes], local: dict[bytes, bytes]) -> None:
+        """Add words to the memory and to the batch's table."""
         if len(self.pieces) > MEMO_WORDS:
             self.pieces, self.old_pieces = {}, self.pieces
-        memo, old, pieces = self.memo, self.old_memo, self.pieces
-        split: list[tuple[bytes, list[str]]] = []
+        memo, old, pieces = self.memo, self.old_memo.get, self.pieces
+        wait: list[tuple[bytes, list[str]]] = []
         new: set[str] = set()
         for w in words:
-            if (known := old.get(w)) is not None:
-                memo[w] = known
-                continue
-            text = w.decode()
-            # most words are letters with one mark at the end or none
-            stem = text[:-1] if text[-1] in ".,!?;:" else text
-            if stem.isalpha() and (stem.isascii() or (max(stem) < "\u0250" and "\u0130" not in stem)):
-                parts = [stem.lower()] if stem is text else [stem.lower(), text[-1]]
-            elif self.plain(text):
-                parts = self.cut(text.lower())
-            else:
-                memo[w] = self.whole(text)
-                continue
-            split.append((w, parts))
-            for part in parts:
-                if part not in pieces:
-                    new.add(part)
-        self.learn_pieces(new)
-        for w, parts in split:
-            memo[w] = pieces[parts[0]] if len(parts) == 1 else b"".join([pieces[p] for p in parts])
+            if (ids := old(w)) is None:
+                text = w.decode()
+                # most words are letters with one mark at the end or none
+                stem, mark = (text[:-1], text[-1]) if text[-1] in ".,!?;:" else (text, "")
+                if stem.isalpha() and (stem.isascii() or (max(stem) < "\u0250" and "\u0130" not in stem)):
+                    stem = stem.lower()
+                    ids = pieces.get(stem)
+                    if ids is not None and mark:
+                        end = pieces.get(mark)
+                        ids = ids + end if end is not None else None
+                    if ids is None:
+                        parts = [stem, mark] if mark else [stem]
+                elif self.plain(text):
+                    parts = self.cut(text.lower())
+                else:
+                    ids = self.whole(text)
+                if ids is None:
+                    wait.append((w, parts))
+                    new.update(parts)
+                    continue
+            memo[w] = local[w] = ids
+        self.learn_pieces(new.difference(pieces))
+        for w, parts in wait:
+            memo[w] = local[w] = pieces[parts[0]] if len(parts) == 1 else b"".join([pieces[p] for p in parts])
 
     def learn_pieces(self, new: set[str]) -> None:
         known = self.old_pieces
