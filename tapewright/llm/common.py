@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that one vectorised step works on; a longer document makes a step of its own.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 512 << 10
 
 
 def col(name: str) -> Column:
@@ -164,5 +164,6 @@ def append(df: DataFrame, text_col: str, fields: list[T.StructField], make: Call
                 whole = batch.slice(at, len(part))
                 at += len(part)
                 yield pa.RecordBatch.from_arrays([*(whole.column(i) for i in keep_at), *fn(part)], names=schema.names)
+        pa.default_memory_pool().release_unused()  # the worker process lives on
 
     return df.mapInArrow(run, schema)
