@@ -14,6 +14,14 @@ from .bars import bench_pct, signals, trade_table
 from .base import long, query, r4, scratch, settled
 
 
+@query("k5_s3_symbol_store_whole", "SELECT symbol, date, open, high, low, close, volume FROM panel", ("panel",))
+def symbol_store_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K-5: the panel written by symbol, all of it read back."""
+    path = scratch(spark)
+    writers.symbol_store(B.panel(spark, sf_dir), path)
+    return spark.read.parquet(path).select(F.col("symbol").cast("string").alias("symbol"), "date", "open", "high", "low", "close", "volume")
+
+
 @query("k5_s3_symbol_store", "SELECT symbol, date, close FROM panel WHERE symbol IN ('S1', 'S3', 'S7') AND date BETWEEN DATE '1997-01-01' AND DATE '1999-12-31'", ("panel",))
 def symbol_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K-5, S-1, S-3: written by symbol, read for some symbols, dates and columns."""
@@ -22,15 +30,29 @@ def symbol_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.prices(spark, path, ["S1", "S3", "S7"], "1997-01-01", "1999-12-31", ["close"])
 
 
-@query("k1_s8_daily_signals", "SELECT date, symbol, filter_code FROM signals WHERE date BETWEEN DATE '1998-01-01' AND DATE '1998-03-31'", ("signals",))
-def daily_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K-1, S-8: a folder a day, read back as one table."""
+@query("k1_s8_daily_signals_whole", "SELECT DISTINCT date, symbol, filter_code FROM signals", ("signals",))
+def daily_signals_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K-1, S-8: all signals in a folder a day, read back as one table."""
     path = scratch(spark)
-    s = signals(spark, sf_dir).where("date between '1998-01-01' and '1998-03-31'")
-    writers.daily_signals(s, path)
+    writers.daily_signals(signals(spark, sf_dir), path)
     return spark.read.schema("symbol string, filter_code string, date date").option("header", True).csv(f"{path}/signals").select("date", "symbol", "filter_code")
 
 
+@query("k1_s8_daily_signals", "SELECT date, symbol, filter_code FROM signals WHERE date BETWEEN DATE '1998-01-01' AND DATE '1998-03-31'", ("signals",))
+def daily_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K-1, S-8: all signals written, of which the folders of three months are read."""
+    return daily_signals_whole(spark, sf_dir).where("date between '1998-01-01' and '1998-03-31'")
+
+
+@query("k1_days_written_whole", "SELECT date, CAST(coalesce(n, 0) AS BIGINT) AS signals FROM cal LEFT JOIN (SELECT date, count(*) AS n FROM (SELECT DISTINCT date, symbol, filter_code FROM signals) GROUP BY date) USING (date)", ("signals", "cal"))
+def days_written_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K-1: all signals written, counted on every trading day of the panel's span."""
+    from ..operators.calendar import trading_days
+
+    days = trading_days(B.panel(spark, sf_dir))
+    return writers.daily_signals(signals(spark, sf_dir), scratch(spark), days).select("date", long("signals").alias("signals"))
+
+
 @query("k1_days_written", "SELECT date, CAST(coalesce(n, 0) AS BIGINT) AS signals FROM cal LEFT JOIN (SELECT date, count(*) AS n FROM (SELECT DISTINCT date, symbol, filter_code FROM signals WHERE symbol IN ('S1', 'S2')) GROUP BY date) USING (date) WHERE date BETWEEN DATE '1998-01-01' AND DATE '1998-03-31'", ("signals", "cal"))
 def days_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.calendar import trading_days
@@ -50,11 +72,11 @@ def report_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settled(readers.dated_csv(spark, f"{path}/days", "date date, n_trades long, mean_ret double, hit_ratio double").drop("hit_ratio"), "mean_ret")
 
 
-@query("k6_upsert", "SELECT symbol, date, close, volume FROM panel WHERE symbol IN ('S1', 'S2', 'S3', 'S4', 'S5') AND date BETWEEN DATE '1998-01-01' AND DATE '1998-06-30'", ("panel",))
-def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K-6: half, then all with other values for what is there, then all again: what came first stays, once."""
+@query("k6_upsert_whole", "SELECT symbol, date, close, volume FROM panel", ("panel",))
+def upsert_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K-6: half of the panel, then all with other values for what is there, then all again: what came first stays, once."""
     path = scratch(spark)
-    p = B.panel(spark, sf_dir).where(F.col("symbol").isin("S1", "S2", "S3", "S4", "S5") & F.col("date").between("1998-01-01", "1998-06-30")).select("symbol", "date", "close", "volume")
+    p = B.panel(spark, sf_dir).select("symbol", "date", "close", "volume")
     writers.upsert(p.where("day(date) <= 15"), path)
     changed = p.withColumn("close", F.when(F.dayofmonth("date") <= 15, F.col("close") + 1).otherwise(F.col("close")))
     writers.upsert(changed, path)
@@ -62,6 +84,12 @@ def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writers.read_store(spark, path).select("symbol", "date", "close", "volume")
 
 
+@query("k6_upsert", "SELECT symbol, date, close, volume FROM panel WHERE symbol IN ('S1', 'S2', 'S3', 'S4', 'S5') AND date BETWEEN DATE '1998-01-01' AND DATE '1998-06-30'", ("panel",))
+def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K-6: the whole panel upserted, of which five symbols and six months are read."""
+    return upsert_whole(spark, sf_dir).where(F.col("symbol").isin("S1", "S2", "S3", "S4", "S5") & F.col("date").between("1998-01-01", "1998-06-30"))
+
+
 @query("k7_high_water", "SELECT symbol, max(date) AS last_date FROM panel GROUP BY symbol", ("panel",))
 def high_water(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writers.high_water(B.panel(spark, sf_dir)).select("symbol", "last_date")
@@ -75,14 +103,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("filter_code string, n long").json(f"{path}/counts")
 
 
-@query("k11_retain", "SELECT symbol, date, close FROM panel WHERE symbol IN ('S1', 'S2') AND date BETWEEN DATE '1999-01-01' AND DATE '1999-06-30'", ("panel",))
-def retain(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("k11_retain_whole", "SELECT symbol, date, close FROM panel WHERE date >= DATE '1999-01-01'", ("panel",))
+def retain_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K-11: a store of the whole panel without what lies before the cutoff."""
     path = scratch(spark)
-    writers.upsert(B.panel(spark, sf_dir).where(F.col("symbol").isin("S1", "S2") & F.col("date").between("1998-07-01", "1999-06-30")).select("symbol", "date", "close"), f"{path}/a")
+    writers.upsert(B.panel(spark, sf_dir).select("symbol", "date", "close"), f"{path}/a")
     writers.retain(spark, f"{path}/a", "1999-01-01", f"{path}/b")
     return writers.read_store(spark, f"{path}/b").select("symbol", "date", "close")
 
 
+@query("k11_retain", "SELECT symbol, date, close FROM panel WHERE symbol IN ('S1', 'S2') AND date BETWEEN DATE '1999-01-01' AND DATE '1999-06-30'", ("panel",))
+def retain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K-11: the whole panel stored and cut, of which two symbols and half a year are read."""
+    return retain_whole(spark, sf_dir).where(F.col("symbol").isin("S1", "S2") & (F.col("date") <= "1999-06-30"))
+
+
 _EVENT_BARS = "SELECT 'U' || user_id AS symbol, CAST(ts AS DATE) AS date, last(value ORDER BY ts, event_id) AS close, {v} AS volume FROM events GROUP BY ALL"
 
 

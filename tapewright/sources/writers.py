@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 STORE_KEYS = ("symbol", "yyyymm")
 
 
+def _dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of a key together, in as many tasks as a shuffle has: folders, not bytes, are the work, and AQE would join small tasks to one."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def target(path: str, policy: str = "replace", now: dt.datetime | None = None) -> tuple[str, str]:
     """(path, Spark mode) of an overwrite policy: replace, fail or timestamp (a new path)."""
     if policy == "replace":
@@ -27,7 +32,7 @@ def daily_signals(signals: DataFrame, path: str, days: DataFrame | None = None,
     which empty days count too, and which is written beside them."""
     rows = signals.select("date", "symbol", "filter_code").dropDuplicates()
     where, mode = target(path, policy)
-    rows.repartition("date").sortWithinPartitions("date", "symbol", "filter_code").write.mode(mode).partitionBy("date").option("header", True).csv(f"{where}/signals")
+    _dealt(rows, "date").sortWithinPartitions("date", "symbol", "filter_code").write.mode(mode).partitionBy("date").option("header", True).csv(f"{where}/signals")
     counts = rows.groupBy("date").agg(F.count(F.lit(1)).alias("signals"))
     written = counts if days is None else days.select("date").join(counts, "date", "left").fillna({"signals": 0})
     written.write.mode(mode).parquet(f"{where}/days_written")
@@ -80,7 +85,7 @@ def upsert(new: DataFrame, path: str) -> DataFrame:
     spark = new.sparkSession
     rows = new.withColumn("yyyymm", F.date_format("date", "yyyyMM")).dropDuplicates(["symbol", "date"])
     if not _exists(spark, path):
-        rows.repartition(*STORE_KEYS).sortWithinPartitions("date").write.partitionBy(*STORE_KEYS).parquet(path)
+        _dealt(rows, *STORE_KEYS).sortWithinPartitions(*STORE_KEYS, "date").write.partitionBy(*STORE_KEYS).parquet(path)
         return rows
     store = spark.read.parquet(path).withColumns({"symbol": F.col("symbol").cast("string"), "yyyymm": F.col("yyyymm").cast("string")})
     touched = store.join(rows.select(*STORE_KEYS).distinct(), list(STORE_KEYS), "left_semi")
@@ -89,9 +94,9 @@ def upsert(new: DataFrame, path: str) -> DataFrame:
     merged = touched.join(months, list(STORE_KEYS), "left_semi").unionByName(added.select(*store.columns))
     # a month is read and overwritten in one job: the merged rows go to a side folder first
     side = f"{path.rstrip('/')}__merge"
-    merged.write.mode("overwrite").partitionBy(*STORE_KEYS).parquet(side)
+    merged.write.mode("overwrite").parquet(side)
     back = spark.read.schema(store.schema).parquet(side)
-    back.repartition(*STORE_KEYS).sortWithinPartitions("date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*STORE_KEYS).parquet(path)
+    _dealt(back, *STORE_KEYS).sortWithinPartitions(*STORE_KEYS, "date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*STORE_KEYS).parquet(path)
     return added
 
 
@@ -106,4 +111,5 @@ def high_water(store: DataFrame, source: str = "provider", ttl_hours: int = 0) -
 
 def retain(spark: SparkSession, path: str, cutoff: str, out: str) -> None:
     """Copy the store without bars before the cutoff (by their own date)."""
-    read_store(spark, path).where(F.col("date") >= F.lit(cutoff).cast("date")).write.mode("overwrite").partitionBy(*STORE_KEYS).parquet(out)
+    kept = read_store(spark, path).where(F.col("date") >= F.lit(cutoff).cast("date"))
+    _dealt(kept, *STORE_KEYS).sortWithinPartitions(*STORE_KEYS, "date").write.mode("overwrite").partitionBy(*STORE_KEYS).parquet(out)
