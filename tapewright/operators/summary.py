@@ -55,6 +55,16 @@ def rule_day(trades: DataFrame) -> DataFrame:
     return trades.where("return_pct is not null").groupBy("filter_code", "date").agg(F.avg("return_pct").alias("ret"), F.count(F.lit(1)).alias("n"))
 
 
+def rule_side_day(trades: DataFrame) -> DataFrame:
+    """rule_day for each side: filter_code, side, date, ret."""
+    return trades.where("return_pct is not null").groupBy("filter_code", "side", "date").agg(F.avg("return_pct").alias("ret"))
+
+
+def win_day(trades: DataFrame) -> DataFrame:
+    """The long form of win_rate_by_day: filter_code, date, win_rate."""
+    return trades.where("return_pct is not null").groupBy("filter_code", "date").agg(F.avg(F.col("win").cast("double")).alias("win_rate"))
+
+
 def rule_metrics(trades: DataFrame, bench_pct: DataFrame) -> DataFrame:
     """filter_code, mean_ret, bench_mean_ret, alpha_ret, hit_ratio, n_trades.
 

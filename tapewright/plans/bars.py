@@ -82,6 +82,13 @@ def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.wide_to_long(w).where("close is not null")
 
 
+@query("s9_wide_to_long_whole", "SELECT symbol, date, close, volume FROM panel", ("panel",))
+def wide_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S-9: a two-field wide panel of all symbols and back."""
+    w = B.panel(spark, sf_dir).groupBy("date").pivot("symbol").agg(F.first("close").alias("close"), F.first("volume").alias("volume"))
+    return readers.wide_to_long(w).where("close is not null")
+
+
 @query("t1_t2_canonical_names", "SELECT 'S' || l_suppkey AS symbol, l_extendedprice AS close, l_quantity AS volume, l_tax AS sma_20, l_discount AS bbu_20_2 FROM lineitem")
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T-1, T-2, T-4: provider spellings to canonical names; of two closes the first stays."""
@@ -193,6 +200,11 @@ def keep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.keep(smas(spark, sf_dir), "sma_5 > sma_10 and symbol in ('S1', 'S2')").select("symbol", "date", "close")
 
 
+@query("p14_keep_whole", "SELECT symbol, date, close FROM smas WHERE coalesce(sma_5 > sma_10, false)", ("smas",))
+def keep_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.keep(smas(spark, sf_dir), "sma_5 > sma_10").select("symbol", "date", "close")
+
+
 @query("p15_p16_scan_day", "SELECT filter_code, grp, symbol, side, date FROM signals WHERE date = DATE '1998-06-15'", ("signals",))
 def scan_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P-15, P-16: one day, on the whole history."""
@@ -229,6 +241,17 @@ def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.rule_audit(p, [*RULES[:2], rules.Rule("BROKEN", "no_such_column > 1")], days).select("code", "date", "hits")
 
 
+@query(
+    "q4_k10_rule_audit_whole",
+    "SELECT r.code, d.date, coalesce(h.hits, 0) AS hits FROM (VALUES ('DOWN_DAY'), ('UP_DAY'), ('BROKEN')) r(code) CROSS JOIN (SELECT DISTINCT date FROM panel) d LEFT JOIN (SELECT filter_code, date, count(*) AS hits FROM signals GROUP BY ALL) h ON h.filter_code = r.code AND h.date = d.date",
+    ("signals", "panel"),
+)
+def audit_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q-4, K-10: every day of the panel."""
+    p = smas(spark, sf_dir)
+    return rules.rule_audit(p, [*RULES[:2], rules.Rule("BROKEN", "no_such_column > 1")], p.select("date").distinct()).select("code", "date", "hits")
+
+
 # ------------------------------------------------------------------ calendars and trades
 
 
@@ -263,6 +286,12 @@ def missing_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.check_missing(p.where(F.col("symbol").isin("S1", "S2", "S3")), C.trading_days(p), raise_error=False)
 
 
+@query("q9_missing_panel_days_whole", "SELECT date FROM cal WHERE date NOT IN (SELECT date FROM panel)", ("panel", "cal"))
+def missing_panel_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = B.panel(spark, sf_dir)
+    return C.check_missing(p, C.trading_days(p), raise_error=False)
+
+
 @query("b1_j1_trades", f"SELECT filter_code, grp, symbol, date, entry_close, exit_date, exit_close, coalesce(side, 'long') AS side, {r4('return_pct')} AS return_pct, return_pct > 0 AS win, CASE WHEN exit_close IS NULL THEN 'Invalid ExitClose' END AS reason FROM trades", ("trades",))
 def trades_one_bar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B-1, J-1, J-2, W-2: the next bar of each symbol."""
@@ -287,6 +316,15 @@ def reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settled(trades.returns(f, s, 3, 0.2, C.trading_days(p)).select("symbol", "date", "entry_close", "exit_date", "exit_close", "side", "reason", "return_pct"), "return_pct")
 
 
+@query("b2_b4_reasons_whole", _REASONS.replace(" WHERE day(date) BETWEEN 10 AND 20", ""), ("panel", "flawed", "cal"))
+def reasons_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B-2, B-3, B-4, J-4: a signal for every bar of the panel."""
+    p, f = B.panel(spark, sf_dir), flawed(spark, sf_dir)
+    day = F.dayofmonth("date")
+    s = p.select(F.lit("A").alias("filter_code"), "symbol", F.when(day % 4 == 0, "foo").when(day % 4 == 1, "SHORT ").when(day % 4 == 2, "").alias("side"), "date")
+    return settled(trades.returns(f, s, 3, 0.2, C.trading_days(p)).select("symbol", "date", "entry_close", "exit_date", "exit_close", "side", "reason", "return_pct"), "return_pct")
+
+
 # ------------------------------------------------------------------ summaries
 
 
@@ -331,6 +369,18 @@ def win_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settled(out.select("filter_code", *[F.col(f"`{d}`").alias(f"d{i}") for i, d in enumerate(_SOME_DAYS)]), "d0", "d1", "d2")
 
 
+@query("a4_rule_by_day_whole", f"SELECT filter_code, coalesce(side, 'long') AS side, date, {r4('avg(return_pct)')} AS mean_ret FROM trades WHERE return_pct IS NOT NULL GROUP BY ALL", ("trades",))
+def rule_by_day_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-4: every day, in the long form."""
+    return settled(summary.rule_side_day(trade_table(spark, sf_dir)).select("filter_code", "side", "date", F.col("ret").alias("mean_ret")), "mean_ret")
+
+
+@query("a24_win_rate_whole", f"SELECT filter_code, date, {r4('avg(CAST(return_pct > 0 AS DOUBLE))')} AS win_rate FROM trades WHERE return_pct IS NOT NULL GROUP BY ALL", ("trades",))
+def win_rate_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-24: every day, in the long form."""
+    return settled(summary.win_day(trade_table(spark, sf_dir)), "win_rate")
+
+
 @query("a5_o3_ranked_rules", f"SELECT * EXCLUDE (n_trades, hit_ratio), CAST(row_number() OVER (ORDER BY alpha_ret DESC, filter_code) AS INTEGER) AS place FROM ({_METRICS.replace('WITH per', 'WITH per')}) LIMIT 2", ("trades", "bench_pct"))
 def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A-5, O-3: the two best rules by alpha."""
@@ -344,6 +394,14 @@ def against(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settled(summary.against_benchmark(t, bench_pct(spark, sf_dir)), "diff")
 
 
+@query("a6_against_benchmark_whole", f"SELECT filter_code, date, {r4('avg(return_pct) - any_value(bench_ret)')} AS diff FROM trades JOIN bench_pct USING (date) WHERE return_pct IS NOT NULL AND bench_ret IS NOT NULL GROUP BY ALL", ("trades", "bench_pct"))
+def against_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-6: all days but those that the benchmark has no value for."""
+    bench = bench_pct(spark, sf_dir)
+    t = trade_table(spark, sf_dir).join(F.broadcast(bench.where("bench_ret is not null").select("date")), "date", "left_semi")
+    return settled(summary.against_benchmark(t, bench), "diff")
+
+
 @query("a7_trade_days", f"SELECT date, count(*) AS n_trades, {r4('avg(return_pct)')} AS mean_ret, {r4('avg(CAST(return_pct > 0 AS DOUBLE))')} AS hit_ratio FROM trades WHERE return_pct IS NOT NULL GROUP BY date", ("trades",))
 def trade_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settled(summary.trade_days(trade_table(spark, sf_dir)), "mean_ret", "hit_ratio")

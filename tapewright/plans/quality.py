@@ -91,6 +91,14 @@ def absent_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.absent_inputs(spark, names, "1998-01-01", "1998-12-31")
 
 
+@query("q10_absent_inputs_whole", "SELECT date FROM cal WHERE date NOT IN (SELECT date FROM panel)", ("panel", "cal"))
+def absent_inputs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q-10: the days of all symbols over the panel's span."""
+    p = B.panel(spark, sf_dir)
+    start, end = p.agg(F.min("date").cast("string"), F.max("date").cast("string")).first()
+    return Q.absent_inputs(spark, p.select(F.concat(F.lit("signals_"), F.col("date").cast("string"), F.lit(".csv")).alias("name")), start, end)
+
+
 @query("j8_unknown_codes", "SELECT DISTINCT filter_code, symbol FROM signals WHERE filter_code <> 'UP_DAY'", ("signals",))
 def unknown_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bars import signals
