@@ -38,8 +38,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document appears as often as the mix takes it: not at all, once or twice."""
-    return _as_documents(mixing.mix(docs, mixing.make_plan(docs)), docs)
+    """A document appears as often as the mix takes it: not at all, once or twice; rows lie by shard, shuffled in each."""
+    return _as_documents(mixing.in_order(mixing.mix(docs, mixing.make_plan(docs))), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Mixing sources to target weights.
 
 Each source's documents are dealt by hash into blocks, a radix tree of 256 ways. A source's share of the mix is whole
-epochs of all its blocks plus a part: blocks in a random order until the target is reached, the block where it is
-reached being cut the same way one level deeper, down to a small leaf whose documents fill what is left. The drawn block
+epochs of all its blocks plus a part: blocks in order of the hash that dealt them, seeded and hence random, until the target is
+reached, the block where it is reached being cut the same way one level deeper, down to a small leaf whose documents fill what is left. The drawn block
 quotas are then split among output shards by a multivariate-hypergeometric splitting tree: each node draws how many
 blocks of every source go left, exact in total and in each source, so a shard's make-up is that of a uniform shuffle
 of all blocks. A shard takes disjoint runs of each source's permuted blocks and shuffles its rows locally.
@@ -175,33 +175,45 @@ def _numbers(docs: DataFrame, names: list[str | None]) -> DataFrame:
 
 
 def with_copies(docs: DataFrame, plan: MixPlan, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 29) -> DataFrame:
-    """Adds size, source_size, target and copies (how often the mix takes the row), for every row; no shuffle.
+    """Adds size, source_size, target, drawn (copy, shard and order_key of every drawn block that holds the row) and
+    copies (their number), for every row; no shuffle.
 
-    The tables that are broadcast have one row for each source, and one for each taken leaf document (at most LEAF a source).
+    The tables that are broadcast have one row for each source and block, and one for each taken leaf document (at most LEAF a source).
     """
     spark = docs.sparkSession
-    added = ["size", "source_size", "target", "copies"]
+    added = ["size", "source_size", "target", "drawn", "copies"]
     rows = _sized(without(docs, added) if {c.lower() for c in docs.columns} & set(added) else docs, id_col, text_col, source_col, seed)
+    held: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for i, copy, block, shard in plan.blocks:
+        held.setdefault((i, block), []).append((copy, shard))
+    units = spark.createDataFrame([(i, b, sorted(d)) for (i, b), d in held.items()], "__ui int, __ub int, __units array<struct<copy:int,shard:int>>")
     per_source = spark.createDataFrame([(s, i, n, float(t), e, b) for i, (s, n, t, e, b) in enumerate(zip(plan.sources, plan.sizes, plan.targets, plan.epochs, plan.below, strict=True))], "__name string, __i int, source_size long, target double, __e int, __below long")
     leaf = spark.createDataFrame(plan.leaves, "__li int, __lh long").withColumn("__leaf", F.lit(1))
     out = rows.join(F.broadcast(per_source), F.col("__s").eqNullSafe(F.col("__name")), "left")
     out = out.join(F.broadcast(leaf), (F.col("__i") == F.col("__li")) & (F.col("__h") == F.col("__lh")), "left")
-    extra = F.when((_head(F.col("__h")) < F.col("__below")) | F.col("__leaf").isNotNull(), 1).otherwise(0)
-    return out.withColumns({"size": F.col("__n"), "copies": (F.col("__e") + extra).cast("int")}).drop("__name", "__below", "__li", "__lh", "__leaf", "__s", "__n")
+    out = out.withColumn("__b", F.shiftright(_head(F.col("__h")), 48).cast("int"))
+    out = out.join(F.broadcast(units), (F.col("__i") == F.col("__ui")) & (F.col("__b") == F.col("__ub")), "left")
+    # of the block in which a target falls, the partial epoch holds only what lies below the cut, and leaf documents
+    out = out.withColumn("__cut", (_head(F.col("__h")) < F.col("__below")) | F.col("__leaf").isNotNull())
+    whole = F.filter("__units", lambda u: (u["copy"] < F.col("__e")) | F.col("__cut"))
+    placed = F.transform(whole, lambda u: F.struct(u["copy"].alias("copy"), u["shard"].alias("shard"), F.xxhash64(u["shard"], u["copy"], F.col("__h")).alias("order_key")))
+    out = out.withColumn("drawn", F.coalesce(placed, F.array().cast("array<struct<copy:int,shard:int,order_key:bigint>>")))
+    return out.withColumns({"size": F.col("__n"), "copies": F.size("drawn")}).drop("__name", "__below", "__li", "__lh", "__leaf", "__s", "__n", "__ui", "__ub", "__units", "__cut", "__b", "__i", "__e", "__h")
 
 
 def mix(docs: DataFrame, plan: MixPlan, **names) -> DataFrame:
     """The mix itself: the rows of docs as often as they are taken, plus copy, shard and order_key (a shard's own shuffle)."""
-    spark = docs.sparkSession
     chosen = with_copies(without(docs, ["copy", "shard", "order_key"]), plan, **names)
-    units = spark.createDataFrame(plan.blocks, "__ui int, copy int, __ub int, shard int")
-    each = chosen.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    each = each.withColumn("__b", F.shiftright(_head(F.col("__h")), 48).cast("int"))
-    out = each.join(F.broadcast(units), (each["copy"] == units["copy"]) & (each["__i"] == units["__ui"]) & (each["__b"] == units["__ub"])).drop(units["copy"])
-    return out.withColumn("order_key", F.xxhash64("shard", "copy", "__h")).drop("__ui", "__ub", "__b", "__i", "__e", "__h", "copies", "size", "source_size", "target")
+    each = chosen.withColumn("__d", F.explode("drawn"))
+    each = each.withColumns({"copy": F.col("__d")["copy"], "shard": F.col("__d")["shard"], "order_key": F.col("__d")["order_key"]})
+    return each.drop("__d", "drawn", "copies", "size", "source_size", "target")
+
+
+def in_order(mixed: DataFrame, tasks_per_shard: int = 4) -> DataFrame:
+    """The rows of a mix dealt to its shards' tasks by order_key and sorted there."""
+    return mixed.repartition(F.col("shard"), F.pmod(F.col("order_key"), F.lit(tasks_per_shard))).sortWithinPartitions("shard", "order_key")
 
 
 def write_mix(docs: DataFrame, plan: MixPlan, path: str, tasks_per_shard: int = 4, **names) -> None:
     """Write the mix, a folder for each shard; rows are dealt to a shard's tasks by order_key and sorted by it there."""
-    mixed = mix(docs, plan, **names)
-    mixed.repartition(F.col("shard"), F.pmod(F.col("order_key"), F.lit(tasks_per_shard))).sortWithinPartitions("shard", "order_key").write.partitionBy("shard").parquet(path)
+    in_order(mix(docs, plan, **names), tasks_per_shard).write.partitionBy("shard").parquet(path)

@@ -70,9 +70,10 @@ def op9_bagminhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document, with the shard of every copy and its place in the shard's order."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     plan = mixing.make_plan(docs)
-    return mixing.with_copies(docs, plan).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    return mixing.with_copies(docs, plan).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), F.col("drawn")["shard"].alias("shards"), F.col("drawn")["order_key"].alias("places"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_quality_ranker, op3_block_topk, op4_best_fit_packing, op5_toxicity, op6_jump_sharding, op7_language_mixture, op8_scaled_fingerprint, op9_bagminhash_classes, op10_source_mix)}

@@ -58,3 +58,31 @@ def test_odd_rows(spark, odd, empty):
     assert plan.sources == ["a", "b", "c", None]
     assert mixing.with_copies(empty, mixing.make_plan(empty)).count() == 0
     assert mixing.mix(empty, mixing.make_plan(empty)).count() == 0
+
+
+def test_tree_decides_the_registered_result(spark, docs, monkeypatch, tmp_path):
+    """op10 gives every copy a shard, as the tree's quotas say, and a place; the pipeline's stage lies in that order."""
+    import corpus_pipeline as C
+    from tapewright.llm import queries
+
+    monkeypatch.setattr(queries, "table", lambda *_: docs)
+    got = queries.op10_source_mix(spark, "")
+    assert got.where("size(shards) <> size(places) or taken <> size * size(shards)").count() == 0
+    rows = {r["doc_id"]: list(r["shards"]) for r in got.collect()}
+    assert set(sum(rows.values(), [])) == set(range(16))
+    plan = mixing.make_plan(docs)
+    want = {r["doc_id"]: sorted(r["s"]) for r in mixing.mix(docs, plan).groupBy("doc_id").agg(F.collect_list("shard").alias("s")).collect()}
+    assert {k: sorted(v) for k, v in rows.items() if v} == want
+    swapped = mixing.MixPlan(plan.sources, plan.sizes, plan.targets, plan.epochs, plan.below, plan.leaves, [])
+    assert mixing.with_copies(docs, swapped).agg(F.sum("copies")).first()[0] == 0
+    C.mix_sources(spark, docs, "").write.parquet(str(tmp_path / "m"))
+    place = mixing.mix(docs, plan).select("doc_id", "shard", "order_key").collect()
+    places = {}
+    for r in place:
+        places.setdefault(r["doc_id"], set()).add((r["shard"], r["order_key"]))
+    for file in (tmp_path / "m").glob("*.parquet"):
+        last = (-1, 0)
+        for r in spark.read.parquet(str(file)).select("doc_id").collect():
+            after = [p for p in places[r["doc_id"]] if p >= last]
+            assert after
+            last = min(after)
