@@ -124,24 +124,26 @@ class UrlModel:
 
 
 def _join_risk(x: DataFrame, suffixes: DataFrame, domains: DataFrame) -> DataFrame:
-    """Smoothed blocked shares of a host's last label and last two; both tables come from the bounded training sample."""
-    x = x.join(F.broadcast(suffixes), "__suffix", "left").join(F.broadcast(domains), "__domain", "left")
+    """Smoothed blocked shares of a host's last label and last two, over all labelled urls; sizes decide how they are joined."""
+    x = x.join(suffixes, "__suffix", "left").join(domains, "__domain", "left")
     return x.fillna({"suffix_risk": 0.5, "domain_risk": 0.5, "suffix_rows": 0.0, "domain_rows": 0.0})
 
 
 def fit(docs: DataFrame, url_col: str, blocked: Column, most_rows: int = 4000, trees: int = 12, depth: int = 4) -> UrlModel:
     """Fit on at most `most_rows` distinct labelled urls of each kind (a documented bound), the same ones on every run.
 
+    Suffix and domain statistics count every distinct labelled url.
     `blocked` is a nullable boolean over the columns of `docs` plus host and path; null rows are unlabelled.
     """
     parsed = parse(docs, url_col).withColumn("__y", blocked.cast("double")).where("__y is not null and host <> ''").select(col(url_col).alias("__url"), "host", "path", "rest", "__y")
-    parts = [bounded_rows(parsed.where(F.col("__y") == y), most_rows, F.col("__url"), F.col("host")).dropDuplicates(["__url"]) for y in (0.0, 1.0)]
+    urls = parsed.dropDuplicates(["__url", "__y"])
+    parts = [bounded_rows(urls.where(F.col("__y") == y), most_rows, F.col("__url"), F.col("host")) for y in (0.0, 1.0)]
     sample = stash(lexical(parts[0].unionByName(parts[1]), "__url").coalesce(4))
     if sample.select("__y").distinct().count() < 2:
         return UrlModel(None, None, None)
-    risks = []
+    risks, every = [], stash(lexical(urls, "__url").select("__suffix", "__domain", "__y"))
     for key, name in (("__suffix", "suffix"), ("__domain", "domain")):
-        risks.append(stash(sample.groupBy(key).agg(((F.sum("__y") + 1.0) / (F.count(F.lit(1)) + 2.0)).alias(f"{name}_risk"), F.log1p(F.count(F.lit(1))).alias(f"{name}_rows")).coalesce(1)))
+        risks.append(stash(every.groupBy(key).agg(((F.sum("__y") + 1.0) / (F.count(F.lit(1)) + 2.0)).alias(f"{name}_risk"), F.log1p(F.count(F.lit(1))).alias(f"{name}_rows"))))
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="__x").transform(_join_risk(sample, *risks)).select("__x", "__y")
     boosted = GBTClassifier(featuresCol="__x", labelCol="__y", predictionCol="__verdict", maxIter=trees, maxDepth=depth, stepSize=0.2, seed=17, maxBins=32)
     boosted.set(boosted.rawPredictionCol, "__score")

@@ -62,3 +62,14 @@ def test_query_judges_every_page(spark):
         r = rule(*parsed(url))
         assert row["rule"] == (r.text if r else None) and row["verdict"] in ("allow", "block")
         assert r is None or row["verdict"] == r.verdict
+
+
+def test_copies_do_not_fill_the_sample_and_statistics_count_all(spark, monkeypatch):
+    drawn = []
+    monkeypatch.setattr(U, "bounded_rows", lambda *a, real=U.bounded_rows: drawn.append(real(*a)) or drawn[-1])
+    rows = [(f"https://h{i % 7}.{'good.org' if i % 2 else 'bad.biz'}/{i}", i % 2 == 0) for i in range(120) for _ in range(30)]
+    df = spark.createDataFrame(rows, "url string, label boolean")
+    model = U.fit(df, "url", F.col("label"), most_rows=20, trees=2, depth=2)
+    assert [d.select("__url").distinct().count() for d in drawn] == [20, 20]
+    counts = {r["__domain"]: round(r["n"]) for r in model.domains.select("__domain", F.expm1("domain_rows").alias("n")).collect()}
+    assert counts == {"good.org": 60, "bad.biz": 60}
