@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -12,9 +16,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Bytes of text that one vectorised step works on; a longer document makes a step of its own.
 STEP_BYTES = 512 << 10
+#: Bytes of an Arrow batch between Spark and Python, and Spark's own default as its configuration prints it.
+BATCH_CONF, BATCH_BYTES, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20, "67108864b"
 
 
 def col(name: str) -> Column:
@@ -23,9 +30,13 @@ def col(name: str) -> Column:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; an own one only where that is unset."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; where all of Spark runs in this process and none
+    is named, a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not re.match(r"local($|\[)", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that the driver and all executors of {master} share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-scratch-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -35,7 +46,22 @@ def stash(df: DataFrame) -> DataFrame:
     """Write a frame to the shared folder and read it again: cuts lineage, survives lost executors, gives real sizes."""
     path = f"{scratch(df.sparkSession)}/stash-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stash_path = path
+    return out
+
+
+def drop(*stashed: DataFrame) -> None:
+    """Remove stashed frames from the shared folder, once nothing reads them any more."""
+    for df in stashed:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stash_path)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A frame of a few rows that the driver holds; goes to Spark as one Arrow table, without a Python worker."""
+    fields = T.StructType.fromDDL(schema)
+    return spark.createDataFrame(pa.Table.from_pylist([dict(zip(fields.names, r, strict=True)) for r in rows], schema=to_arrow_schema(fields)), fields)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,10 +107,10 @@ def flat_chars(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32), at
 
 
-def steps(texts: pa.Array) -> Iterator[pa.Array]:
-    """Slices of about STEP_BYTES, so that the arrays made from a batch stay small."""
+def steps(texts: pa.Array, step_bytes: int = STEP_BYTES) -> Iterator[pa.Array]:
+    """Slices of about `step_bytes`, so that the arrays made from a batch stay small."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    cut = (np.cumsum(sizes) - sizes) // STEP_BYTES
+    cut = (np.cumsum(sizes) - sizes) // step_bytes
     edges = [0, *(np.flatnonzero(np.diff(cut)) + 1).tolist(), len(texts)]
     for a, b in zip(edges, edges[1:], strict=False):
         if b > a:
@@ -146,6 +172,25 @@ def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
 # ---------------------------------------------------------------- Arrow maps
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """The frame itself; Arrow batches of the session are held to BATCH_BYTES, unless the session names a size of its own.
+
+    Both ends of a Python worker's pipe hold whole batches, and texts make them large.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_CONF, None) == BATCH_DEFAULT:
+        conf.set(BATCH_CONF, str(BATCH_BYTES))
+    return df
+
+
+def give_back() -> None:
+    """Return free memory to the system at the end of a task: the worker process lives on."""
+    pa.default_memory_pool().release_unused()
+    gc.collect()
+    with contextlib.suppress(AttributeError, OSError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def append(df: DataFrame, text_col: str, fields: list[T.StructField], make: Callable[[], Callable[[pa.Array], list[pa.Array]]]) -> DataFrame:
     """Add columns computed from a text column, batch by batch; clashing input columns give way.
 
@@ -164,6 +209,6 @@ def append(df: DataFrame, text_col: str, fields: list[T.StructField], make: Call
                 whole = batch.slice(at, len(part))
                 at += len(part)
                 yield pa.RecordBatch.from_arrays([*(whole.column(i) for i in keep_at), *fn(part)], names=schema.names)
-        pa.default_memory_pool().release_unused()  # the worker process lives on
+        give_back()
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)

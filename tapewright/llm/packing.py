@@ -20,115 +20,115 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, stash, steps, without
+from .common import col, flat_bytes, give_back, range_hashes, small_batches, stash, steps, without
 
-#: Words (and as many pre-tokens) that a generation of a Python worker's memory holds; the generation before is kept too.
-MEMO_WORDS = 400_000
-_MEMO: dict[str, tuple] = {}
+#: Distinct pieces of words that a task remembers with their ids, in flat arrays of about 60 bytes each.
+MEMO_PIECES = 400_000
+#: Bytes of text whose words are looked up together.
+WORDS_BYTES = 1 << 20
+#: Marks that are cut off a word which they end, after a letter or digit: no pre-token spans that place.
+MARKS = pa.array(list(".,!?;:"))
+#: Stands between words that are tokenized in one call, as a pre-token of its own.
+SEPARATOR = "\x01"
 
 
 class WordTokenizer:
     """Token ids of whole texts by a tokenizer whose pre-tokens never span ASCII white space, a word at a time.
 
-    Each distinct word is tokenized once and remembered, so a text costs a split and a lookup for each word. Words of
-    plain letters are cut into pre-tokens here and tokenized many in one call: the token that ends a pre-token is marked
-    in the vocabulary. All other words go to the tokenizer as they are.
+    Arrow finds the distinct words of a batch; what is not remembered of them goes to the tokenizer, many in one call.
     """
 
-    #: The tokenizer's own pre-token pattern, and the words for which lower case and NFC are plain.
-    PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-    PLAIN = r"[!-;=?-~\u00a1-\u012f\u0131-\u024f]+"
-
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = MEMO_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
         vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
-        self.cut, self.plain = regex.compile(self.PRE_TOKEN).findall, regex.compile(self.PLAIN).fullmatch
-        self.memo: dict[bytes, bytes] = {}
-        self.old_memo: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.old_pieces: dict[str, bytes] = {}
-
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian uint32 ids of each text."""
-        if len(self.memo) > MEMO_WORDS:
-            self.memo, self.old_memo = {}, self.memo
-        words = [t.split() for t in texts]
-        # the batch's own words in a small table, so that most lookups stay in the processor's cache
-        known, local, new = self.memo.get, {}, []
-        for w in set().union(*words):
-            if (ids := known(w)) is None:
-                new.append(w)
-            else:
-                local[w] = ids
-        self.learn(new, local)
-        get = local.__getitem__
-        return [b"".join(map(get, w)) for w in words]
-
-    def learn(self, words: list[bytes], local: dict[bytes, bytes]) -> None:
-        """Add words to the memory and to the batch's table."""
-        if len(self.pieces) > MEMO_WORDS:
-            self.pieces, self.old_pieces = {}, self.pieces
-        memo, old, pieces = self.memo, self.old_memo.get, self.pieces
-        wait: list[tuple[bytes, list[str]]] = []
-        new: set[str] = set()
-        for w in words:
-            if (ids := old(w)) is None:
-                text = w.decode()
-                # most words are letters with one mark at the end or none
-                stem, mark = (text[:-1], text[-1]) if text[-1] in ".,!?;:" else (text, "")
-                if stem.isalpha() and (stem.isascii() or (max(stem) < "\u0250" and "\u0130" not in stem)):
-                    stem = stem.lower()
-                    ids = pieces.get(stem)
-                    if ids is not None and mark:
-                        end = pieces.get(mark)
-                        ids = ids + end if end is not None else None
-                    if ids is None:
-                        parts = [stem, mark] if mark else [stem]
-                elif self.plain(text):
-                    parts = self.cut(text.lower())
-                else:
-                    ids = self.whole(text)
-                if ids is None:
-                    wait.append((w, parts))
-                    new.update(parts)
-                    continue
-            memo[w] = local[w] = ids
-        self.learn_pieces(new.difference(pieces))
-        for w, parts in wait:
-            memo[w] = local[w] = pieces[parts[0]] if len(parts) == 1 else b"".join([pieces[p] for p in parts])
-
-    def learn_pieces(self, new: set[str]) -> None:
-        known = self.old_pieces
-        for piece in new.intersection(known):
-            self.pieces[piece] = known[piece]
-        fresh = list(new.difference(known))
-        for at in range(0, len(fresh), 2048):
-            some = fresh[at : at + 2048]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(some):
-                raw = ids.tobytes()
-                for piece, a, b in zip(some, [0, *(4 * stops[:-1]).tolist()], (4 * stops).tolist(), strict=True):
-                    self.pieces[piece] = raw[a:b]
-            else:
-                for piece in some:
-                    self.pieces[piece] = self.whole(piece)
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-
-def _tokenizer(path: str) -> WordTokenizer:
-    """One for each Python worker process."""
-    if path not in _MEMO:
-        _MEMO[path] = (WordTokenizer(path),)
-    return _MEMO[path][0]
+        # which ids end a pre-token, and what the separator makes
+        self.stops = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.stops[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.between = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
+        # known pieces in order of arrival, their ids, and their sorted hashes with their places
+        self.known, self.ends, self.ids = pa.array([], pa.large_string()), np.zeros(1, np.int64), np.zeros(0, "<u4")
+        self.hashes, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Little-endian uint32 ids of all texts, and len+1 offsets."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
+        each = split.flatten().dictionary_encode()
+        words, which = each.dictionary, each.indices.to_numpy()
+        stem, last = pc.utf8_slice_codeunits(words, 0, -1), pc.utf8_slice_codeunits(words, -1)
+        apart = pc.and_(pc.is_in(last, MARKS.cast(last.type)), pc.utf8_is_alnum(pc.utf8_slice_codeunits(stem, -1)))
+        pieces = pa.concat_arrays([pc.if_else(apart, stem, words), pc.if_else(apart, last, "")]).dictionary_encode()
+        # stem and mark of every word that occurs, one after the other
+        both = self.place(pieces.dictionary)[pieces.indices.to_numpy()].reshape(2, -1)[:, which].T.ravel()
+        size = self.ends[both + 1] - self.ends[both]
+        end = np.r_[0, np.cumsum(size)]
+        out = self.ids[np.arange(end[-1]) + np.repeat(self.ends[both] - end[:-1], size)]
+        offsets = split.offsets.to_numpy().astype(np.int64)
+        if len(self.known) > self.most:
+            self.forget(len(self.known) - self.most // 2)
+        return out, end[2 * (offsets - offsets[0])]
+
+    def place(self, pieces: pa.Array) -> np.ndarray:
+        """Places of pieces among the known ones, where new ones are put first. Hashes find them, the pieces decide."""
+        data, off = flat_bytes(pieces)
+        h = range_hashes(data, off[:-1], off[1:])
+        i = np.minimum(np.searchsorted(self.hashes, h), max(len(self.hashes) - 1, 0))
+        at = self.places[i] if len(self.places) else np.zeros(len(h), np.int64)
+        hit = np.zeros(len(h), bool)
+        if len(self.known):
+            hit = (self.hashes[i] == h) & pc.equal(self.known.take(pa.array(at)), pieces).to_numpy(zero_copy_only=False)
+        fresh = np.flatnonzero(~hit)
+        if len(fresh):
+            order = fresh[self.learn(pieces.take(pa.array(fresh)))]
+            at[order] = len(self.known) - len(order) + np.arange(len(order))
+            order = order[np.argsort(h[order], kind="stable")]
+            into = np.searchsorted(self.hashes, h[order])
+            self.hashes, self.places = np.insert(self.hashes, into, h[order]), np.insert(self.places, into, at[order])
+        return at
+
+    def learn(self, new: pa.Array) -> np.ndarray:
+        """Remember new pieces; returns the order in which they are kept."""
+        letters = pc.utf8_is_alpha(new).to_numpy(zero_copy_only=False)
+        alone = pc.match_substring(new, SEPARATOR).to_numpy(zero_copy_only=False) | (len(self.between) != 1)
+        order, ids, sizes = [], [], []
+        for kind in (letters & ~alone, ~letters & ~alone, alone):
+            for at in np.array_split(np.flatnonzero(kind), max(1, -(-kind.sum() // 1024))):
+                some = new.take(pa.array(at)).to_pylist()
+                got, size = self.each(some) if kind is alone else self.many(some, bool(letters[at[:1]].all()))
+                order.append(at)
+                ids.append(got)
+                sizes.append(size)
+        order = np.concatenate(order)
+        self.known = pa.concat_arrays([self.known, new.take(pa.array(order))])
+        self.ids = np.concatenate([self.ids, *ids])
+        self.ends = np.r_[self.ends, self.ends[-1] + np.cumsum(np.concatenate(sizes))]
+        return order
+
+    def many(self, words: list[str], letters: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words and how many each has. Words of letters alone need no separator where each makes one pre-token."""
+        if letters:
+            got = self.encode(" ".join(words))
+            stop = np.flatnonzero(self.stops[got])
+            if len(stop) == len(words):
+                return got, np.diff(stop, prepend=-1)
+        got = self.encode(f" {SEPARATOR} ".join([*words, ""]))
+        stop = got == self.between[0]
+        return got[~stop], np.diff(np.flatnonzero(stop), prepend=-1) - 1
+
+    def each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [self.encode(w) for w in words]
+        return np.concatenate([np.zeros(0, "<u4"), *got]), np.array([len(g) for g in got], np.int64)
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def forget(self, n: int) -> None:
+        """Drop the n pieces that were learnt first."""
+        self.ids, self.known = self.ids[self.ends[n] :].copy(), pa.concat_arrays([self.known[n:]])
+        self.ends = self.ends[n:] - self.ends[n]
+        self.hashes, self.places = self.hashes[self.places >= n], self.places[self.places >= n] - n
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, digest: bool = False) -> DataFrame:
@@ -140,35 +140,32 @@ def tokenize(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: i
     fields += [T.StructField("ids", T.ArrayType(T.IntegerType()))] * ids + [T.StructField("ids_crc32", T.LongType())] * digest
     rows = docs.select(col(id_col), col(text_col).alias("__t"))
     schema = T.StructType([rows.schema[0], *fields])
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        of = _tokenizer(tokenizer_path)
+        of = WordTokenizer(tokenizer_path)
         for batch in batches:
             at = 0
-            for part in steps(batch.column(1)):
+            for part in steps(batch.column(1), WORDS_BYTES):
                 keys = batch.column(0).slice(at, len(part))
                 at += len(part)
-                row, piece, start, size, held, crc = [], [], [], [], [], []
-                for i, raw in enumerate(of(pc.fill_null(part, "").cast(pa.binary()).to_pylist())):
-                    raw += end
-                    for k in range(0, len(raw), 4 * length):
-                        cut = raw[k : k + 4 * length]
-                        row.append(i)
-                        piece.append(k // (4 * length))
-                        start.append(k // 4)
-                        size.append(len(cut) // 4)
-                        held.append(cut)
-                        crc.append(zlib.crc32(cut))
-                columns = [keys.take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64())]
+                flat, offsets = of(part)
+                flat = np.insert(flat, offsets[1:], end_id)
+                total = np.diff(offsets) + 1
+                pieces = -(-total // length)
+                row = np.repeat(np.arange(len(part)), pieces)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                size = np.minimum(total[row] - piece * length, length)
+                ends = np.r_[0, np.cumsum(size)]
+                columns = [keys.take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(piece * length, pa.int64()), pa.array(size, pa.int64())]
                 if ids:
-                    flat = pa.array(np.frombuffer(b"".join(held), "<i4"))
-                    columns.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()), flat))
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view("<i4"))))
                 if digest:
-                    columns.append(pa.array(crc, pa.int64()))
+                    columns.append(pa.array([zlib.crc32(flat[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.int64()))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        del of
+        give_back()
 
-    return rows.mapInArrow(run, schema)
+    return small_batches(rows).mapInArrow(run, schema)
 
 
 class CapacityTree:
@@ -243,7 +240,9 @@ def pack(pieces: DataFrame, length: int = 2048, keys: tuple[str, ...] = ("doc_id
         seq = pa.array(np.array(bins, np.int64) * 2 * groups + 2 * key[0].as_py() + 1)
         return pa.table([*group.columns, seq, pa.array(offsets, pa.int64())], names=schema.names)
 
-    packed = spread.groupBy("__g").applyInArrow(run, schema)
+    # ranges of group numbers: a hash of few groups would send two of them to one task
+    tasks = min(groups, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    packed = small_batches(spread).repartitionByRange(tasks, "__g").groupBy("__g").applyInArrow(run, schema)
     # even numbers: sequences of one piece, numbered by partition and place
     return packed.unionByName(whole.withColumns({"sequence_id": F.monotonically_increasing_id() * 2, "offset": F.lit(0).cast("long")}))
 

@@ -7,12 +7,13 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tapewright.llm import packing
 from tapewright.llm.queries import tokenizer_path
 
-ODD = ["Don't I'LL they're 'S", "ΣΊΣΥΦΟΣ Σ", "İstanbul ß ẞ", "<|endoftext|>hi<|startoftext|> x", "a\xa0b c\x1cd\x85e", "é café ﬁ", "日本語 123 ½²", "😀 ok", "", " \n", "#$%&*** WORD!! a|b", "ȩ́ ́a", "can't. won't, it's", "x" * 5000]
+ODD = ["Don't I'LL they're 'S", "ΣΊΣΥΦΟΣ Σ", "İstanbul ß ẞ", "<|endoftext|>hi<|startoftext|> x", "a\xa0b c\x1cd\x85e", "é café ﬁ", "日本語 123 ½²", "😀 ok", "", " \n", "#$%&*** WORD!! a|b", "ȩ́ ́a", "can't. won't, it's", "x" * 5000, "a\x01b \x01 c", "end.of, it's. (so) 1. é."]
 
 
 @pytest.fixture(scope="module")
@@ -23,9 +24,19 @@ def tokenizer():
 
 
 def test_words_are_tokenized_as_whole_texts_are(tokenizer):
+    mine, want = packing.WordTokenizer(tokenizer_path(), most=8), [tokenizer.encode(t, add_special_tokens=False).ids for t in ODD]
+    for _ in range(3):  # learnt, remembered, forgotten
+        ids, at = mine(pa.array(ODD))
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == want
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch, tokenizer):
+    monkeypatch.setattr(packing, "range_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64))
     mine = packing.WordTokenizer(tokenizer_path())
-    got = mine([t.encode() for t in ODD])
-    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in ODD]
+    texts = ["alpha bravo delta", "bravo alpha gamma gamma", "delta"]
+    for _ in range(2):
+        ids, at = mine(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_best_fit_is_the_textbook_one():
