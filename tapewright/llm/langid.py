@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append, col, flat_chars, words_of
+from .common import append, col, flat_chars, give_back, small_batches, steps, words_of
 
 BUCKETS = 1 << 15
 
@@ -119,14 +119,16 @@ def _em(lik: np.ndarray, begin: np.ndarray, counts: np.ndarray, pi: np.ndarray,
 def fit(docs: DataFrame, text_col: str, lang_col: str, usable: Column | None = None, per_language: int = 3000) -> LanguageModel:
     """Learn trigram tables from about `per_language` labelled documents of each language (a documented bound).
 
-    The documents are drawn by a hash of their text, so reruns agree; a text counts once however often it is copied.
+    The documents are drawn by a hash of their text, so reruns agree; a text counts once however often it is copied, both
+    for the share that is drawn and for the tables.
     Counting is distributed and the driver gets one row for each language and bucket.
     """
     rows = docs.where(col(lang_col).isNotNull() & col(text_col).isNotNull())
     if usable is not None:
         rows = rows.where(usable)
     rows = rows.select(col(text_col).alias("t"), col(lang_col).cast("string").alias("l"))
-    sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
+    each = rows.select("l", F.xxhash64("t").alias("h")).distinct()
+    sizes = {r["l"]: r["n"] for r in each.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = tuple(sorted(sizes))
     if not languages:
         return LanguageModel((), np.zeros((BUCKETS, 0), np.float32))
@@ -137,13 +139,15 @@ def fit(docs: DataFrame, text_col: str, lang_col: str, usable: Column | None = N
         kept: dict[str, np.ndarray] = {}
         for batch in batches:
             for name in set(batch.column(1).to_pylist()):
-                grams, _, _ = word_grams(batch.column(0).filter(pc.equal(batch.column(1), name)))
-                kept[name] = kept.get(name, 0) + np.bincount(grams, minlength=BUCKETS)
+                for part in steps(batch.column(0).filter(pc.equal(batch.column(1), name))):
+                    grams, _, _ = word_grams(part)
+                    kept[name] = kept.get(name, 0) + np.bincount(grams, minlength=BUCKETS)
         for name, n in kept.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=["l", "b", "n"])
+        give_back()
 
-    counts = drawn.mapInArrow(count, "l string, b int, n long").groupBy("l", "b").agg(F.sum("n").alias("n"))
+    counts = small_batches(drawn).mapInArrow(count, "l string, b int, n long").groupBy("l", "b").agg(F.sum("n").alias("n"))
     seen = counts.toPandas()
     table = np.full((BUCKETS, len(languages)), 0.05)
     table[seen["b"].to_numpy(int), seen["l"].map({x: i for i, x in enumerate(languages)}).to_numpy(int)] += seen["n"].to_numpy(float)

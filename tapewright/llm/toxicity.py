@@ -20,13 +20,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append, bounded_rows, col, flat_chars, range_hashes, words_of
+from .common import append, bounded_rows, col, flat_chars, give_back, range_hashes, small_batches, words_of
 from .langid import letters
 
 SIZES = (3, 4, 5, 6)
 BUCKETS = 1 << 20
 #: An n-gram of fewer training documents than this has no vector.
 LEAST_DOCS = 4
+#: Runs that a very long training text is learnt from.
+RUNS = 16
 #: Added to a bag's number of n-grams, so that bags of a word or two stay near zero.
 PRIOR = 60
 
@@ -239,15 +241,21 @@ def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, usable: Column | None = None, per_toxic: int = 500, per_clean: int = 1500, most_bytes: int = 4 << 20) -> SubwordSoftmax:
     """Fit on at most per_toxic + per_clean labelled rows and about `most_bytes` of text (documented bounds).
 
-    Of the drawn rows (the same ones on every run, broadcast) texts are taken in a fixed order until the bytes are spent;
-    a text of more than a thirty-second of them is left to the others.
+    Of the drawn rows (the same ones on every run, broadcast) texts are taken in a fixed order until the bytes are spent.
+    Of a text of more than a thirty-second of them, RUNS runs of characters at even distances, as many as that share holds,
+    are learnt from; of documents that repeat an id the least text counts. Scoring reads whole texts.
     """
     rows = labels.where(col(label_col).isin(0, 1) & col(id_col).isNotNull())
     if usable is not None:
         rows = rows.where(usable)
     rows = rows.select(col(id_col).alias("__i"), col(label_col).cast("int").alias("__y"))
     drawn = bounded_rows(rows.where("__y = 0"), per_clean, F.col("__i")).union(bounded_rows(rows.where("__y = 1"), per_toxic, F.col("__i"))).distinct()
-    found = docs.select(col(id_col).alias("__i"), col(text_col).alias("__t")).join(F.broadcast(drawn), "__i").where(F.octet_length("__t") <= most_bytes // 32)
+    found = docs.select(col(id_col).alias("__i"), col(text_col).alias("__t")).join(F.broadcast(drawn), "__i")
+    t, most = F.coalesce("__t", F.lit("")), most_bytes // 32
+    step = F.char_length(t) / RUNS
+    runs = F.transform(F.sequence(F.lit(0), F.lit(RUNS - 1)), lambda i: F.substring(t, F.floor(i * step).cast("int") + 1, F.lit(most // (4 * RUNS))))
+    found = found.select("__i", "__y", F.when(F.octet_length(t) <= most, t).otherwise(F.array_join(runs, " ")).alias("__t"))
+    found = found.groupBy("__i", "__y").agg(F.min("__t").alias("__t"))
 
     def train(batches):
         held = [b for b in batches if b.num_rows]
@@ -259,9 +267,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
         seen = seen.iloc[np.sort(order[np.cumsum(size) <= most_bytes])]
         m = fit_texts(pa.array(seen["__t"].tolist(), pa.string()), seen["__y"].to_numpy())
         yield pa.RecordBatch.from_arrays([pa.array([m.margins.tobytes()]), pa.array([m.bias]), pa.array([m.slope]), pa.array([m.shift])], names=["margins", "bias", "slope", "shift"])
+        del held, seen, m
+        give_back()
 
     # the bounded sample is trained on in one task, so that the driver needs no room for it
-    rows = found.dropDuplicates(["__i", "__y"]).repartition(1).mapInArrow(train, "margins binary, bias double, slope double, shift double").collect()
+    rows = small_batches(found).repartition(1).mapInArrow(train, "margins binary, bias double, slope double, shift double").collect()
     if not rows:
         return SubwordSoftmax(np.zeros(BUCKETS, np.float32), 0.0, 0.0, -40.0)
     return SubwordSoftmax(np.frombuffer(rows[0]["margins"], np.float32), rows[0]["bias"], rows[0]["slope"], rows[0]["shift"])
