@@ -15,13 +15,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bagminhash import band_keys, compare, multisets, shingles, signatures
-from .common import append, col, stash, steps
+from .common import append, col, drop, give_back, small_batches, stash, steps
 from .components import connected_components
 
 
@@ -35,17 +36,28 @@ def with_bands(docs: DataFrame, text_col: str, bands: int, rows: int) -> DataFra
             keys = band_keys(sig, bands)
             n = np.diff(off)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands), pa.int32()), pa.array(keys.ravel()))
-            return [pa.array([x if c else None for x, c in zip(lists, n, strict=True)], lists.type) if (n == 0).any() else lists, pa.array(n, pa.int64())]
+            return [pc.if_else(pa.array(n > 0), lists, pa.scalar(None, lists.type)), pa.array(n, pa.int64())]
 
         return run
 
     return append(docs, text_col, [T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("n_shingles", T.LongType())], make)
 
 
-def verify(pairs: DataFrame, texts: DataFrame, threshold: float | None = None) -> DataFrame:
+def with_text(pairs: DataFrame, texts: DataFrame, side: str, per_key: int) -> DataFrame:
+    """Adds t<side>, the text of one end of each pair. The pairs of an id that has more than `per_key` are dealt to as many
+    keys as that needs, with a copy of the text for each, so that no task holds all pairs of a hub."""
+    hubs = pairs.groupBy(side).agg(F.ceil(F.count(F.lit(1)) / per_key).cast("int").alias("keys")).where("keys > 1")
+    other = "a" if side == "b" else "b"
+    dealt = pairs.join(hubs, side, "left").withColumn("key", F.pmod(F.xxhash64(other), F.coalesce("keys", F.lit(1)))).drop("keys")
+    ends = texts.select(F.col("id").alias(side), F.col("t").alias(f"t{side}")).join(hubs, side, "left")
+    ends = ends.withColumn("key", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("keys", F.lit(1)).cast("long") - 1))).drop("keys")
+    return dealt.join(ends, [side, "key"]).drop("key")
+
+
+def verify(pairs: DataFrame, texts: DataFrame, threshold: float | None = None, per_key: int = 2000) -> DataFrame:
     """(a, b) of member ids and (id, t) -> (a, b, j[, extra, common]): the exact weighted Jaccard of each pair, and with a
-    threshold the tokens of a against b (see bagminhash.compare)."""
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb")
+    threshold the tokens of a against b (see bagminhash.compare). Pairs should be stored: they are read more than once."""
+    both = with_text(with_text(pairs, texts, "a", per_key), texts, "b", per_key).select("a", "b", "ta", "tb")
 
     def run(batches):
         for batch in batches:
@@ -59,8 +71,9 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float | None = None) -
                     done += len(right)
                     j, tokens = compare(part.column(2), part.column(3), threshold)
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(j), *tokens], names=["a", "b", "j", "extra", "common"][: 3 + len(tokens)])
+        give_back()
 
-    return both.mapInArrow(run, "a long, b long, j double" + (", extra array<int>, common array<int>" if threshold else ""))
+    return small_batches(both).mapInArrow(run, "a long, b long, j double" + (", extra array<int>, common array<int>" if threshold else ""))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 32, rows: int = 6) -> DataFrame:
@@ -79,12 +92,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     bucket = stash(member.where("bands is not null").select(F.explode("bands").alias("k"), "m", "n"))
     shared = bucket.groupBy("k").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     crowded = stash(bucket.join(shared, "k"))
+    drop(bucket)
     # the member that meets most others leads its buckets: in a family of copies that is the original, near to all
     pull = crowded.groupBy("m").agg(F.sum("size").alias("pull"))
     led = stash(crowded.join(pull, "m"))
     lead = led.groupBy("k").agg(F.max_by("m", F.struct("pull", (-F.col("m")).alias("o"))).alias("lead"))
     met = stash(led.join(lead, "k").select("k", "m", "n", "lead"))
-    pairs = met.where("m <> lead").select(F.col("m").alias("a"), F.col("lead").alias("b")).distinct()
+    drop(crowded, led)
+    pairs = stash(met.where("m <> lead").select(F.col("m").alias("a"), F.col("lead").alias("b")).distinct())
     needed = met.select(F.col("m").alias("id")).distinct()
     texts = stash(base.join(own.where("id = m").select("id"), "id", "left_semi").join(needed.hint("shuffle_hash"), "id", "left_semi"))
     links = stash(verify(pairs, texts, threshold))
@@ -112,6 +127,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     rare = extra.join(often, ["b", "tok"]).withColumn("nth", nth).where(F.col("nth") <= long_enough).where("often > 1").select("b", "m", "tok", "nth")
     filled = live.select("b", "m", F.size("extra").alias("before"), F.posexplode("common").alias("at", "tok")).select("b", "m", "tok", (F.col("before") + F.col("at") + 1).alias("nth"))
     tokens = stash(rare.union(filled).join(live.drop("extra", "common"), ["b", "m"]))
+    drop(live)
     slack = 1.0 - threshold + 1e-9
     x, y = tokens.where("apart").alias("x"), tokens.alias("y")
     same = (F.col("x.b") == F.col("y.b")) & (F.col("x.tok") == F.col("y.tok")) & (F.col("x.c") != F.col("y.c")) & (~F.col("y.apart") | (F.col("x.m") < F.col("y.m")))
