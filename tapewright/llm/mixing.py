@@ -2,7 +2,8 @@
 
 Each source's documents are dealt by hash into blocks, a radix tree of 256 ways. A source's share of the mix is whole
 epochs of all its blocks plus a part: blocks in order of the hash that dealt them, seeded and hence random, until the target is
-reached, the block where it is reached being cut the same way one level deeper, down to a small leaf whose documents fill what is left. The drawn block
+reached, the block where it is reached being cut the same way one level deeper, down to a small leaf whose documents
+fill what is left (see fill). The drawn block
 quotas are then split among output shards by a multivariate-hypergeometric splitting tree: each node draws how many
 blocks of every source go left, exact in total and in each source, so a shard's make-up is that of a uniform shuffle
 of all blocks. A shard takes disjoint runs of each source's permuted blocks and shuffles its rows locally.
@@ -23,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, stash, without
+from .common import col, small_table, stash, without
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents of a leaf that is filled one by one.
@@ -54,6 +55,30 @@ def water_fill(sizes: list[int], weights: list[float], total: float, most: float
     return target
 
 
+def fill(sizes: np.ndarray, left: float) -> np.ndarray:
+    """Which documents of a leaf are taken: in their order what fits, then, as long as that comes nearer, one more, one
+    less, or one in another's place."""
+    taken = np.zeros(len(sizes), bool)
+    for i, n in enumerate(sizes):
+        if n <= left:
+            taken[i], left = True, left - n
+    while True:
+        # place -1 stands for no document
+        out, into = np.r_[-1, np.flatnonzero(taken)], np.r_[-1, np.flatnonzero(~taken)]
+        size = np.r_[sizes, 0.0]
+        into = into[np.argsort(size[into], kind="stable")]
+        near = np.searchsorted(size[into], left + size[out])
+        pick = np.column_stack([np.clip(near - 1, 0, len(into) - 1), np.clip(near, 0, len(into) - 1)])
+        gap = np.abs(left + size[out][:, None] - size[into][pick])
+        a, b = np.unravel_index(gap.argmin(), gap.shape)
+        if gap[a, b] >= abs(left) - 1e-9:
+            return taken
+        left += size[out[a]] - size[into[pick[a, b]]]
+        for at, now in ((out[a], False), (into[pick[a, b]], True)):
+            if at >= 0:
+                taken[at] = now
+
+
 def splitting_tree(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     """[shards, sources]: exact block quotas of every shard; each node draws its left half without replacement.
 
@@ -90,6 +115,7 @@ class MixPlan:
     below: list[int]
     leaves: list[tuple[int, int]]  # source number, document hash
     blocks: list[tuple[int, int, int, int]]  # source number, copy, block, shard
+    shards: int = 16
 
 
 def _head(h: Column) -> Column:
@@ -150,10 +176,12 @@ def make_plan(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] =
         lo = F.create_map(*[F.lit(x) for i, (lv, p) in ends.items() for x in (i, p << (56 - 8 * lv))])
         hi = F.create_map(*[F.lit(x) for i, (lv, p) in ends.items() for x in (i, (p + 1) << (56 - 8 * lv))])
         here = numbered.where((_head(F.col("__h")) >= lo[F.col("__i")]) & (_head(F.col("__h")) < hi[F.col("__i")]))
+        inside_leaf: dict[int, list[tuple[int, int]]] = {}
         for i, h, n in sorted(tuple(r) for r in here.groupBy("__i", "__h").agg(F.sum("__n").alias("n")).collect()):
-            if n <= left[i] + 0.5:
-                leaves.append((i, h))
-                left[i] -= n
+            inside_leaf.setdefault(i, []).append((h, n))
+        for i, rows_ in inside_leaf.items():
+            taken = fill(np.array([n for _, n in rows_], float), left[i])
+            leaves += [(i, h) for (h, _), t in zip(rows_, taken, strict=True) if t]
 
     # drawn blocks (copy, block) of every source in a random order, dealt to the shards by their quotas
     drawn = []
@@ -167,11 +195,11 @@ def make_plan(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] =
     for i, units in enumerate(drawn):
         shard = np.repeat(np.arange(shards), quotas[:, i])
         blocks += [(i, c, b, int(s)) for (c, b), s in zip(units, shard, strict=True)]
-    return MixPlan(names, sizes, targets, epochs, below, leaves, blocks)
+    return MixPlan(names, sizes, targets, epochs, below, leaves, blocks, shards)
 
 
 def _numbers(docs: DataFrame, names: list[str | None]) -> DataFrame:
-    return docs.sparkSession.createDataFrame([(s, i) for i, s in enumerate(names)], "__name string, __i int")
+    return small_table(docs.sparkSession, [(s, i) for i, s in enumerate(names)], "__name string, __i int")
 
 
 def with_copies(docs: DataFrame, plan: MixPlan, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 29) -> DataFrame:
@@ -186,9 +214,9 @@ def with_copies(docs: DataFrame, plan: MixPlan, id_col: str = "doc_id", text_col
     held: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for i, copy, block, shard in plan.blocks:
         held.setdefault((i, block), []).append((copy, shard))
-    units = spark.createDataFrame([(i, b, sorted(d)) for (i, b), d in held.items()], "__ui int, __ub int, __units array<struct<copy:int,shard:int>>")
-    per_source = spark.createDataFrame([(s, i, n, float(t), e, b) for i, (s, n, t, e, b) in enumerate(zip(plan.sources, plan.sizes, plan.targets, plan.epochs, plan.below, strict=True))], "__name string, __i int, source_size long, target double, __e int, __below long")
-    leaf = spark.createDataFrame(plan.leaves, "__li int, __lh long").withColumn("__leaf", F.lit(1))
+    units = small_table(spark, [(i, b, [{"copy": c, "shard": s} for c, s in sorted(d)]) for (i, b), d in held.items()], "__ui int, __ub int, __units array<struct<copy:int,shard:int>>")
+    per_source = small_table(spark, [(s, i, n, float(t), e, b) for i, (s, n, t, e, b) in enumerate(zip(plan.sources, plan.sizes, plan.targets, plan.epochs, plan.below, strict=True))], "__name string, __i int, source_size long, target double, __e int, __below long")
+    leaf = small_table(spark, plan.leaves, "__li int, __lh long").withColumn("__leaf", F.lit(1))
     out = rows.join(F.broadcast(per_source), F.col("__s").eqNullSafe(F.col("__name")), "left")
     out = out.join(F.broadcast(leaf), (F.col("__i") == F.col("__li")) & (F.col("__h") == F.col("__lh")), "left")
     out = out.withColumn("__b", F.shiftright(_head(F.col("__h")), 48).cast("int"))
@@ -209,11 +237,16 @@ def mix(docs: DataFrame, plan: MixPlan, **names) -> DataFrame:
     return each.drop("__d", "drawn", "copies", "size", "source_size", "target")
 
 
-def in_order(mixed: DataFrame, tasks_per_shard: int = 4) -> DataFrame:
-    """The rows of a mix dealt to its shards' tasks by order_key and sorted there."""
+#: Words that a task of a shard sorts and writes.
+TASK_WORDS = 8_000_000
+
+
+def in_order(mixed: DataFrame, plan: MixPlan) -> DataFrame:
+    """The rows of a mix dealt to its shards' tasks by order_key and sorted there; tasks are as many as the words ask for."""
+    tasks_per_shard = max(1, -(-int(sum(plan.targets)) // (plan.shards * TASK_WORDS)))
     return mixed.repartition(F.col("shard"), F.pmod(F.col("order_key"), F.lit(tasks_per_shard))).sortWithinPartitions("shard", "order_key")
 
 
-def write_mix(docs: DataFrame, plan: MixPlan, path: str, tasks_per_shard: int = 4, **names) -> None:
+def write_mix(docs: DataFrame, plan: MixPlan, path: str, **names) -> None:
     """Write the mix, a folder for each shard; rows are dealt to a shard's tasks by order_key and sorted by it there."""
-    in_order(mix(docs, plan, **names), tasks_per_shard).write.partitionBy("shard").parquet(path)
+    in_order(mix(docs, plan, **names), plan).write.partitionBy("shard").parquet(path)
