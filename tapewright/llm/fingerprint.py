@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import col
+from .common import col, stash
 
 SHINGLE = 5
 
@@ -64,44 +64,34 @@ def as_text(sketch: Column) -> Column:
     return F.array_join(F.transform(sketch, lambda h: F.lpad(F.hex(h), 16, "0")), "")
 
 
-def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fraction: float = 0.125, per_bucket: int = 2000) -> DataFrame:
+def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fraction: float = 0.25, per_range: int = 2000) -> DataFrame:
     """Fingerprints of all texts and of their edited texts.
 
     Edited text: the last floor(n_chars/2) code points replaced by the first as many (or all) of the next document in
     descending id order (after the last: the first). Ties of ids are ordered by the text's hash; null ids come last.
 
-    The order is made of id ranges: quantiles of the ids cut buckets of about `per_bucket` rows, and each bucket also
+    The order is cut into ranges of about `per_range` rows, between ids or, within an id of many texts, between hashes:
+    Spark's range partitioning of the keys alone finds the first key of each (16 bytes a range, one broadcast row). A range also
     gets the first row of the one after it, so one shuffle of the texts, in bounded windows, does for all neighbours.
     """
     rows = docs.select(col(id_col).alias("__id"), F.coalesce(col(text_col), F.lit("")).alias("__t"))
-    key = F.coalesce(F.col("__id").cast("long"), F.lit(-(1 << 63)))
-    rows = rows.withColumn("__k", key)
-    n, least, most = rows.agg(F.count(F.lit(1)), F.min("__k"), F.max("__k")).first()
-    cuts: list[int] = []
-    if n > per_bucket:
-        parts = min(-(-n // per_bucket), 10_000)
-        found = rows.agg(F.percentile_approx("__k", [i / parts for i in range(1, parts)], 10 * parts)).first()[0]
-        cuts = sorted(set(found) - {least})
-    # bucket 0 has the greatest ids; a bucket's first row is the greatest id in it
-    bounds = F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>")
-    bucket = _rank(bounds, F.col("__k"), len(cuts))
-    rows = rows.withColumn("__b", bucket)
-    order = [F.col("__k").desc(), F.xxhash64("__t"), F.col("__t")]
-    heads = rows.groupBy("__b").agg(F.max("__k").alias("__k"))
-    numbered = heads.select("__b", "__k", F.row_number().over(W.orderBy("__b")).alias("__n"))
-    total = len(cuts) + 1
-    # the row that a bucket's last one is followed by: the first of the next bucket that has any, or the first of all
-    ahead = numbered.select("__b", "__k", (F.when(F.col("__n") == 1, F.lit(None)).otherwise(F.col("__n") - 1)).alias("__p"))
-    ends = ahead.join(numbered.select(F.col("__n").alias("__p"), F.col("__b").alias("__to")), "__p", "left")
-    last_b = F.lit(total - 1)
-    firsts = rows.join(F.broadcast(ends.select("__b", "__k", "__to")), ["__b", "__k"])
-    first_of = firsts.groupBy("__b", "__to").agg(F.min_by("__t", F.struct(F.xxhash64("__t"), F.col("__t"))).alias("__t"))
-    last_used = heads.agg(F.max("__b").alias("__m"))
-    guests = first_of.crossJoin(F.broadcast(last_used)).select(F.lit(None).cast(rows.schema["__id"].dataType).alias("__id"), "__t", F.lit(None).cast("long").alias("__k"), F.coalesce("__to", "__m", last_b).alias("__b"), F.lit(True).alias("__guest"))
-    both = rows.withColumn("__guest", F.lit(False)).unionByName(guests)
-    dealt = both.repartition(max(1, total // 4), "__b") if total > 1 else both.repartition(1, "__b")
+    # ascending: ids from the greatest to the least, then the text's hash
+    falling = F.bitwise_not(F.coalesce(F.col("__id").cast("long"), F.lit(-(1 << 63))))
+    keyed = rows.select("*", F.struct(falling.alias("k"), F.xxhash64("__t").alias("h")).alias("__key"))
+    parts = max(1, -(-rows.count() // per_range))
+    keys = keyed.select("__key")
+    ranged = keys.repartitionByRange(parts, F.col("__key")["k"], F.col("__key")["h"]) if parts > 1 else keys
+    firsts = ranged.groupBy(F.spark_partition_id().alias("__p")).agg(F.min("__key").alias("__first"))
+    starts = stash(firsts.agg(F.lit(1).alias("__one"), F.array_sort(F.collect_set("__first")).alias("__starts")))
+    rows = keyed.withColumn("__one", F.lit(1)).join(F.broadcast(starts), "__one").withColumn("__b", _range_of(F.col("__starts"), F.col("__key")))
+    opens = F.get("__starts", "__b") == F.col("__key")
+    # the first row of a range is the guest at the end of the range before; that of the first range ends the last
+    guests = rows.where(opens).groupBy("__b").agg(F.min("__t").alias("__t"), F.first(F.size("__starts")).alias("__n"))
+    guests = guests.select(F.lit(None).cast(rows.schema["__id"].dataType).alias("__id"), "__t", F.lit(None).cast(rows.schema["__key"].dataType).alias("__key"), F.pmod(F.col("__b") - 1, F.col("__n")).alias("__b"), F.lit(True).alias("__guest"))
+    both = rows.drop("__starts", "__one").withColumn("__guest", F.lit(False)).unionByName(guests)
+    dealt = both.repartition(max(1, parts // 4), "__b")
     fp = add_sketch(dealt, "__t", "__fp", fraction)
-    w = W.partitionBy("__b").orderBy(F.col("__guest"), *order)
+    w = W.partitionBy("__b").orderBy("__guest", "__key", "__t")
     seen = fp.select("*", F.lead("__t").over(w).alias("__next"), F.lead("__fp").over(w).alias("__nfp")).where("not __guest")
     size = F.char_length("__t").cast("long")
     half = F.floor(size / 2).cast("int")
@@ -119,16 +109,14 @@ def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fract
     )
 
 
-def _rank(bounds: Column, key: Column, n: int) -> Column:
-    """How many of the n sorted bounds are >= the key... counted from the top: bucket 0 holds keys above all bounds."""
-    if n == 0:
-        return F.lit(0)
-    lo_hi = F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi"))
-    steps = max(1, n.bit_length())
+def _range_of(starts: Column, key: Column) -> Column:
+    """The number of the range that holds the key: of the last start that is not above it, by halving."""
+    n = F.size(starts)
+    steps = F.sequence(F.lit(1), F.greatest(F.ceil(F.log2(n + 1)).cast("int"), F.lit(1)))
 
     def halve(acc: Column, _: Column) -> Column:
         mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
-        more = (acc["lo"] < acc["hi"]) & (F.get(bounds, mid) < key)
-        return F.struct(F.when(more, mid + 1).otherwise(acc["lo"]).alias("lo"), F.when(more | (acc["lo"] >= acc["hi"]), acc["hi"]).otherwise(mid).alias("hi"))
+        below = F.get(starts, mid) <= key
+        return F.when(acc["hi"] - acc["lo"] < 2, acc).otherwise(F.struct(F.when(below, mid).otherwise(acc["lo"]).alias("lo"), F.when(below, acc["hi"]).otherwise(mid).alias("hi")))
 
-    return (F.lit(n) - F.aggregate(F.sequence(F.lit(1), F.lit(steps + 1)), lo_hi, halve)["lo"]).cast("int")
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), n.alias("hi")), halve)["lo"]

@@ -7,21 +7,21 @@ from pyspark.sql import functions as F
 from tapewright.llm import fingerprint as P
 
 
-def want(rows):
+def want(rows, pairs=False):
     """(id, text) in descending id order -> edited texts."""
-    out = {}
+    out = []
     for i, (k, t) in enumerate(rows):
         nxt = rows[(i + 1) % len(rows)][1]
         half = len(t) // 2
-        out[k] = t[: len(t) - half] + nxt[:half]
-    return out
+        out.append((k, t[: len(t) - half] + nxt[:half]))
+    return out if pairs else dict(out)
 
 
-def test_edits_by_buckets_are_those_of_one_order(spark):
+def test_edits_by_ranges_are_those_of_one_order(spark):
     data = [(i * 3 - 50, f"größe {i} " + " ".join(f"w{(i * j) % 89}é" for j in range(i % 40))) for i in range(300)]
     df = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
     for size in (20, 10_000):
-        rows = {r["doc_id"]: r for r in P.edits(df, per_bucket=size).collect()}
+        rows = {r["doc_id"]: r for r in P.edits(df, per_range=size).collect()}
         expected = want(sorted(data, reverse=True))
         assert {k: r["edited_text"] for k, r in rows.items()} == expected
         for k, r in rows.items():
@@ -53,3 +53,27 @@ def test_odd_rows(spark, odd, empty):
     assert P.edits(empty).count() == 0
     one = P.edits(odd.where("doc_id = 7")).first()
     assert one["near_next"] == 1.0
+
+
+def test_hot_ids_and_rows_keep_one_order(spark):
+    """A third of the rows under one id, a third alike, nulls last: the order is that of (id falling, hash, text)."""
+    data = [(5, f"text {i} of a hot id with some words") for i in range(90)] + [(9, "the same row again and again")] * 90 + [(i if i % 3 else None, f"row {i} has words of its own") for i in range(100, 190)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    hashes = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+    expected = want(sorted(data, key=lambda r: (r[0] is None, -(r[0] or 0), hashes[r[1]])), pairs=True)
+    got = sorted(((r["doc_id"], r["edited_text"]) for r in P.edits(df, per_range=10).collect()), key=str)
+    assert got == sorted(expected, key=str)
+
+
+def test_likeness_is_near_the_exact_one_on_real_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = P.edits(docs).toPandas()
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    order = sorted(texts, reverse=True)
+    exact = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    edited, near = [], []
+    after = dict(zip(order, [*order[1:], order[0]]))
+    for doc, e, x, y in zip(rows["doc_id"], rows["edited_text"], rows["near_edited"], rows["near_next"]):
+        edited.append(abs(x - exact(shingle_set(texts[doc]), shingle_set(e))))
+        near.append(abs(y - exact(shingle_set(texts[doc]), shingle_set(texts[after[doc]]))))
+    assert sum(edited) / len(edited) < 0.045 and sum(near) / len(near) < 0.02
