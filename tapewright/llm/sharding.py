@@ -17,47 +17,68 @@ from .common import col, without
 
 #: Multiplier of the generator in the paper.
 MULTIPLIER = 2862933555777941757
+#: The usual walk may visit this many times 3 + log2(shards) shards.
+USUAL = 3
 _BIG, _STATE = "decimal(38,0)", "decimal(20,0)"
 
 
-def jump_hash(key: Column, shards: int) -> Column:
-    """The shard (0 to shards - 1) of a long key; each step moves ahead by one shard at least, so `shards` steps suffice."""
+def jump_walk(key: Column, shards: int) -> Column:
+    """struct(shard, grown_shard) of a non-null long key among `shards` and among one more, in one walk.
+
+    A walk visits about ln(shards) shards, in rising order; the few keys with longer walks than that allows for go on.
+    """
     if shards < 1:
         raise ValueError("shards must be positive")
     modulus = F.lit(str(1 << 64)).cast(_STATE)
-    start = F.struct(F.pmod(key.cast(_BIG), modulus).cast(_STATE).alias("k"), F.lit(-1).cast("long").alias("b"), F.lit(0).cast("long").alias("j"))
+    zero = F.lit(0).cast("long")
+    start = F.struct(F.pmod(key.cast(_BIG), modulus).cast(_STATE).alias("k"), zero.alias("b"), zero.alias("g"), zero.alias("j"))
 
     def step(acc: Column, _: Column) -> Column:
         k = ((acc["k"] * F.lit(MULTIPLIER).cast("decimal(19,0)")).cast(_BIG) + F.lit(1).cast("decimal(1,0)")) % modulus
         k = k.cast(_STATE)
         high = F.floor(k / F.lit(1 << 33).cast("decimal(10,0)")).cast("double")
         j = F.floor((acc["j"] + 1).cast("double") * (F.lit(float(1 << 31)) / (high + 1.0))).cast("long")
-        return F.when(acc["j"] < shards, F.struct(k.alias("k"), acc["j"].alias("b"), j.alias("j"))).otherwise(acc)
+        b = F.when(acc["j"] < shards, acc["j"]).otherwise(acc["b"])
+        return F.when(acc["j"] <= shards, F.struct(k.alias("k"), b.alias("b"), acc["j"].alias("g"), j.alias("j"))).otherwise(acc)
 
-    last = F.aggregate(F.sequence(F.lit(1), F.lit(shards)), start, step)
-    return F.when(key.isNull(), F.lit(0)).otherwise(last["b"].cast("int"))
+    walk = lambda state, n: F.aggregate(F.sequence(F.lit(1), F.lit(n)), state, step)
+    usual = USUAL * (3 + shards.bit_length())
+    ended = lambda s: F.struct(s["b"].cast("int").alias("shard"), s["g"].cast("int").alias("grown_shard"))
+    if usual >= shards + 1:
+        return F.transform(F.array(walk(start, shards + 1)), ended)[0]
+    return F.transform(F.array(walk(start, usual)), lambda s: F.when(s["j"] > shards, ended(s)).otherwise(ended(walk(s, shards + 1 - usual))))[0]
+
+
+def jump_hash(key: Column, shards: int) -> Column:
+    """The shard (0 to shards - 1) of a long key; a null key has shard 0."""
+    return F.when(key.isNull(), F.lit(0)).otherwise(jump_walk(key, shards)["shard"])
 
 
-def assign(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", chunks: int = 256) -> DataFrame:
+def assign(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", chunk_rows: int = 50_000) -> DataFrame:
     """(id, size, text_crc32, shard, slot, grown_shard) for every row.
 
-    size: UTF-8 bytes of the text plus 8. slot numbers a shard's rows without gaps from 0. A shard is numbered in
-    `chunks` hash chunks, each a window of its own, on top of the rows of the chunks before; no window holds a shard.
+    size: UTF-8 bytes of the text plus 8. slot numbers a shard's rows without gaps from 0. Rows alike in all columns are
+    counted before they move and spread out again at the end; a shard is numbered in hash chunks of about `chunk_rows`,
+    each a window of its own, on top of the rows of the chunks before. No window holds a shard, or the copies of a row.
     """
     text = col(text_col).cast("binary")
-    rows = docs.select(
+    chunks = max(1, -(-docs.count() // (shards * chunk_rows)))
+    named = docs.select(
         col(id_col).alias("__id"),
         (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8).alias("size"),
         F.crc32(F.coalesce(text, F.lit(b""))).alias("text_crc32"),
-        jump_hash(col(id_col).cast("long"), shards).alias("shard"),
-        jump_hash(col(id_col).cast("long"), shards + 1).alias("grown_shard"),
-        F.pmod(F.xxhash64(col(id_col), F.crc32(F.coalesce(text, F.lit(b"")))), F.lit(chunks)).cast("int").alias("__chunk"),
     )
-    counts = rows.groupBy("shard", "__chunk").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.select("shard", "__chunk", (F.sum("n").over(W.partitionBy("shard").orderBy("__chunk")) - F.col("n")).alias("__before"))
-    inside = F.row_number().over(W.partitionBy("shard", "__chunk").orderBy("__id", "size", "text_crc32")).cast("long")
-    out = rows.withColumn("__at", inside).join(before, ["shard", "__chunk"])
-    return out.select(F.col("__id").alias(id_col), "size", "text_crc32", "shard", (F.col("__before") + F.col("__at") - 1).alias("slot"), "grown_shard")
+    alike = named.groupBy("__id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("__rows"))
+    walk = F.when(F.col("__id").isNull(), F.struct(F.lit(0).alias("shard"), F.lit(0).alias("grown_shard"))).otherwise(jump_walk(F.col("__id").cast("long"), shards))
+    rows = alike.withColumn("__to", walk).select("*", "__to.*", F.pmod(F.xxhash64("__id", "text_crc32"), F.lit(chunks)).cast("int").alias("__chunk")).drop("__to")
+    order = W.partitionBy("shard", "__chunk").orderBy("__id", "size", "text_crc32")
+    placed = rows.withColumn("__before", F.sum("__rows").over(order) - F.col("__rows"))
+    if chunks > 1:
+        counts = rows.groupBy("shard", "__chunk").agg(F.sum("__rows").alias("n"))
+        below = counts.select("shard", "__chunk", (F.sum("n").over(W.partitionBy("shard").orderBy("__chunk")) - F.col("n")).alias("__below"))
+        placed = placed.join(below, ["shard", "__chunk"]).withColumn("__before", F.col("__before") + F.col("__below"))
+    each = placed.withColumn("__at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__rows") - 1)))
+    return each.select(F.col("__id").alias(id_col), "size", "text_crc32", "shard", (F.col("__before") + F.col("__at")).alias("slot"), "grown_shard")
 
 
 def write_shards(docs: DataFrame, path: str, shards: int, id_col: str = "doc_id") -> None:
