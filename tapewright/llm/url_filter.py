@@ -1,7 +1,7 @@
 """URL filters: gradient-boosted trees on lexical features, under explicit host and path rules.
 
-Everything is DataFrame work: features are column expressions, suffix statistics are grouped aggregates of the training
-sample, the trees are Spark's own GBTClassifier, and a fitted model is applied as one column expression.
+Everything is DataFrame work: features are column expressions, suffix statistics are grouped aggregates of the
+labelled urls, the trees are Spark's own GBTClassifier, and a fitted model is applied as one column expression.
 
 Defined results: null urls and urls without `://` have an empty host and path and meet no rule; without labelled rows of
 both kinds the method allows all; rows are kept one for one, repeated ones too.
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .common import bounded_rows, col, stash, without
 
 FEATURES = ("url_length", "host_length", "host_labels", "host_digits", "host_dashes", "host_entropy", "path_depth", "path_length", "path_digits", "path_entropy", "longest_part", "n_params", "query_length", "has_fragment", "has_extension", "secure", "suffix_risk", "domain_risk", "suffix_rows", "domain_rows")
+#: Labelled urls of either kind, half and half, that every suffix and domain is taken to have beside its own.
+PRIOR = 10.0
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -123,32 +125,51 @@ class UrlModel:
         return scored.select("__row.*", (F.col("__verdict") > 0.5).alias("blocked"))
 
 
+def _counts(labelled: DataFrame, key: str, name: str, *more: str) -> DataFrame:
+    return labelled.groupBy(key, *more).agg(F.sum("__y").alias(f"{name}_blocked"), F.count(F.lit(1)).cast("double").alias(f"{name}_seen"))
+
+
+def _risk(name: str, blocked: Column, seen: Column) -> dict[str, Column]:
+    """Blocked share of the labelled urls, drawn to one half by PRIOR urls that nobody saw, and how many there were."""
+    return {f"{name}_risk": (blocked + PRIOR / 2) / (seen + PRIOR), f"{name}_rows": F.log1p(seen)}
+
+
 def _join_risk(x: DataFrame, suffixes: DataFrame, domains: DataFrame) -> DataFrame:
-    """Smoothed blocked shares of a host's last label and last two, over all labelled urls; sizes decide how they are joined."""
-    x = x.join(suffixes, "__suffix", "left").join(domains, "__domain", "left")
-    return x.fillna({"suffix_risk": 0.5, "domain_risk": 0.5, "suffix_rows": 0.0, "domain_rows": 0.0})
+    """Adds the statistics of a host's last label and last two, over all labelled urls; sizes decide how they are joined."""
+    for key, name, found in (("__suffix", "suffix", suffixes), ("__domain", "domain", domains)):
+        x = x.join(found, key, "left")
+        x = x.withColumns(_risk(name, F.coalesce(f"{name}_blocked", F.lit(0.0)), F.coalesce(f"{name}_seen", F.lit(0.0))))
+    return x
 
 
-def fit(docs: DataFrame, url_col: str, blocked: Column, most_rows: int = 4000, trees: int = 12, depth: int = 4) -> UrlModel:
+def fit(docs: DataFrame, url_col: str, blocked: Column, most_rows: int = 4000, trees: int = 12, depth: int = 4, folds: int = 4) -> UrlModel:
     """Fit on at most `most_rows` distinct labelled urls of each kind (a documented bound), the same ones on every run.
 
-    Suffix and domain statistics count every distinct labelled url.
+    Suffix and domain statistics count every distinct labelled url; a url that is learnt from gets those of the hosts in
+    the other folds, so that the trees learn what the statistics say of hosts that they do not hold.
     `blocked` is a nullable boolean over the columns of `docs` plus host and path; null rows are unlabelled.
     """
     parsed = parse(docs, url_col).withColumn("__y", blocked.cast("double")).where("__y is not null and host <> ''").select(col(url_col).alias("__url"), "host", "path", "rest", "__y")
     urls = parsed.dropDuplicates(["__url", "__y"])
     parts = [bounded_rows(urls.where(F.col("__y") == y), most_rows, F.col("__url"), F.col("host")) for y in (0.0, 1.0)]
-    sample = stash(lexical(parts[0].unionByName(parts[1]), "__url").coalesce(4))
+    fold = F.pmod(F.xxhash64("host"), F.lit(folds)).alias("__fold")
+    sample = stash(lexical(parts[0].unionByName(parts[1]), "__url").select("*", fold).coalesce(4))
     if sample.select("__y").distinct().count() < 2:
         return UrlModel(None, None, None)
-    risks, every = [], stash(lexical(urls, "__url").select("__suffix", "__domain", "__y"))
+    every = stash(lexical(urls, "__url").select("__suffix", "__domain", "__y", fold))
+    whole, x = [], sample
     for key, name in (("__suffix", "suffix"), ("__domain", "domain")):
-        risks.append(stash(every.groupBy(key).agg(((F.sum("__y") + 1.0) / (F.count(F.lit(1)) + 2.0)).alias(f"{name}_risk"), F.log1p(F.count(F.lit(1))).alias(f"{name}_rows"))))
-    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="__x").transform(_join_risk(sample, *risks)).select("__x", "__y")
+        by_fold = stash(_counts(every, key, name, "__fold"))
+        total = stash(by_fold.groupBy(key).agg(*[F.sum(f"{name}_{c}").alias(f"{name}_{c}") for c in ("blocked", "seen")]))
+        mine = by_fold.select(key, "__fold", F.col(f"{name}_blocked").alias("__b"), F.col(f"{name}_seen").alias("__n"))
+        x = x.join(total, key).join(mine, [key, "__fold"])
+        x = x.withColumns(_risk(name, F.col(f"{name}_blocked") - F.col("__b"), F.col(f"{name}_seen") - F.col("__n"))).drop("__b", "__n")
+        whole.append(total)
+    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="__x").transform(x).select("__x", "__y")
     boosted = GBTClassifier(featuresCol="__x", labelCol="__y", predictionCol="__verdict", maxIter=trees, maxDepth=depth, stepSize=0.2, seed=17, maxBins=32)
     boosted.set(boosted.rawPredictionCol, "__score")
     boosted.set(boosted.probabilityCol, "__share")
-    return UrlModel(boosted.fit(rows), *risks)
+    return UrlModel(boosted.fit(rows), *whole)
 
 
 def judge(docs: DataFrame, rules: list[Rule], model: UrlModel, url_col: str = "url") -> DataFrame:

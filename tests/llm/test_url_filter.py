@@ -71,5 +71,26 @@ def test_copies_do_not_fill_the_sample_and_statistics_count_all(spark, monkeypat
     df = spark.createDataFrame(rows, "url string, label boolean")
     model = U.fit(df, "url", F.col("label"), most_rows=20, trees=2, depth=2)
     assert [d.select("__url").distinct().count() for d in drawn] == [20, 20]
-    counts = {r["__domain"]: round(r["n"]) for r in model.domains.select("__domain", F.expm1("domain_rows").alias("n")).collect()}
-    assert counts == {"good.org": 60, "bad.biz": 60}
+    assert {r["__domain"]: (r["domain_blocked"], r["domain_seen"]) for r in model.domains.collect()} == {"good.org": (0, 60), "bad.biz": (60, 60)}
+
+
+def test_trees_judge_urls_of_hosts_that_they_never_saw(spark):
+    """Blocked: digits and dashes in the host and many parameters, on suffixes that both kinds use."""
+    def url(i):
+        bad = i % 2 == 0
+        host = f"x{i * 7919 % 10**6}-{i}-w{i % 13}" if bad else f"{'abcdefghij'[i % 10] * 3}site{'klmno'[i % 5]}"
+        return f"https://{host}.{('com', 'org', 'net')[i // 2 % 3]}/{'a' if bad else 'news'}/{i}" + ("?p=1&q=2&r=3" if bad else ""), bad
+
+    rows = [url(i) for i in range(1600)]
+    train, held = spark.createDataFrame(rows[:800], "url string, label boolean"), spark.createDataFrame(rows[800:], "url string, label boolean")
+    model = U.fit(train, "url", F.col("label"), trees=5, depth=3)
+    right = model.predict(held).agg(F.avg((F.col("blocked") == F.col("label")).cast("double"))).first()[0]
+    assert right >= 0.95
+
+
+def test_long_urls_and_clashing_names(spark):
+    df = spark.createDataFrame([("https://a.example.net/en/" + "x/" * 200_000, "r", "v", "p"), (None, "r", "v", "p"), ("", "r", "v", "p")], "url string, rule string, Verdict string, path string")
+    train = spark.createDataFrame([(f"https://h{i}.net/{i}", i % 2 == 0) for i in range(40)], "url string, label boolean")
+    out = U.judge(df, RULES, U.fit(train, "url", F.col("label"), trees=2, depth=2)).collect()
+    assert len(out) == 3 and {r["rule"] for r in out} == {"example.net/en/", None}
+    assert max(len(r["path"]) for r in out) == 400_004
