@@ -5,13 +5,11 @@ language ID -> toxicity -> MinHash near-dedup -> mixing sources to target weight
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewright.llm import langid, mixing, neardup, packing, toxicity
-from tapewright.llm.common import scratch, table
+from tapewright.llm.common import stash, table
 from tapewright.llm.queries import tokenizer_path
 
 
@@ -39,7 +37,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document appears as often as the mix takes it: not at all, once or twice; rows lie by shard, shuffled in each."""
-    return _as_documents(mixing.in_order(mixing.mix(docs, mixing.make_plan(docs))), docs)
+    plan = mixing.make_plan(docs)
+    return _as_documents(mixing.in_order(mixing.mix(docs, plan), plan), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,10 +52,8 @@ STAGES = [("language_id", language), ("toxicity", clean), ("near_dedup", near_de
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; between them the rows lie as Parquet in the shared folder."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        path = f"{scratch(spark)}/pipeline-{uuid.uuid4().hex}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    for _, stage in STAGES[:-1]:
+        docs = stash(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
