@@ -26,6 +26,11 @@ BAR_NAMES = {
 #: Indicator families and their canonical prefix; parameters follow, joined by underscores.
 FAMILIES = {"sma": "sma", "ema": "ema", "rsi": "rsi", "adx": "adx", "bbu": "bbu", "bbupper": "bbu", "bbm": "bbm", "bbmid": "bbm", "bbl": "bbl", "bblower": "bbl", "+di": "plus_di", "-di": "minus_di"}
 
+#: Names that a file loader writes in full, stems that it spells out, and names that swallow what follows.
+LOADER_NAMES = {"cci_20_0": "cci_20", "psarl_0": "psarl_0_02_0_2"}
+LOADER_STEMS = {"aroonu": "aroon_up", "aroond": "aroon_down"}
+LOADER_HEADS = ("bbm_20_2", "bbu_20_2")
+
 _DOTLESS = str.maketrans({"ı": "i", "İ": "i"})
 _FAMILY = re.compile(r"(?P<head>[+-]di|[a-z]+)[_.]?(?P<args>\d+(?:[_.]\d+(?:[.p]\d+)?)?)")
 
@@ -59,5 +64,19 @@ def canonical(name: str, aliases: dict[str, str] | None = None) -> str:
     return "_".join(_parameter(x) if re.fullmatch(r"\d+[.p]\d+", x) else x for x in text.split("_"))
 
 
+def without_copy_number(name: str, columns: list[str]) -> str:
+    """Close.1 -> Close, where the header also has Close or Close is a bar column: readers number repeated headers."""
+    base = re.sub(r"\.\d+$", "", name)
+    return base if base in columns or fold(base.strip()) in BAR_NAMES else name
+
+
 def canonical_map(columns: list[str], aliases: dict[str, str] | None = None) -> dict[str, str]:
-    return {c: canonical(c, aliases) for c in columns}
+    return {c: canonical(without_copy_number(c, columns), aliases) for c in columns}
+
+
+def loader_name(name: str) -> str:
+    """A canonical name as a file loader settles it: cci_20_0, psarl_0, aroonu_14, bbm_20_2_x."""
+    stem, _, rest = name.partition("_")
+    if stem in LOADER_STEMS and rest:
+        return f"{LOADER_STEMS[stem]}_{rest}"
+    return LOADER_NAMES.get(name) or next((h for h in LOADER_HEADS if name.startswith(h)), name)

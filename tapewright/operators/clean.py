@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalar as S
-from ..functions.names import canonical_map
+from ..functions.names import canonical_map, loader_name
 
 OHLCV = ("open", "high", "low", "close", "volume")
 
@@ -37,11 +38,11 @@ class Renaming:
         return out + [(old, "", "dropped") for old in self.dropped]
 
 
-def plan_names(columns: list[str], aliases: dict[str, str] | None = None, policy: str = "strict") -> Renaming:
-    """Resolve canonical names; policy says what to do where several columns share one: strict, prefer_first or suffix."""
+def plan_names(columns: list[str], aliases: dict[str, str] | None = None, policy: str = "strict", settle: Callable[[str], str] = str) -> Renaming:
+    """Resolve canonical names, numbered copies (Close.1) with their original; `settle` may change a canonical name; policy says what to do where several columns share one: strict, prefer_first or suffix."""
     if policy not in ("strict", "prefer_first", "suffix"):
         raise ValueError(f"unknown policy {policy!r}")
-    wanted = canonical_map(columns, aliases)
+    wanted = {c: settle(new) for c, new in canonical_map(columns, aliases).items()}
     groups: dict[str, list[str]] = {}
     for old in columns:
         groups.setdefault(wanted[old], []).append(old)
@@ -65,11 +66,12 @@ def canonicalise(df: DataFrame, aliases: dict[str, str] | None = None, policy: s
 
 
 def merge_equal_columns(df: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
-    """Columns that share a canonical name: an equal copy is dropped, a different one renamed `_alt`, `_alt2`, ...
+    """Columns that share a canonical name, numbered copies and a loader's spellings included: an equal copy is dropped, a
+    different one renamed `_alt`, `_alt2`, ...
 
     One aggregation compares all pairs.
     """
-    plan = plan_names(df.columns, aliases, "suffix")
+    plan = plan_names(df.columns, aliases, "suffix", loader_name)
     pairs = [(olds[0], old) for olds in plan.collisions.values() for old in olds[1:]]
     same = {}
     if pairs:

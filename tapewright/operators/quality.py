@@ -70,16 +70,19 @@ def check_types(df: DataFrame, required: T.StructType) -> list[str]:
     return [f"{f.name}: {'missing' if f.name not in have else have[f.name].simpleString() + ' is not ' + f.dataType.simpleString()}" for f in required.fields if have.get(f.name) != f.dataType]
 
 
-def store_integrity(store: DataFrame, symbols: DataFrame, days: DataFrame) -> DataFrame:
-    """symbol, issues (sorted array) of every symbol asked for: missing, duplicate_dates, nan_values, weekend, gaps."""
+def store_integrity(store: DataFrame, symbols: DataFrame, days: DataFrame, required: tuple[str, ...] = (), order: str | None = None) -> DataFrame:
+    """symbol, issues (sorted array) of every symbol asked for: missing, duplicate_dates, nan_values, weekend, gaps,
+    missing_cols (the store lacks a required column) and not_sorted (dates fall somewhere in the order of a column)."""
     gaps = missing_days(store, days).groupBy("symbol").agg(F.count(F.lit(1)).alias("gaps"))
-    values = [c for c in store.columns if c not in ("symbol", "date", "yyyymm")]
+    values = [c for c in store.columns if c not in ("symbol", "date", "yyyymm", order)]
+    lacking = [c for c in required if c not in store.columns]
+    store = store.withColumn("__falls", F.col("date") < F.lag("date").over(W.partitionBy("symbol").orderBy(order)) if order else F.lit(False))
     nulls = F.lit(False)
     for c in values:
         nulls = nulls | F.col(c).isNull()
-    flags = store.groupBy("symbol").agg((F.count("date") > F.countDistinct("date")).alias("dup"), (F.count_if(nulls) > 0).alias("nan"), (F.count_if(S.is_weekend("date")) > 0).alias("weekend"))
+    flags = store.groupBy("symbol").agg((F.count("date") > F.countDistinct("date")).alias("dup"), (F.count_if(nulls) > 0).alias("nan"), (F.count_if(S.is_weekend("date")) > 0).alias("weekend"), (F.count_if("__falls") > 0).alias("falls"))
     rows = symbols.select("symbol").distinct().join(flags, "symbol", "left").join(gaps, "symbol", "left")
-    found = [(F.col("dup").isNull(), "missing"), (S.known(F.col("dup")), "duplicate_dates"), (S.known(F.col("nan")), "nan_values"), (S.known(F.col("weekend")), "weekend"), (F.col("gaps").isNotNull(), "gaps")]
+    found = [(F.col("dup").isNull(), "missing"), (S.known(F.col("dup")), "duplicate_dates"), (S.known(F.col("nan")), "nan_values"), (S.known(F.col("weekend")), "weekend"), (F.col("gaps").isNotNull(), "gaps"), (S.known(F.col("falls")), "not_sorted"), (F.col("dup").isNotNull() & F.lit(bool(lacking)), "missing_cols")]
     return rows.select("symbol", F.array_sort(F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, n in found]))).alias("issues"))
 
 

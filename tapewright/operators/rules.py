@@ -177,15 +177,15 @@ def _text(value: str | None) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def scan(panel: DataFrame, rules: list[Rule], start=None, end=None, on_error: str = "skip") -> DataFrame:
-    """Signals (filter_code, grp, symbol, side, date) of all rules on all bars of [start, end], history first.
+def scan(panel: DataFrame, rules: list[Rule], start=None, end=None, on_error: str = "skip", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Signals (filter_code, grp, symbol, side, date, and the bar's columns named in `carry`) of all rules on all bars of [start, end], history first.
 
     One row for each hit, codes being unique and bars too. A rule costs an expression, not a pass over the panel.
     """
     good = usable(panel, rules, on_error)
-    columns = "filter_code string, grp string, symbol string, side string, date date"
     if not good:
-        return panel.sparkSession.createDataFrame([], columns)
+        none = F.lit(None).cast("string")
+        return panel.where("false").select(none.alias("filter_code"), none.alias("grp"), "symbol", none.alias("side"), "date", *carry)
     found = []
     for at in range(0, len(good), CHUNK):
         # texts go to Spark's parser as one expression, so that a rule costs no call of its own
@@ -201,14 +201,14 @@ def scan(panel: DataFrame, rules: list[Rule], start=None, end=None, on_error: st
         if columns_:
             found.append(F.array_compact(F.array(*columns_)))
     every = found[0] if len(found) == 1 else F.concat(*found)
-    rows = panel.select("symbol", "date", every.alias("__hits"))  # before the days are cut: rules see all history
+    rows = panel.select("symbol", "date", *carry, every.alias("__hits"))  # before the days are cut: rules see all history
     if start is not None:
         rows = rows.where(F.col("date") >= F.lit(start).cast("date"))
     if end is not None:
         rows = rows.where(F.col("date") <= F.lit(end).cast("date"))
     about = F.expr("array(" + ", ".join(f"named_struct('filter_code', {_text(r.code)}, 'grp', {_text(r.group)}, 'side', {_text(r.side)})" for r, _ in good) + ")")
-    hit = rows.select("symbol", "date", F.explode("__hits").alias("n"))
-    return hit.select("symbol", "date", F.get(about, F.col("n")).alias("r")).select("r.filter_code", "r.grp", "symbol", "r.side", "date")
+    hit = rows.select("symbol", "date", *carry, F.explode("__hits").alias("n"))
+    return hit.select("symbol", "date", *carry, F.get(about, F.col("n")).alias("r")).select("r.filter_code", "r.grp", "symbol", "r.side", "date", *carry)
 
 
 def scan_day(panel: DataFrame, rules: list[Rule], day, on_error: str = "skip") -> DataFrame:

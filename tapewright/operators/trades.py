@@ -34,6 +34,18 @@ def returns(panel: DataFrame, signals: DataFrame, holding: int = 1, cost_pct: fl
         calendar = days if days is not None else trading_days(panel)
         later = one_bar.select("symbol", F.col("date").alias("exit_date"), F.col("close").alias("exit_close"))
         joined = after_days(asked.join(priced.drop("close"), ["symbol", "date"], "left"), calendar, holding).join(later, ["symbol", "exit_date"], "left")
+    return settle_trades(joined, cost_pct)
+
+
+def with_exits(panel: DataFrame, holding: int = 1) -> DataFrame:
+    """Adds entry_close, exit_date and exit_close (the symbol's h-th next bar) to bars that are unique, in the exchange by
+    symbol that their indicators need anyway. Carried through a scan they make trades without a join."""
+    w = W.partitionBy("symbol").orderBy("date")
+    return panel.withColumns({"entry_close": F.col("close"), "exit_date": F.lead("date", holding).over(w), "exit_close": F.lead("close", holding).over(w)})
+
+
+def settle_trades(joined: DataFrame, cost_pct: float = 0.0) -> DataFrame:
+    """The table of returns() from signals that have their entry_close, exit_date and exit_close."""
     side = F.lower(F.trim(F.coalesce("side", F.lit(""))))
     sign = F.when(side.isin("", "long"), 1.0).when(side == "short", -1.0)
     reason = F.when(sign.isNull(), INVALID_SIDE).when(~S.gt("entry_close", 0.0), INVALID_ENTRY).when(~S.gt("exit_close", 0.0), INVALID_EXIT)

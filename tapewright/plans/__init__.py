@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bars, evaluation, indicators, portfolio, quality, range_job, stores
+from . import bars, evaluation, files, indicators, portfolio, quality, range_job, stores
 from .base import ORACLES, QUERIES
 
-__all__ = ["bars", "evaluation", "indicators", "oracle_sql", "portfolio", "quality", "queries", "range_job", "stores"]
+__all__ = ["bars", "evaluation", "files", "indicators", "oracle_sql", "portfolio", "quality", "queries", "range_job", "stores"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

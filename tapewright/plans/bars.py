@@ -26,7 +26,8 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trade_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trades.returns(B.panel(spark, sf_dir), signals(spark, sf_dir), 1, 0.1)
+    bars = trades.with_exits(smas(spark, sf_dir))
+    return trades.settle_trades(rules.scan(bars, RULES, carry=("entry_close", "exit_date", "exit_close")), 0.1)
 
 
 def bench_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,19 +71,7 @@ def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settled(B.benchmark(spark, sf_dir), "close")
 
 
-@query(
-    "s9_wide_to_long",
-    "SELECT symbol, date, any_value(close) AS close, any_value(volume) AS volume FROM panel WHERE symbol IN ('S1', 'S2', 'S3') GROUP BY symbol, date",
-    ("panel",),
-)
-def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S-9: a two-field wide panel of three symbols and back."""
-    p = B.panel(spark, sf_dir).where(F.col("symbol").isin("S1", "S2", "S3"))
-    w = p.groupBy("date").pivot("symbol", ["S1", "S2", "S3"]).agg(F.first("close").alias("close"), F.first("volume").alias("volume"))
-    return readers.wide_to_long(w).where("close is not null")
-
-
-@query("s9_wide_to_long_whole", "SELECT symbol, date, close, volume FROM panel", ("panel",))
+@query("s9_wide_to_long", "SELECT symbol, date, close, volume FROM panel", ("panel",))
 def wide_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S-9: a two-field wide panel of all symbols and back."""
     w = B.panel(spark, sf_dir).groupBy("date").pivot("symbol").agg(F.first("close").alias("close"), F.first("volume").alias("volume"))
@@ -195,12 +184,7 @@ def crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("symbol", "date", "up", "down", "over_level", "under_level", S.falls_to("close", F.lit(1500.0), w).alias("falls"), S.not_on_last_bar(F.col("up"), w).alias("up_masked"))
 
 
-@query("p14_keep", "SELECT symbol, date, close FROM smas WHERE coalesce(sma_5 > sma_10, false) AND symbol IN ('S1', 'S2')", ("smas",))
-def keep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.keep(smas(spark, sf_dir), "sma_5 > sma_10 and symbol in ('S1', 'S2')").select("symbol", "date", "close")
-
-
-@query("p14_keep_whole", "SELECT symbol, date, close FROM smas WHERE coalesce(sma_5 > sma_10, false)", ("smas",))
+@query("p14_keep", "SELECT symbol, date, close FROM smas WHERE coalesce(sma_5 > sma_10, false)", ("smas",))
 def keep_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.keep(smas(spark, sf_dir), "sma_5 > sma_10").select("symbol", "date", "close")
 
@@ -232,17 +216,6 @@ def many_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "q4_k10_rule_audit",
-    "SELECT r.code, d.date, coalesce(h.hits, 0) AS hits FROM (VALUES ('DOWN_DAY'), ('UP_DAY'), ('BROKEN')) r(code) CROSS JOIN (SELECT DISTINCT date FROM panel WHERE date < DATE '1996-01-01') d LEFT JOIN (SELECT filter_code, date, count(*) AS hits FROM signals GROUP BY ALL) h ON h.filter_code = r.code AND h.date = d.date",
-    ("signals", "panel"),
-)
-def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = smas(spark, sf_dir)
-    days = p.where("date < '1996-01-01'").select("date").distinct()
-    return rules.rule_audit(p, [*RULES[:2], rules.Rule("BROKEN", "no_such_column > 1")], days).select("code", "date", "hits")
-
-
-@query(
-    "q4_k10_rule_audit_whole",
     "SELECT r.code, d.date, coalesce(h.hits, 0) AS hits FROM (VALUES ('DOWN_DAY'), ('UP_DAY'), ('BROKEN')) r(code) CROSS JOIN (SELECT DISTINCT date FROM panel) d LEFT JOIN (SELECT filter_code, date, count(*) AS hits FROM signals GROUP BY ALL) h ON h.filter_code = r.code AND h.date = d.date",
     ("signals", "panel"),
 )
@@ -280,13 +253,7 @@ def missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.missing_days(p, C.trading_days(p)).groupBy("symbol").agg(F.count(F.lit(1)).alias("missing"))
 
 
-@query("q9_missing_panel_days", "SELECT date FROM cal WHERE date NOT IN (SELECT date FROM panel WHERE symbol IN ('S1', 'S2', 'S3'))", ("panel", "cal"))
-def missing_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = B.panel(spark, sf_dir)
-    return C.check_missing(p.where(F.col("symbol").isin("S1", "S2", "S3")), C.trading_days(p), raise_error=False)
-
-
-@query("q9_missing_panel_days_whole", "SELECT date FROM cal WHERE date NOT IN (SELECT date FROM panel)", ("panel", "cal"))
+@query("q9_missing_panel_days", "SELECT date FROM cal WHERE date NOT IN (SELECT date FROM panel)", ("panel", "cal"))
 def missing_panel_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = B.panel(spark, sf_dir)
     return C.check_missing(p, C.trading_days(p), raise_error=False)
@@ -307,16 +274,7 @@ _REASONS = f"""
            CASE WHEN reason IS NULL THEN {r4("(exit_close / entry_close - 1) * 100 * CASE WHEN side = 'SHORT ' THEN -1 ELSE 1 END - 0.2")} END AS return_pct FROM y"""
 
 
-@query("b2_b4_reasons", _REASONS, ("panel", "flawed", "cal"))
-def reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """B-2, B-3, B-4, J-4: sides, invalid prices, exits three trading days on; defects in the prices."""
-    p, f = B.panel(spark, sf_dir), flawed(spark, sf_dir)
-    day = F.dayofmonth("date")
-    s = p.where(day.between(10, 20)).select(F.lit("A").alias("filter_code"), "symbol", F.when(day % 4 == 0, "foo").when(day % 4 == 1, "SHORT ").when(day % 4 == 2, "").alias("side"), "date")
-    return settled(trades.returns(f, s, 3, 0.2, C.trading_days(p)).select("symbol", "date", "entry_close", "exit_date", "exit_close", "side", "reason", "return_pct"), "return_pct")
-
-
-@query("b2_b4_reasons_whole", _REASONS.replace(" WHERE day(date) BETWEEN 10 AND 20", ""), ("panel", "flawed", "cal"))
+@query("b2_b4_reasons", _REASONS.replace(" WHERE day(date) BETWEEN 10 AND 20", ""), ("panel", "flawed", "cal"))
 def reasons_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B-2, B-3, B-4, J-4: a signal for every bar of the panel."""
     p, f = B.panel(spark, sf_dir), flawed(spark, sf_dir)
@@ -352,30 +310,13 @@ def kpi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settled(summary.kpi(daily(spark, sf_dir)), "value")
 
 
-_SOME_DAYS = ["1998-06-15", "1998-06-16", "1998-06-17"]
-
-
-@query("a4_rule_by_day", f"SELECT filter_code, coalesce(side, 'long') AS side, {', '.join(r4(f'''avg(CASE WHEN date = DATE '{d}' THEN return_pct END)''') + f' AS d{i}' for i, d in enumerate(_SOME_DAYS))} FROM trades WHERE date IN ({', '.join(f'''DATE '{d}' ''' for d in _SOME_DAYS)}) GROUP BY ALL", ("trades",))
-def rule_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = trade_table(spark, sf_dir).where(F.col("date").isin(*_SOME_DAYS)).withColumn("date", F.col("date").cast("string"))
-    out = summary.rule_by_day(t, _SOME_DAYS, by_side=True)
-    return settled(out.select("filter_code", "side", *[F.col(f"`{d}`").alias(f"d{i}") for i, d in enumerate(_SOME_DAYS)]), "d0", "d1", "d2")
-
-
-@query("a24_win_rate", f"SELECT filter_code, {', '.join(r4(f'''avg(CASE WHEN date = DATE '{d}' THEN CAST(return_pct > 0 AS DOUBLE) END)''') + f' AS d{i}' for i, d in enumerate(_SOME_DAYS))} FROM trades WHERE date IN ({', '.join(f'''DATE '{d}' ''' for d in _SOME_DAYS)}) GROUP BY ALL", ("trades",))
-def win_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = trade_table(spark, sf_dir).where(F.col("date").isin(*_SOME_DAYS)).withColumn("date", F.col("date").cast("string"))
-    out = summary.win_rate_by_day(t, _SOME_DAYS)
-    return settled(out.select("filter_code", *[F.col(f"`{d}`").alias(f"d{i}") for i, d in enumerate(_SOME_DAYS)]), "d0", "d1", "d2")
-
-
-@query("a4_rule_by_day_whole", f"SELECT filter_code, coalesce(side, 'long') AS side, date, {r4('avg(return_pct)')} AS mean_ret FROM trades WHERE return_pct IS NOT NULL GROUP BY ALL", ("trades",))
+@query("a4_rule_by_day", f"SELECT filter_code, coalesce(side, 'long') AS side, date, {r4('avg(return_pct)')} AS mean_ret FROM trades WHERE return_pct IS NOT NULL GROUP BY ALL", ("trades",))
 def rule_by_day_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A-4: every day, in the long form."""
     return settled(summary.rule_side_day(trade_table(spark, sf_dir)).select("filter_code", "side", "date", F.col("ret").alias("mean_ret")), "mean_ret")
 
 
-@query("a24_win_rate_whole", f"SELECT filter_code, date, {r4('avg(CAST(return_pct > 0 AS DOUBLE))')} AS win_rate FROM trades WHERE return_pct IS NOT NULL GROUP BY ALL", ("trades",))
+@query("a24_win_rate", f"SELECT filter_code, date, {r4('avg(CAST(return_pct > 0 AS DOUBLE))')} AS win_rate FROM trades WHERE return_pct IS NOT NULL GROUP BY ALL", ("trades",))
 def win_rate_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A-24: every day, in the long form."""
     return settled(summary.win_day(trade_table(spark, sf_dir)), "win_rate")
@@ -388,13 +329,7 @@ def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.withColumn("place", F.row_number().over(W.orderBy(F.col("alpha_ret").desc(), "filter_code"))).select("filter_code", "mean_ret", "bench_mean_ret", "alpha_ret", "place")
 
 
-@query("a6_against_benchmark", f"SELECT filter_code, date, {r4('avg(return_pct) - any_value(bench_ret)')} AS diff FROM trades JOIN bench_pct USING (date) WHERE return_pct IS NOT NULL AND bench_ret IS NOT NULL AND date < DATE '2001-01-01' GROUP BY ALL", ("trades", "bench_pct"))
-def against(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = trade_table(spark, sf_dir).where("date < '2001-01-01'")
-    return settled(summary.against_benchmark(t, bench_pct(spark, sf_dir)), "diff")
-
-
-@query("a6_against_benchmark_whole", f"SELECT filter_code, date, {r4('avg(return_pct) - any_value(bench_ret)')} AS diff FROM trades JOIN bench_pct USING (date) WHERE return_pct IS NOT NULL AND bench_ret IS NOT NULL GROUP BY ALL", ("trades", "bench_pct"))
+@query("a6_against_benchmark", f"SELECT filter_code, date, {r4('avg(return_pct) - any_value(bench_ret)')} AS diff FROM trades JOIN bench_pct USING (date) WHERE return_pct IS NOT NULL AND bench_ret IS NOT NULL GROUP BY ALL", ("trades", "bench_pct"))
 def against_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A-6: all days but those that the benchmark has no value for."""
     bench = bench_pct(spark, sf_dir)

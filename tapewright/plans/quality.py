@@ -85,13 +85,7 @@ def preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.where("date = '1998-06-15'").groupBy("date").agg(F.count(F.lit(1)).alias("rows")).where(F.lit(n > 0))
 
 
-@query("q10_absent_inputs", "SELECT date FROM cal WHERE date BETWEEN DATE '1998-01-01' AND DATE '1998-12-31' AND date NOT IN (SELECT date FROM panel WHERE symbol IN ('S1', 'S2', 'S3'))", ("panel", "cal"))
-def absent_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = B.panel(spark, sf_dir).where(F.col("symbol").isin("S1", "S2", "S3")).select(F.concat(F.lit("signals_"), F.col("date").cast("string"), F.lit(".csv")).alias("name"))
-    return Q.absent_inputs(spark, names, "1998-01-01", "1998-12-31")
-
-
-@query("q10_absent_inputs_whole", "SELECT date FROM cal WHERE date NOT IN (SELECT date FROM panel)", ("panel", "cal"))
+@query("q10_absent_inputs", "SELECT date FROM cal WHERE date NOT IN (SELECT date FROM panel)", ("panel", "cal"))
 def absent_inputs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q-10: the days of all symbols over the panel's span."""
     p = B.panel(spark, sf_dir)

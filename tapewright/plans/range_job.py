@@ -69,16 +69,7 @@ def scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.concat(F.upper(F.trim("l_returnflag")), F.regexp_replace(F.col("d").cast("string"), "-", "/")).alias("text"), S.month_key("d").alias("month"), S.is_weekend("d").alias("weekend"), F.date_add("d", 10).alias("later"), F.datediff("d", F.lit("1995-01-01").cast("date")).cast("long").alias("days"), S.to_lots(F.col("l_quantity") * 1.3, 10, 1).alias("lots"))
 
 
-@query("u1_u4_sets", "SELECT symbol, date FROM panel WHERE symbol IN ('S1', 'S2') AND date NOT IN (SELECT date FROM panel WHERE symbol = 'S3')", ("panel",))
-def sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """U-1, U-3, U-4: a union with unequal columns, distinct keys, a difference of dates."""
-    p = B.panel(spark, sf_dir)
-    one, two, three = (p.where(F.col("symbol") == s) for s in ("S1", "S2", "S3"))
-    both = one.select("symbol", "date").unionByName(two.select("date", "symbol", "close"), allowMissingColumns=True).unionByName(one.select("symbol", "date"), allowMissingColumns=True)
-    return both.dropDuplicates(["symbol", "date"]).join(three.select("date"), "date", "left_anti").select("symbol", "date")
-
-
-@query("u1_u4_sets_whole", "SELECT symbol, date FROM panel p WHERE NOT EXISTS (SELECT 1 FROM panel q WHERE q.date = p.date AND q.symbol = 'S' || (CAST(substr(p.symbol, 2) AS BIGINT) + 1))", ("panel",))
+@query("u1_u4_sets", "SELECT symbol, date FROM panel p WHERE NOT EXISTS (SELECT 1 FROM panel q WHERE q.date = p.date AND q.symbol = 'S' || (CAST(substr(p.symbol, 2) AS BIGINT) + 1))", ("panel",))
 def sets_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """U-1, U-3, U-4 over all symbols: of each, the days on which the symbol of the next number has no bar."""
     p = B.panel(spark, sf_dir)

@@ -44,7 +44,7 @@ def daily_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily_signals_whole(spark, sf_dir).where("date between '1998-01-01' and '1998-03-31'")
 
 
-@query("k1_days_written_whole", "SELECT date, CAST(coalesce(n, 0) AS BIGINT) AS signals FROM cal LEFT JOIN (SELECT date, count(*) AS n FROM (SELECT DISTINCT date, symbol, filter_code FROM signals) GROUP BY date) USING (date)", ("signals", "cal"))
+@query("k1_days_written", "SELECT date, CAST(coalesce(n, 0) AS BIGINT) AS signals FROM cal LEFT JOIN (SELECT date, count(*) AS n FROM (SELECT DISTINCT date, symbol, filter_code FROM signals) GROUP BY date) USING (date)", ("signals", "cal"))
 def days_written_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K-1: all signals written, counted on every trading day of the panel's span."""
     from ..operators.calendar import trading_days
@@ -53,19 +53,9 @@ def days_written_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writers.daily_signals(signals(spark, sf_dir), scratch(spark), days).select("date", long("signals").alias("signals"))
 
 
-@query("k1_days_written", "SELECT date, CAST(coalesce(n, 0) AS BIGINT) AS signals FROM cal LEFT JOIN (SELECT date, count(*) AS n FROM (SELECT DISTINCT date, symbol, filter_code FROM signals WHERE symbol IN ('S1', 'S2')) GROUP BY date) USING (date) WHERE date BETWEEN DATE '1998-01-01' AND DATE '1998-03-31'", ("signals", "cal"))
-def days_written(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.calendar import trading_days
-
-    s = signals(spark, sf_dir).where("date between '1998-01-01' and '1998-03-31' and symbol in ('S1', 'S2')")
-    days = trading_days(B.panel(spark, sf_dir)).where("date between '1998-01-01' and '1998-03-31'")
-    s = s.join(F.broadcast(days.select("date")), "date", "left_semi")
-    return writers.daily_signals(s, scratch(spark), days).select("date", long("signals").alias("signals"))
-
-
 @query("k2_report_tables", f"SELECT date, count(*) AS n_trades, {r4('avg(return_pct)')} AS mean_ret FROM trades WHERE return_pct IS NOT NULL GROUP BY date", ("trades",))
 def report_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K-2, K-3, K-4: report tables as CSV, read back."""
+    """K-2, K-4: report tables as CSV, read back."""
     path = scratch(spark)
     t = trade_table(spark, sf_dir)
     writers.report_tables({"days": summary.trade_days(t), "rules": summary.rule_metrics(t, bench_pct(spark, sf_dir))}, path, "fail")
@@ -97,7 +87,7 @@ def high_water(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("k8_k9_documents", f"SELECT filter_code, CAST(count(*) AS BIGINT) AS n FROM signals GROUP BY filter_code", ("signals",))
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K-8, K-9, K-10: JSON lines, read back."""
+    """K-8: metrics as JSON lines, read back."""
     path = scratch(spark)
     writers.documents({"counts": signals(spark, sf_dir).groupBy("filter_code").agg(F.count(F.lit(1)).alias("n"))}, path)
     return spark.read.schema("filter_code string, n long").json(f"{path}/counts")
@@ -156,7 +146,8 @@ def incremental_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = X.event_bars(B.read(spark, sf_dir, "events"))
     rules = [R.Rule("RISE", "close > before")]
     prepare = lambda h: h.withColumn("before", F.expr("lag(close) over (partition by symbol order by date)"))
-    for part in ("date < '2024-01-16'", "date >= '2024-01-16'"):
-        b.where(part).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    middle = b.agg(F.min("date"), F.max("date")).select(F.expr("date_add(`min(date)`, int(datediff(`max(date)`, `min(date)`) / 2))")).first()[0]
+    for part in (F.col("date") < middle, F.col("date") >= middle):
+        b.where(part).write.mode("append").parquet(f"{path}/in")
         X.scan_new(spark, f"{path}/in", b.schema, f"{path}/store", f"{path}/signals", f"{path}/c", rules, prepare).awaitTermination()
     return spark.read.parquet(f"{path}/signals").select("symbol", "date", "filter_code")

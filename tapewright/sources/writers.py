@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 STORE_KEYS = ("symbol", "yyyymm")
@@ -68,48 +68,64 @@ def symbol_store(panel: DataFrame, path: str, policy: str = "replace") -> None:
     panel.withColumns(numbers).repartition("symbol").sortWithinPartitions("symbol", "date").write.mode(mode).partitionBy("symbol").parquet(where)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path).schema  # noqa: B018
-    except AnalysisException:
-        return False
-    return True
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where)
 
 
 def upsert(new: DataFrame, path: str) -> DataFrame:
     """Add bars to the store symbol=/yyyymm=; a (symbol, date) that is there stays as it is.
 
     Only the months touched are read (a broadcast of the distinct keys prunes them) and overwritten. Returns the rows
-    added. Writing the same rows again adds none.
+    added, read from the run's own side folder beside the store (`<store>__merge-...`, the caller's to clear). Writing the
+    same rows again adds none.
     """
     spark = new.sparkSession
     rows = new.withColumn("yyyymm", F.date_format("date", "yyyyMM")).dropDuplicates(["symbol", "date"])
-    if not _exists(spark, path):
+    if not exists(spark, path):
         _dealt(rows, *STORE_KEYS).sortWithinPartitions(*STORE_KEYS, "date").write.partitionBy(*STORE_KEYS).parquet(path)
         return rows
     store = spark.read.parquet(path).withColumns({"symbol": F.col("symbol").cast("string"), "yyyymm": F.col("yyyymm").cast("string")})
     touched = store.join(rows.select(*STORE_KEYS).distinct(), list(STORE_KEYS), "left_semi")
     added = rows.join(touched.select("symbol", "date"), ["symbol", "date"], "left_anti")
     months = added.select(*STORE_KEYS).distinct()
-    merged = touched.join(months, list(STORE_KEYS), "left_semi").unionByName(added.select(*store.columns))
-    # a month is read and overwritten in one job: the merged rows go to a side folder first
-    side = f"{path.rstrip('/')}__merge"
-    merged.write.mode("overwrite").parquet(side)
-    back = spark.read.schema(store.schema).parquet(side)
+    kept = touched.join(months, list(STORE_KEYS), "left_semi")
+    merged = kept.withColumn("__new", F.lit(False)).unionByName(added.select(*store.columns).withColumn("__new", F.lit(True)))
+    # a month is read and overwritten in one job: the merged rows go to a side folder of this run first
+    side = f"{path.rstrip('/')}__merge-{uuid.uuid4().hex}"
+    merged.write.parquet(side)
+    stored = spark.read.schema(merged.schema).parquet(side)
+    back = stored.drop("__new")
     _dealt(back, *STORE_KEYS).sortWithinPartitions(*STORE_KEYS, "date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*STORE_KEYS).parquet(path)
-    return added
+    return stored.where("__new").drop("__new").select(*rows.columns)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).withColumns({"symbol": F.col("symbol").cast("string"), "yyyymm": F.col("yyyymm").cast("string")})
 
 
-def high_water(store: DataFrame, source: str = "provider", ttl_hours: int = 0) -> DataFrame:
-    """symbol, last_date, source, ttl_hours."""
-    return store.groupBy("symbol").agg(F.max("date").alias("last_date")).withColumns({"source": F.lit(source), "ttl_hours": F.lit(ttl_hours)})
+def high_water(store: DataFrame, source: str = "provider", ttl_hours: int = 0, fetched: Column | None = None) -> DataFrame:
+    """symbol, last_date, last_fetch_ts, source, ttl_hours; `fetched` (now where not given) over symbol and last_date."""
+    marks = store.groupBy("symbol").agg(F.max("date").alias("last_date"))
+    return marks.withColumns({"last_fetch_ts": F.current_timestamp() if fetched is None else fetched, "source": F.lit(source), "ttl_hours": F.lit(ttl_hours)})
+
+
+def due(wanted: DataFrame, marks: DataFrame, start, end, now: Column | None = None) -> DataFrame:
+    """symbol, from, to: what is still to be fetched of the wanted symbols up to `end`.
+
+    A symbol fetched within its ttl_hours is fresh and left out; another goes on from the day after its last_date, one
+    without a mark from `start`; nothing is asked for that ends before it begins.
+    """
+    now = F.current_timestamp() if now is None else now
+    rows = wanted.select("symbol").distinct().join(marks, "symbol", "left")
+    age = F.unix_timestamp(now) - F.unix_timestamp("last_fetch_ts")
+    stale = rows.where(F.col("last_fetch_ts").isNull() | (age >= F.col("ttl_hours") * 3600))
+    begin = F.coalesce(F.date_add("last_date", 1), F.lit(start).cast("date"))
+    return stale.select("symbol", begin.alias("from"), F.lit(end).cast("date").alias("to")).where("`from` <= `to`")
 
 
 def retain(spark: SparkSession, path: str, cutoff: str, out: str) -> None:
-    """Copy the store without bars before the cutoff (by their own date)."""
-    kept = read_store(spark, path).where(F.col("date") >= F.lit(cutoff).cast("date"))
+    """Copy the store without bars before the cutoff (by their own date); folders of months before it are not read."""
+    month = F.date_format(F.lit(cutoff).cast("date"), "yyyyMM")
+    kept = read_store(spark, path).where((F.col("yyyymm") >= month) & (F.col("date") >= F.lit(cutoff).cast("date")))
     _dealt(kept, *STORE_KEYS).sortWithinPartitions(*STORE_KEYS, "date").write.mode("overwrite").partitionBy(*STORE_KEYS).parquet(out)

@@ -28,7 +28,10 @@ def unique_bars(stream: DataFrame, time: str = "ts", late: str = "2 days", keys:
 
 
 def ingest(spark: SparkSession, source: str, schema: T.StructType, store: str, checkpoint: str, shape: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
-    """Take new Parquet files of `source` into the store by upsert; the same bars twice leave one row."""
+    """Take new Parquet files of `source` into the store by upsert; the same bars twice leave one row.
+
+    Files hold bars, or all events of the bars that they touch; events that come bit by bit need ingest_events().
+    """
     stream = spark.readStream.schema(schema).parquet(source)
 
     def batch(rows: DataFrame, _: int) -> None:
@@ -38,6 +41,32 @@ def ingest(spark: SparkSession, source: str, schema: T.StructType, store: str, c
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ingest_events(spark: SparkSession, source: str, schema: T.StructType, store: str, checkpoint: str, key: str = "event_id", time: str = "ts") -> StreamingQuery:
+    """Take new event files into `store`/events, once for each key, and build the bars of the days that they touch anew in
+    `store`/bars: a day that arrives in several runs is whole after each, and the same events twice count once.
+
+    Events and bars lie in a folder a day; a run reads and overwrites those of its own days only.
+    """
+    stream = spark.readStream.schema(schema).parquet(source)
+    stored = T.StructType([*schema.fields, T.StructField("day", T.DateType())])
+
+    def batch(rows: DataFrame, number: int) -> None:
+        if rows.isEmpty():
+            return
+        new = rows.withColumn("day", F.col(time).cast("date")).dropDuplicates([key])
+        held = spark.read.schema(stored).parquet(f"{store}/events") if writers.exists(spark, f"{store}/events") else spark.createDataFrame([], stored)
+        days = new.select("day").distinct()
+        known = held.join(days, "day", "left_semi").select("day", key)
+        # a batch that is run again finds what it wrote and adds nothing
+        fresh = new.join(known, ["day", key], "left_anti")
+        fresh.repartition("day").write.mode("append").partitionBy("day").parquet(f"{store}/events")
+        touched = spark.read.schema(stored).parquet(f"{store}/events").join(days, "day", "left_semi")
+        bars = event_bars(touched).withColumn("day", F.col("date"))
+        bars.repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{store}/bars")
+
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def scan_new(spark: SparkSession, source: str, schema: T.StructType, store: str, signals: str, checkpoint: str, rules: list[R.Rule], prepare: Callable[[DataFrame], DataFrame], look_back_days: int = 90) -> StreamingQuery:
     """Take new bars into the store and append the signals of just the new bars.
 

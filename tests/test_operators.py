@@ -321,3 +321,24 @@ def test_results_do_not_depend_on_partitions(spark):
     p = panel(spark, [float(5 + i * 3 % 7) for i in range(40)]).unionByName(panel(spark, [float(9 - i * 2 % 5) for i in range(40)], "BBB"))
     run = lambda d: sorted(map(tuple, I.add_named(d, ["sma_4", "rsi_5"]).select("symbol", "date", "sma_4", "rsi_5").na.fill(-1).collect()))
     assert run(p) == run(p.orderBy(F.rand(3)).repartition(7))
+
+
+def test_upsert_returns_rows_that_can_be_read(spark, tmp_path):
+    path = str(tmp_path / "store")
+    first = spark.createDataFrame([("A", "2024-01-02", 1.0), ("B", "2024-02-01", 2.0)], "symbol string, day string, close double").select("symbol", F.col("day").cast("date").alias("date"), "close")
+    more = first.withColumn("close", F.col("close") + 1).union(spark.sql("select 'A', date'2024-01-03', 5.0D"))
+    assert writers.upsert(first, path).count() == 2
+    added = writers.upsert(more, path)
+    again = writers.upsert(more, path)
+    assert [(r["symbol"], str(r["date"]), r["close"], r["yyyymm"]) for r in added.collect()] == [("A", "2024-01-03", 5.0, "202401")]
+    assert again.count() == 0 and writers.read_store(spark, path).count() == 3
+
+
+def test_numbered_copies_collide():
+    from tapewright.functions.names import canonical_map, loader_name
+
+    assert canonical_map(["Close", "Close.1", "SMA.20", "x.5"]) == {"Close": "close", "Close.1": "close", "SMA.20": "sma_20", "x.5": "x.5"}
+    assert canonical_map(["KAPANIS", "Close.2"])["Close.2"] == "close"
+    with pytest.raises(clean.NameCollision):
+        clean.plan_names(["Close", "Close.1"])
+    assert [loader_name(n) for n in ("cci_20_0", "psarl_0", "aroond_25", "bbm_20_2_0", "sma_5")] == ["cci_20", "psarl_0_02_0_2", "aroon_down_25", "bbm_20_2", "sma_5"]
