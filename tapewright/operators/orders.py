@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -130,12 +131,18 @@ def risk_flags(orders: DataFrame, equity: float, limits: Limits, state: DataFram
 
 
 def cap_exposure(orders: DataFrame, equity: float, pct: float = 1.0, per: tuple[str, ...] = ("date",), price: str = "fill_price", qty: str = "quantity") -> DataFrame:
-    """Scale quantities down to whole units where a group's notional exceeds the cap; adds capped."""
-    total = F.abs(F.sum(F.col(price) * F.col(qty)).over(W.partitionBy(*per)))
+    """Scale quantities down to whole units where a group's notional exceeds the cap; adds capped.
+
+    Totals are aggregated before they are shuffled and joined back, so a day of very many orders meets in no one task.
+    """
+    keys = [F.col(c).alias(f"__{c}") for c in per]
+    totals = orders.groupBy(*keys).agg(F.abs(F.sum(F.col(price) * F.col(qty))).alias("__n"))
+    same = functools.reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in per])
     cap = equity * pct
     scaled = F.signum(qty) * F.floor(F.abs(F.col(qty) * (cap / F.greatest(F.col("__n"), F.lit(1e-9)))))
-    out = orders.withColumn("__n", total)
-    return out.withColumns({"capped": F.col("__n") > cap, qty: F.when(F.col("__n") > cap, scaled).otherwise(F.col(qty)).cast("double")}).drop("__n")
+    out = orders.join(totals, same, "left")
+    out = out.withColumns({"capped": F.col("__n") > cap, qty: F.when(F.col("__n") > cap, scaled).otherwise(F.col(qty)).cast("double")})
+    return out.drop("__n", *[f"__{c}" for c in per])
 
 
 def apply_risk(orders: DataFrame, flags: DataFrame, equity: float, limits: Limits, dry_run: bool = False, price: str = "fill_price", qty: str = "quantity") -> DataFrame:

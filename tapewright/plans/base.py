@@ -108,8 +108,13 @@ def settled(df: DataFrame, *columns: str, digits: int = 4) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, the folder that a cluster shares; a local one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-bars-')}"
+    """A new folder under spark.checkpoint.dir, the folder that a cluster shares; where that is unset, a temporary one if
+    all of Spark runs in this process, else an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='spark-bars-')}"
     return f"{root.rstrip('/')}/bars-{uuid.uuid4().hex}"
 
 

@@ -5,12 +5,9 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
-STORE_KEYS = ("symbol", "yyyymm")
-
-
 def _dealt(df: DataFrame, *keys: str) -> DataFrame:
     """Rows of a key together, in as many tasks as a shuffle has: folders, not bytes, are the work, and AQE would join small tasks to one."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
@@ -73,35 +70,42 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where)
 
 
+def _store(rows: DataFrame) -> DataFrameWriter:
+    """Rows by month and, within a month, by ranges of symbols: about as many files as months and tasks, whose statistics
+    let a reader of few symbols skip the others; AQE sets the number of tasks by bytes."""
+    return rows.repartitionByRange("yyyymm", "symbol").sortWithinPartitions("yyyymm", "symbol", "date").write.partitionBy("yyyymm")
+
+
 def upsert(new: DataFrame, path: str) -> DataFrame:
-    """Add bars to the store symbol=/yyyymm=; a (symbol, date) that is there stays as it is.
+    """Add bars to the store yyyymm=; a (symbol, date) that is there stays as it is, so rows are only ever appended.
 
-    Only the months touched are read (a broadcast of the distinct keys prunes them) and overwritten. Returns the rows
-    added, read from the run's own side folder beside the store (`<store>__merge-...`, the caller's to clear). Writing the
-    same rows again adds none.
+    Of the store just the keys of the months in question are read (their few names are broadcast and prune the folders).
+    Returns the rows added, read from the run's own side folder beside the store (`<store>__new-...`, the caller's to
+    clear), which is written first: a run that is lost before its end leaves the store as it was. Writing the same rows
+    again adds none; a null symbol or date is a key like any other.
     """
     spark = new.sparkSession
     rows = new.withColumn("yyyymm", F.date_format("date", "yyyyMM")).dropDuplicates(["symbol", "date"])
-    if not exists(spark, path):
-        _dealt(rows, *STORE_KEYS).sortWithinPartitions(*STORE_KEYS, "date").write.partitionBy(*STORE_KEYS).parquet(path)
-        return rows
-    store = spark.read.parquet(path).withColumns({"symbol": F.col("symbol").cast("string"), "yyyymm": F.col("yyyymm").cast("string")})
-    touched = store.join(rows.select(*STORE_KEYS).distinct(), list(STORE_KEYS), "left_semi")
-    added = rows.join(touched.select("symbol", "date"), ["symbol", "date"], "left_anti")
-    months = added.select(*STORE_KEYS).distinct()
-    kept = touched.join(months, list(STORE_KEYS), "left_semi")
-    merged = kept.withColumn("__new", F.lit(False)).unionByName(added.select(*store.columns).withColumn("__new", F.lit(True)))
-    # a month is read and overwritten in one job: the merged rows go to a side folder of this run first
-    side = f"{path.rstrip('/')}__merge-{uuid.uuid4().hex}"
-    merged.write.parquet(side)
-    stored = spark.read.schema(merged.schema).parquet(side)
-    back = stored.drop("__new")
-    _dealt(back, *STORE_KEYS).sortWithinPartitions(*STORE_KEYS, "date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*STORE_KEYS).parquet(path)
-    return stored.where("__new").drop("__new").select(*rows.columns)
+    side = f"{path.rstrip('/')}__new-{uuid.uuid4().hex}"
+    if exists(spark, path):
+        months = F.broadcast(new.select(F.date_format("date", "yyyyMM").alias("__month")).distinct())
+        held = read_store(spark, path).join(months, F.col("yyyymm").eqNullSafe(F.col("__month")), "left_semi")
+        held = held.select(F.col("symbol").alias("__symbol"), F.col("date").alias("__date"))
+        rows = rows.join(held, F.col("symbol").eqNullSafe(F.col("__symbol")) & F.col("date").eqNullSafe(F.col("__date")), "left_anti")
+    rows.write.parquet(side)
+    added = spark.read.schema(rows.schema).parquet(side)
+    if not added.isEmpty():
+        _store(added).mode("append").parquet(path)
+    return added
+
+
+def compact(spark: SparkSession, path: str, out: str) -> None:
+    """Copy a store that many upserts have left in small files, with each month in as few as its bytes ask for."""
+    _store(read_store(spark, path)).mode("overwrite").parquet(out)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).withColumns({"symbol": F.col("symbol").cast("string"), "yyyymm": F.col("yyyymm").cast("string")})
+    return spark.read.parquet(path).withColumn("yyyymm", F.col("yyyymm").cast("string"))
 
 
 def high_water(store: DataFrame, source: str = "provider", ttl_hours: int = 0, fetched: Column | None = None) -> DataFrame:
@@ -125,7 +129,8 @@ def due(wanted: DataFrame, marks: DataFrame, start, end, now: Column | None = No
 
 
 def retain(spark: SparkSession, path: str, cutoff: str, out: str) -> None:
-    """Copy the store without bars before the cutoff (by their own date); folders of months before it are not read."""
+    """Copy the store without bars before the cutoff (by their own date); folders of months before it are not read, and the
+    copy is compact."""
     month = F.date_format(F.lit(cutoff).cast("date"), "yyyyMM")
     kept = read_store(spark, path).where((F.col("yyyymm") >= month) & (F.col("date") >= F.lit(cutoff).cast("date")))
-    _dealt(kept, *STORE_KEYS).sortWithinPartitions(*STORE_KEYS, "date").write.mode("overwrite").partitionBy(*STORE_KEYS).parquet(out)
+    _store(kept).mode("overwrite").parquet(out)

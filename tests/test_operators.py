@@ -334,6 +334,30 @@ def test_upsert_returns_rows_that_can_be_read(spark, tmp_path):
     assert again.count() == 0 and writers.read_store(spark, path).count() == 3
 
 
+def test_upsert_appends_to_the_months_it_touches(spark, tmp_path):
+    path = str(tmp_path / "store")
+    empty = spark.createDataFrame([], "symbol string, date date, close double")
+    assert writers.upsert(empty, path).count() == 0 and not writers.exists(spark, path)
+    bars = spark.sql("select concat('S', id % 50) symbol, date_add(date'2024-01-01', int(id / 50)) date, double(id) close from range(3000)")
+    assert writers.upsert(bars, path).count() == 3000
+    files = {f: f.read_bytes() for f in (tmp_path / "store").rglob("*.parquet")}
+    assert {f.parent.name for f in files} == {"yyyymm=202401", "yyyymm=202402"} and len(files) <= 2 + int(spark.conf.get("spark.sql.shuffle.partitions"))
+    more = spark.sql("select 'S1' symbol, date'2024-02-10' date, -1D close union all select 'NEW', date'2024-03-05', 1D union all select null, date'2024-03-05', 2D union all select 'S1', null, 3D")
+    assert writers.upsert(more, path).count() == 3 and writers.upsert(more, path).count() == 0
+    assert all(f.read_bytes() == b for f, b in files.items())
+    assert writers.read_store(spark, path).where("symbol = 'S1' and date = date'2024-02-10'").first()["close"] == 2001.0
+    writers.compact(spark, path, str(tmp_path / "compact"))
+    assert writers.read_store(spark, str(tmp_path / "compact")).exceptAll(writers.read_store(spark, path)).count() == 0
+    assert writers.read_store(spark, str(tmp_path / "compact")).count() == 3003
+
+
+def test_exposure_is_capped_by_day_without_a_window(spark):
+    rows = spark.sql("select * from values (date'2024-01-01', 10D, 8D), (date'2024-01-01', 10D, 4D), (date'2024-01-02', 10D, 1D), (null, 10D, 30D) t(date, fill_price, quantity)")
+    out = orders.cap_exposure(rows, 100.0)
+    assert sorted(map(tuple, out.select("quantity", "capped").collect())) == [(1.0, False), (3.0, True), (6.0, True), (10.0, True)]
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_numbered_copies_collide():
     from tapewright.functions.names import canonical_map, loader_name
 
