@@ -185,6 +185,7 @@ def small_batches(df: DataFrame) -> DataFrame:
 
 def give_back() -> None:
     """Return free memory to the system at the end of a task: the worker process lives on."""
+    _POWERS[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]  # as long as the longest text so far
     pa.default_memory_pool().release_unused()
     gc.collect()
     with contextlib.suppress(AttributeError, OSError):  # not every C library has it

@@ -237,14 +237,15 @@ def mix(docs: DataFrame, plan: MixPlan, **names) -> DataFrame:
     return each.drop("__d", "drawn", "copies", "size", "source_size", "target")
 
 
-#: Words that a task of a shard sorts and writes.
-TASK_WORDS = 8_000_000
+#: Words that a task of a shard sorts and writes: with its Parquet buffers, some 30 MB of an executor's memory.
+TASK_WORDS = 2_000_000
 
 
 def in_order(mixed: DataFrame, plan: MixPlan) -> DataFrame:
     """The rows of a mix dealt to its shards' tasks by order_key and sorted there; tasks are as many as the words ask for."""
-    tasks_per_shard = max(1, -(-int(sum(plan.targets)) // (plan.shards * TASK_WORDS)))
-    return mixed.repartition(F.col("shard"), F.pmod(F.col("order_key"), F.lit(tasks_per_shard))).sortWithinPartitions("shard", "order_key")
+    per_shard = max(1, -(-int(sum(plan.targets)) // (plan.shards * TASK_WORDS)))
+    task = F.col("shard") * per_shard + F.pmod(F.col("order_key"), F.lit(per_shard)).cast("int")
+    return mixed.repartitionById(plan.shards * per_shard, task).sortWithinPartitions("shard", "order_key")
 
 
 def write_mix(docs: DataFrame, plan: MixPlan, path: str, **names) -> None:
