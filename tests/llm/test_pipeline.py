@@ -31,3 +31,10 @@ def test_stages_and_their_rows(spark, tmp_path):
     packed = kept["best_fit_packing"]
     assert packed.select("doc_id").distinct().count() == kept["mix_sources"].select("doc_id").distinct().count()
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("e")).where("n > 2048 or n <> e").count() == 0
+
+
+def test_language_stage_keeps_all_where_no_language_is_named(spark):
+    docs = spark.sql("select * from values (1L, 'some plain words', cast(null as string), 'a'), (2L, null, null, 'b') t(doc_id, text, lang, source)")
+    assert C.language(spark, docs, SF).count() == 2
+    named = spark.sql("select * from values (1L, 'some plain words', 'en', 'a'), (2L, null, 'en', 'b'), (3L, '123 456', null, null) t(doc_id, text, lang, source)")
+    assert [r["doc_id"] for r in C.language(spark, named, SF).collect()] == [1]
