@@ -18,13 +18,14 @@ def _as_documents(df: DataFrame, like: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter go, and those of which no language has a third; where no row names a language, nothing
-    can be learnt and all rows stay."""
+    """Documents without a letter go, those of which no language has a third, and those that fit every language worse than
+    chance (random letters, languages that no row names); where no row names a language, nothing can be learnt and all
+    rows stay."""
     model = langid.fit(docs, "text", "lang")
     if not model.languages:
         return docs
     found = langid.predict(docs, model)
-    return _as_documents(found.where((F.col("lang_pred") != "und") & (F.col("score") >= 1 / 3)), docs)
+    return _as_documents(found.where((F.col("lang_pred") != "und") & (F.col("score") >= 1 / 3) & (F.col("fit") >= 0)), docs)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import corpus_pipeline as C
 from pyspark.sql import functions as F
 
@@ -38,3 +40,13 @@ def test_language_stage_keeps_all_where_no_language_is_named(spark):
     assert C.language(spark, docs, SF).count() == 2
     named = spark.sql("select * from values (1L, 'some plain words', 'en', 'a'), (2L, null, 'en', 'b'), (3L, '123 456', null, null) t(doc_id, text, lang, source)")
     assert [r["doc_id"] for r in C.language(spark, named, SF).collect()] == [1]
+
+
+def test_language_stage_rejects_what_is_in_no_learnt_language(spark):
+    rng = random.Random(4)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    noise = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(2, 10))) for _ in range(40)) for _ in range(5)]
+    noise += ["to jest zupełnie inny język i model nie zna żadnego z tych słów", "здесь нет ни одного знакомого слова"]
+    odd = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(noise)], "doc_id long, text string")
+    kept = C.language(spark, docs.unionByName(odd, allowMissingColumns=True), SF)
+    assert kept.where("doc_id < 0").count() == 0 and kept.count() == docs.count()
