@@ -2,8 +2,8 @@
 
 Each source's documents are dealt by hash into blocks, a radix tree of 256 ways. A source's share of the mix is whole
 epochs of all its blocks plus a part: blocks in order of the hash that dealt them, seeded and hence random, until the target is
-reached, the block where it is reached being cut the same way one level deeper, down to a small leaf whose documents
-fill what is left (see fill). The drawn block
+reached, the block where it is reached being cut the same way one level deeper, down to a leaf of some hundred documents
+on both sides of the cut, which fill what is left (see fill). The drawn block
 quotas are then split among output shards by a multivariate-hypergeometric splitting tree: each node draws how many
 blocks of every source go left, exact in total and in each source, so a shard's make-up is that of a uniform shuffle
 of all blocks. A shard takes disjoint runs of each source's permuted blocks and shuffles its rows locally.
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import col, small_table, stash, without
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Documents of a leaf that is filled one by one.
-LEAF = 2000
+#: Documents of a leaf that is filled one by one, and those of them that are chosen by the best of all their subsets.
+LEAF, LAST = 500, 32
 
 
 def n_words(text: Column) -> Column:
@@ -57,7 +57,7 @@ def water_fill(sizes: list[int], weights: list[float], total: float, most: float
 
 def fill(sizes: np.ndarray, left: float) -> np.ndarray:
     """Which documents of a leaf are taken: in their order what fits, then, as long as that comes nearer, one more, one
-    less, or one in another's place."""
+    less, or one in another's place; at last, if that comes nearer still, those of the last LAST that do so together."""
     taken = np.zeros(len(sizes), bool)
     for i, n in enumerate(sizes):
         if n <= left:
@@ -72,11 +72,35 @@ def fill(sizes: np.ndarray, left: float) -> np.ndarray:
         gap = np.abs(left + size[out][:, None] - size[into][pick])
         a, b = np.unravel_index(gap.argmin(), gap.shape)
         if gap[a, b] >= abs(left) - 1e-9:
-            return taken
+            break
         left += size[out[a]] - size[into[pick[a, b]]]
         for at, now in ((out[a], False), (into[pick[a, b]], True)):
             if at >= 0:
                 taken[at] = now
+    want = left + sizes[-LAST:][taken[-LAST:]].sum()
+    last = best_subset(sizes[-LAST:], want)
+    if abs(want - sizes[-LAST:][last].sum()) < abs(left) - 1e-9:
+        taken[-LAST:] = last
+    return taken
+
+
+def best_subset(sizes: np.ndarray, want: float) -> np.ndarray:
+    """Which of a few documents have the sum nearest to `want`: sums of one half are looked up among those of the other."""
+
+    def sums(some: np.ndarray) -> np.ndarray:
+        out = np.zeros(1)
+        for n in some:
+            out = np.concatenate([out, out + n])
+        return out
+
+    half = len(sizes) // 2
+    a, b = sums(sizes[:half]), sums(sizes[half:])
+    order = np.argsort(b, kind="stable")
+    near = np.searchsorted(b[order], want - a)
+    pick = order[np.column_stack([np.maximum(near - 1, 0), np.minimum(near, len(b) - 1)])]
+    i, j = np.unravel_index(np.abs(want - a[:, None] - b[pick]).argmin(), pick.shape)
+    which = int(i) | int(pick[i, j]) << half
+    return np.array([which >> k & 1 for k in range(len(sizes))], bool)
 
 
 def splitting_tree(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
@@ -146,7 +170,7 @@ def make_plan(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] =
 
     # descend: of every source, the 256 blocks inside the block in which its target falls
     at = {i: (0, 0) for i in range(len(names)) if left[i] > 1e-9}  # source -> level, prefix
-    ends: dict[int, tuple[int, int]] = {}
+    ends: dict[int, tuple[int, int]] = {}  # source -> heads from, to
     while at:
         level = next(iter(at.values()))[0] + 1
         cuts = F.create_map(*[F.lit(x) for i, (_, p) in at.items() for x in (i, p)])
@@ -160,21 +184,31 @@ def make_plan(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] =
             if level == 1:
                 n_blocks[i] = 256
             below[i] = (blocks[-1][0] + 1) << (56 - 8 * level) if blocks else 0
-            for p, n, d in blocks:
+            for k, (p, n, d) in enumerate(blocks):
                 if n > left[i]:
-                    below[i] = p << (56 - 8 * level)
                     if d > LEAF and level < 7:
-                        deeper[i] = (level, p)
-                    else:
-                        ends[i] = (level, p)
+                        below[i], deeper[i] = p << (56 - 8 * level), (level, p)
+                        break
+                    # the leaf: this block and its neighbours, in turns, as long as they are few documents
+                    lo, hi = k, k + 1
+                    while lo > 0 and d + blocks[lo - 1][2] <= LEAF or hi < len(blocks) and d + blocks[hi][2] <= LEAF:
+                        if lo > 0 and d + blocks[lo - 1][2] <= LEAF:
+                            lo -= 1
+                            d += blocks[lo][2]
+                            left[i] += blocks[lo][1]
+                        if hi < len(blocks) and d + blocks[hi][2] <= LEAF:
+                            d += blocks[hi][2]
+                            hi += 1
+                    ends[i] = (blocks[lo][0] << (56 - 8 * level), (blocks[hi - 1][0] + 1) << (56 - 8 * level))
+                    below[i] = ends[i][0]
                     break
                 left[i] -= n
         at = deeper
 
     # the leaves, one document after another; rows of one hash go together
     if ends:
-        lo = F.create_map(*[F.lit(x) for i, (lv, p) in ends.items() for x in (i, p << (56 - 8 * lv))])
-        hi = F.create_map(*[F.lit(x) for i, (lv, p) in ends.items() for x in (i, (p + 1) << (56 - 8 * lv))])
+        lo = F.create_map(*[x for i, (start, _) in ends.items() for x in (F.lit(i), F.lit(start).cast("long"))])
+        hi = F.create_map(*[x for i, (_, end) in ends.items() for x in (F.lit(i), F.lit(end).cast("long"))])
         here = numbered.where((_head(F.col("__h")) >= lo[F.col("__i")]) & (_head(F.col("__h")) < hi[F.col("__i")]))
         inside_leaf: dict[int, list[tuple[int, int]]] = {}
         for i, h, n in sorted(tuple(r) for r in here.groupBy("__i", "__h").agg(F.sum("__n").alias("n")).collect()):
@@ -186,7 +220,8 @@ def make_plan(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] =
     # drawn blocks (copy, block) of every source in a random order, dealt to the shards by their quotas
     drawn = []
     for i in range(len(names)):
-        part = -(-below[i] >> 48) if not any(x == i for x, _ in leaves) else (below[i] >> 48) + 1
+        # blocks of the partial epoch: up to the cut, or to the last leaf document
+        part = max([-(-below[i] >> 48), *(((h & (1 << 64) - 1) >> 56) + 1 for x, h in leaves if x == i)])
         units = [(c, b) for c in range(epochs[i]) for b in range(256)] + [(epochs[i], b) for b in range(min(256, part))]
         order = np.random.default_rng([seed, i]).permutation(len(units))
         drawn.append([units[k] for k in order])
@@ -221,7 +256,7 @@ def with_copies(docs: DataFrame, plan: MixPlan, id_col: str = "doc_id", text_col
     out = out.join(F.broadcast(leaf), (F.col("__i") == F.col("__li")) & (F.col("__h") == F.col("__lh")), "left")
     out = out.withColumn("__b", F.shiftright(_head(F.col("__h")), 48).cast("int"))
     out = out.join(F.broadcast(units), (F.col("__i") == F.col("__ui")) & (F.col("__b") == F.col("__ub")), "left")
-    # of the block in which a target falls, the partial epoch holds only what lies below the cut, and leaf documents
+    # the partial epoch holds only what lies below the cut, and leaf documents
     out = out.withColumn("__cut", (_head(F.col("__h")) < F.col("__below")) | F.col("__leaf").isNotNull())
     whole = F.filter("__units", lambda u: (u["copy"] < F.col("__e")) | F.col("__cut"))
     placed = F.transform(whole, lambda u: F.struct(u["copy"].alias("copy"), u["shard"].alias("shard"), F.xxhash64(u["shard"], u["copy"], F.col("__h")).alias("order_key")))

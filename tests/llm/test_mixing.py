@@ -40,6 +40,25 @@ def test_taken_words_meet_targets(spark, docs, monkeypatch):
     assert out.select("doc_id", "copies").exceptAll(again.select("doc_id", "copies")).count() == 0
 
 
+def test_targets_on_the_given_tables(spark):
+    """Few and long documents a source: half a per cent off at most; on the next larger table, a word."""
+    for sf, most in (("sf0.001", 15.0), ("sf0.01", 1.0)):
+        docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+        rows = mixing.with_copies(docs, mixing.make_plan(docs)).groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target")).collect()
+        assert rows and all(abs(r["taken"] - r["target"]) <= most for r in rows)
+
+
+def test_best_subset():
+    rng = np.random.default_rng(5)
+    for n in range(1, 11):
+        sizes = rng.integers(0, 50, n).astype(float)
+        want = float(rng.integers(-5, 60 * n)) + 0.3
+        sums = [sum(x for k, x in enumerate(sizes) if m >> k & 1) for m in range(1 << n)]
+        got = sizes[mixing.best_subset(sizes, want)].sum()
+        assert abs(got - want) == pytest.approx(min(abs(x - want) for x in sums))
+    assert sizes[mixing.fill(sizes, 77.0)].sum() <= 77.0 + sizes.max()
+
+
 def test_mixed_rows_and_files(spark, docs, tmp_path):
     plan = mixing.make_plan(docs, shards=4)
     mixed = mixing.mix(docs, plan).cache()
