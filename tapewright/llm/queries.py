@@ -80,11 +80,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 
 ORACLES: dict[str, str] = {
     "op3_block_topk": """
-        WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+        WITH v AS (SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q FROM embeddings
                    WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0
-                     AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0),
-        s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), z -> z[1] * z[2])) AS BIGINT) AS score
+                     AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0),
+        s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum([z[1] * z[2] FOR z IN list_zip(a.q, b.q)]) AS BIGINT) AS score
               FROM v a JOIN v b ON a.vec_id % 50 = 0 AND b.vec_id <> a.vec_id),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    # all pairs that share a shingle, exactly; classes by the links' transitive closure
+    "op9_bagminhash_classes": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents WHERE doc_id IS NOT NULL),
+        m AS (SELECT t, min(doc_id) AS id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d GROUP BY t),
+        s AS (SELECT id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[i:i + 4], ' ') FOR i IN generate_series(1, len(w) - 4)] END) AS s
+              FROM m WHERE len(w) > 0),
+        c AS (SELECT id, s, count(*) AS n FROM s GROUP BY ALL),
+        z AS (SELECT id, sum(n) AS n FROM c GROUP BY id),
+        p AS (SELECT a.id AS a, b.id AS b, sum(least(a.n, b.n)) AS shared FROM c a JOIN c b ON a.s = b.s AND a.id < b.id GROUP BY ALL),
+        e AS (SELECT a, b FROM p JOIN z x ON x.id = a JOIN z y ON y.id = b WHERE CAST(shared AS DOUBLE) / CAST(x.n + y.n - shared AS DOUBLE) >= CAST(0.8 AS DOUBLE)),
+        l AS (SELECT a, b FROM e UNION SELECT b, a FROM e UNION SELECT d.doc_id, m.id FROM d JOIN m USING (t) UNION SELECT m.id, d.doc_id FROM d JOIN m USING (t)),
+        r AS (SELECT a AS id, b FROM l UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.b)
+        SELECT id AS doc_id, min(b) AS class_id FROM r GROUP BY id""",
 }

@@ -10,9 +10,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tapewright.llm import langid, mixing, neardup, quality, toxicity
+from tapewright.llm import langid, mixing, neardup, quality, queries, toxicity
 from tapewright.llm.components import connected_components
 from tapewright.llm.queries import QUERIES
+from tests.oracle import database, difference
 
 DATA = "/root/testdata"
 
@@ -161,3 +162,9 @@ def test_pipeline_on_odd_and_empty_tables(spark, odd, empty, tmp_path):
         else:
             # what has no letter goes; the row that repeats stays once
             assert set(out["doc_id"].dropna()) <= {1, 6, 7, 8} and {6} <= set(out["doc_id"].dropna())
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_queries_against_their_sql(spark, name):
+    con = database("sf0.01")
+    assert difference(queries.QUERIES[name](spark, "/root/testdata/sf0.01"), con.execute(queries.ORACLES[name]).fetch_df()) == ""
