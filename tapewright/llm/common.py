@@ -192,6 +192,11 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """mapInArrow of a function that knows columns by their places; their names may hold dots."""
+    return small_batches(df).toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(run, schema)
+
+
 def append(df: DataFrame, text_col: str, fields: list[T.StructField], make: Callable[[], Callable[[pa.Array], list[pa.Array]]]) -> DataFrame:
     """Add columns computed from a text column, batch by batch; clashing input columns give way.
 
@@ -212,4 +217,4 @@ def append(df: DataFrame, text_col: str, fields: list[T.StructField], make: Call
                 yield pa.RecordBatch.from_arrays([*(whole.column(i) for i in keep_at), *fn(part)], names=schema.names)
         give_back()
 
-    return small_batches(df).mapInArrow(run, schema)
+    return arrow_map(df, run, schema)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, flat_bytes, give_back, range_hashes, small_batches, stash, steps, without, words_of
+from .common import arrow_map, col, flat_bytes, give_back, range_hashes, stash, steps, without, words_of
 
 WINDOW = 10
 #: Words of a piece of an item, and words of the benchmark that one pass takes to every task (8 bytes each, some 60 with
@@ -140,7 +140,7 @@ def benchmark_pieces(benchmark: DataFrame, id_col: str, text_col: str, window: i
                 yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(some), pa.string()), pa.array(starts), pa.array(starts == 0), pa.array(some, pa.list_(pa.int64()))], names=["item", "at", "first", "words"])
         give_back()
 
-    return small_batches(rows).mapInArrow(run, "item string, at long, first boolean, words array<long>").where("size(words) > 0")
+    return arrow_map(rows, run, "item string, at long, first boolean, words array<long>").where("size(words) > 0")
 
 
 def passes(benchmark: DataFrame, id_col: str, text_col: str, window: int, most: int) -> Iterator[Suffixes]:
@@ -311,7 +311,7 @@ def _pass(docs: DataFrame, text_col: str, tests: Suffixes) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(np.diff(offsets)), pa.array(found, _SPANS), pa.array(items, pa.list_(pa.string()))], names=schema.names)
         give_back()
 
-    return small_batches(docs).mapInArrow(run, schema)
+    return arrow_map(docs, run, schema)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, pass_words: int = PASS_WORDS) -> DataFrame:
@@ -353,7 +353,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(piece)), pa.array(test - origin[piece] + tests.at[piece]), pa.array(size), batch.column(0).take(pa.array(doc)), pa.array(place - shard.first[doc])], names=schema.names)
             give_back()
 
-        found = small_batches(rows).mapInArrow(run, schema)
+        found = arrow_map(rows, run, schema)
         out = found if out is None else out.union(found)
     best = F.min_by(F.struct("length", "doc", "doc_start"), F.struct((-F.col("length")).alias("l"), "doc", "doc_start")).alias("m")
     return out.groupBy("item", "item_start").agg(best).select("item", "item_start", "m.length", "m.doc", "m.doc_start")

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import col, drop, flat_bytes, give_back, small_batches, stash, steps, words_of
+from .common import arrow_map, col, drop, flat_bytes, give_back, small_batches, stash, steps, words_of
 
 UNIT = 1_000_000_000
 #: Children of a quadtree's node are K x K; terms of a block, sources of a tile; nodes that one step of a traversal takes.
@@ -119,7 +119,7 @@ def counts(docs: DataFrame) -> DataFrame:
         yield from counter.take()
         give_back()
 
-    return small_batches(docs).mapInArrow(run, "lang string, source string, term string, n long, docs long")
+    return arrow_map(docs, run, "lang string, source string, term string, n long, docs long")
 
 
 def kept_terms(docs: DataFrame, least: int) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, drop, give_back, small_batches, stash, without
+from .common import arrow_map, col, drop, give_back, stash, without
 
 PARTS, ENTRIES, ROUNDS, SCALE, SALTS = 16, 64, 2, 256, 32
 #: Distances that one step holds at a time.
@@ -80,10 +80,10 @@ def scaled(lists: pa.ListArray, width: int | None, scale: int) -> tuple[np.ndarr
 
 def nearest(x: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Number and squared distance of each row's nearest entry; ties go to the lower one."""
-    which, best = np.zeros(len(x), np.int64), np.zeros(len(x), x.dtype)
+    small = max(int(np.abs(x).max(initial=0)), int(np.abs(entries).max(initial=0))) < EXACT and x.shape[1] <= 1 << 10
+    which, best = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64 if small else object)
     if not len(x):
         return which, best
-    small = max(int(np.abs(x).max(initial=0)), int(np.abs(entries).max(initial=0))) < EXACT and x.shape[1] <= 1 << 10
     kind = np.float64 if small else object
     e = entries.astype(kind)
     norm = (e * e).sum(axis=1)
@@ -130,7 +130,7 @@ def members(vectors: DataFrame, vector_col: str, books: Codebooks, scale: int, s
                     yield _members(np.full(len(part), p), nearest(part, books.entries[p])[0], salt_of(part, salts), part, n)
         give_back()
 
-    found = small_batches(rows).mapInArrow(run, _MEMBER)
+    found = arrow_map(rows, run, _MEMBER)
     return found.repartition("position", "entry", "salt").groupBy("position", "entry", "salt", "part").agg(F.sum("n").alias("n"))
 
 
@@ -183,7 +183,7 @@ def sums(residents: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["position", "entry", "place", "sum", "n"])
         give_back()
 
-    found = small_batches(residents).mapInArrow(run, "position int, entry int, place int, sum string, n long")
+    found = arrow_map(residents, run, "position int, entry int, place int, sum string, n long")
     return found.groupBy("position", "entry", "place").agg(F.sum(F.col("sum").cast("decimal(38,0)")).alias("sum"), F.sum("n").alias("n"))
 
 
@@ -216,7 +216,7 @@ def reassigned(residents: DataFrame, books: Codebooks) -> DataFrame:
                 yield _members(position, entry, salt, part, n, to=nearest(part, books.entries[p])[0])
         give_back()
 
-    return small_batches(residents).mapInArrow(run, f"{_MEMBER}, to int")
+    return arrow_map(residents, run, f"{_MEMBER}, to int")
 
 
 def migrated(chosen: DataFrame) -> DataFrame:
@@ -271,7 +271,7 @@ def encode(vectors: DataFrame, books: Codebooks, vector_col: str = "embedding",
             yield pa.RecordBatch.from_arrays([*(some.column(k) for k in keep), pa.array(text, pa.string()), errors], names=schema.names)
         give_back()
 
-    return small_batches(vectors).mapInArrow(run, schema)
+    return arrow_map(vectors, run, schema)
 
 
 def with_group_total(coded: DataFrame, by: Column, name: str = "label_error", value: str = "error", salts: int = SALTS) -> DataFrame:
