@@ -43,12 +43,23 @@ def next_by_calendar(panel: DataFrame, days: DataFrame, n: int = 1) -> DataFrame
 
 
 def missing_days(panel: DataFrame, days: DataFrame, by_symbol: bool = True) -> DataFrame:
-    """Trading days without a bar: of the whole panel, or between each symbol's first and last bar."""
+    """Trading days without a bar: of the whole panel, or between each symbol's first and last bar.
+
+    By symbol, only holes are expanded: a bar meets the ordinal of its day, and of the one before it in its symbol; what
+    lies between is listed and named by the calendar. Bars on other days than trading days count by the last one before.
+    """
     if not by_symbol:
         return days.select("date").join(panel.select("date").distinct(), "date", "left_anti")
-    span = panel.groupBy("symbol").agg(F.min("date").alias("a"), F.max("date").alias("b"))
-    expected = span.join(F.broadcast(days.select("date")), F.col("date").between(F.col("a"), F.col("b"))).select("symbol", "date")
-    return expected.join(panel.select("symbol", "date"), ["symbol", "date"], "left_anti")
+    # every day of the calendar's span with its own ordinal, if it is a trading day, and that of the last one up to it
+    ends = days.agg(F.min("date").alias("a"), F.max("date").alias("b"), F.min("ord").alias("lo"), F.max("ord").alias("hi")).where("a is not null")
+    every = ends.select(F.explode(F.sequence("a", "b", F.expr("interval 1 day"))).alias("date")).join(days.select("date", F.col("ord").alias("own")), "date", "left")
+    upto = every.withColumn("last", F.last("own", ignorenulls=True).over(W.orderBy("date").rowsBetween(W.unboundedPreceding, 0)))
+    bars = panel.select("symbol", "date").where("date is not null").distinct().join(F.broadcast(upto), "date", "left").join(F.broadcast(ends))
+    last = F.coalesce(F.col("last"), F.when(F.col("date") < F.col("a"), F.col("lo") - 1).otherwise(F.col("hi")))
+    bars = bars.select("symbol", "date", last.alias("last"), F.when(F.col("own").isNull(), last).otherwise(F.col("own") - 1).alias("to"))
+    holes = bars.select("symbol", (F.lag("last").over(W.partitionBy("symbol").orderBy("date")) + 1).alias("from"), "to").where(F.col("from") <= F.col("to"))
+    gone = holes.select("symbol", F.explode(F.sequence("from", "to")).alias("ord"))
+    return gone.join(F.broadcast(days.select("ord", "date")), "ord").select("symbol", "date")
 
 
 class MissingTradingDays(ValueError):

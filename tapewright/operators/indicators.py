@@ -1,20 +1,16 @@
-"""Indicators as window columns; the recursive ones in one grouped pass over each symbol."""
+"""Indicators as window columns, the recursive ones as scans; with cells of time, for symbols of any length."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import scalar as S
-
-def by_symbol():
-    return W.partitionBy("symbol").orderBy("date")
+from .series import Series, by_symbol
 
 
 def last_n(n: int):
@@ -100,64 +96,33 @@ def add_atr(df: DataFrame, n: int, name: str | None = None) -> DataFrame:
 # ------------------------------------------------------------------ recursive indicators
 
 
-def seeded_ema(x: pd.Series, n: int) -> pd.Series:
-    """EMA with alpha 2/(n+1) whose first value is the mean of the first n present values."""
-    some = x.dropna()
-    out = pd.Series(float("nan"), index=x.index)
-    if len(some) >= n:
-        start = pd.concat([pd.Series([some.iloc[:n].mean()], index=[some.index[n - 1]]), some.iloc[n:]])
-        out.loc[start.index] = start.ewm(alpha=2 / (n + 1), adjust=False).mean()
-    return out
-
-
-def _smooth(x: pd.Series, n: int) -> pd.Series:
-    return x.ewm(alpha=1 / n, adjust=True).mean()
-
-
-def _rsi(close: pd.Series, n: int) -> pd.Series:
-    move = close.diff()
-    up, down = _smooth(move.clip(lower=0), n), _smooth(-move.clip(upper=0), n)
-    share = 100 * up / (up + down)  # down 0 -> 100, both 0 -> null
-    return share.where((up + down) > 0)
-
-
-def _recursive(kind: str, args: tuple[int, ...], g: pd.DataFrame) -> dict[str, pd.Series]:
-    close = g["close"]
-    if kind == "ema":
-        return {"": seeded_ema(close, args[0])}
-    if kind == "ewm":
-        return {"": close.ewm(span=args[0], adjust=True).mean()}
-    if kind == "rsi":
-        out = _rsi(close, args[0])
-        out.iloc[: args[0]] = float("nan")
-        return {"": out}
-    if kind == "stochrsi":
-        n, k, d, smooth = args
-        rsi = _rsi(close, n)
-        low, high = rsi.rolling(k).min(), rsi.rolling(k).max()
-        line = ((rsi - low) / (high - low).where(high > low)).rolling(smooth).mean()
-        return {"k": line, "d": line.rolling(d).mean()}
-    if kind == "macd":
-        fast, slow, signal = args
-        line = seeded_ema(close, fast) - seeded_ema(close, slow)
-        sig = seeded_ema(line, signal)
-        return {"line": line, "signal": sig, "hist": line - sig}
-    if kind == "adx":
-        n = args[0]
-        up, down = g["high"].diff(), -g["low"].diff()
-        plus, minus = up.where((up > down) & (up > 0), 0.0), down.where((down > up) & (down > 0), 0.0)
-        plus.iloc[:1] = minus.iloc[:1] = float("nan")
-        before = close.shift()
-        tr = pd.concat([g["high"] - g["low"], (g["high"] - before).abs(), (g["low"] - before).abs()], axis=1).max(axis=1)
-        tr.iloc[:1] = float("nan")
-        base = _smooth(tr, n)
-        p, m = 100 * _smooth(plus, n) / base.where(base > 0), 100 * _smooth(minus, n) / base.where(base > 0)
-        dx = 100 * (p - m).abs() / (p + m).where((p + m) > 0)
-        adx = _smooth(dx, n)
-        for s in (p, m, adx):
-            s.iloc[:n] = float("nan")
-        return {"adx": adx, "dmp": p, "dmn": m}
-    raise ValueError(kind)
+def _some(c: str) -> Column:
+    """A column without NaN, which counts as missing."""
+    return F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+
+
+def _zero(c: Column) -> Column:
+    return F.coalesce(c, F.lit(0.0))
+
+
+def _there(c: Column) -> Column:
+    return F.when(c.isNotNull(), 1.0).otherwise(0.0)
+
+
+def _ratio(a: Column | str, b: Column | str) -> Column:
+    """a / b where b is above 0."""
+    a, b = S.as_column(a), S.as_column(b)
+    return F.when(b > 0, a / b)
+
+
+def _seeded(s: Series, out: dict[str, int], x: str, count: str, total: str) -> None:
+    """Adds EMAs of x with alpha 2/(n+1) whose first value is the mean of the first n present values, n values in; `count`
+    and `total` are the count and the sum of present values so far. Missing values move nothing and have no EMA."""
+    k, there = F.col(count), F.col(x).isNotNull()
+    for name, n in out.items():
+        s.add(**{f"__u_{name}": F.when(there & (k == n), F.col(total) / n).when(there & (k > n), F.col(x) * (2 / (n + 1))).otherwise(0.0)})
+    s.scan({name: (f"__u_{name}", 1 - 2 / (n + 1)) for name, n in out.items()}, count)
+    s.add(**{name: F.when(there & (k >= n), F.col(name)) for name, n in out.items()})
 
 
 #: kind -> names of its outputs, for given arguments
@@ -171,26 +136,79 @@ RECURSIVE = {
 }
 
 
-def add_recursive(df: DataFrame, wanted: Iterable[tuple[str, tuple[int, ...]]]) -> DataFrame:
-    """Add recursive indicators, all of them in one Arrow pass over each symbol (one shuffle by symbol, shared with the
-    windows before it)."""
+def add_recursive(df: DataFrame, wanted: Iterable[tuple[str, tuple[int, ...]]], cell: Column | None = None) -> DataFrame:
+    """Add recursive indicators as scans, all in windows: by symbol, whose exchange they share with the windows before
+    them, or, with `cell` (a column that grows with the date, like series.days()), by cells of time, for symbols that are
+    too long for a task. A missing close moves no EMA; the other means hold their value there."""
     wanted = list(dict.fromkeys(wanted))
     names = [n for kind, args in wanted for n in RECURSIVE[kind](args).values()]
     if not names:
         return df
-    schema = T.StructType([f for f in df.schema.fields if f.name not in names] + [T.StructField(n, T.DoubleType()) for n in names])
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("date", kind="stable").reset_index(drop=True)
-        new = {}
-        for kind, args in wanted:
-            found = _recursive(kind, args, g)
-            for part, name in RECURSIVE[kind](args).items():
-                new[name] = found[part]
-        out = g.assign(**new)
-        return out[[f.name for f in schema.fields]]
-
-    return df.groupBy("symbol").applyInPandas(run, schema)
+    of = {kind: [a for k, a in wanted if k == kind] for kind in RECURSIVE}
+    moving, seeded = of["rsi"] + of["stochrsi"] + of["adx"], of["ema"] + of["macd"]
+    prices = ["close", *(["high", "low"] if of["adx"] else [])]
+    rows = df.drop(*names).withColumns({f"__{c}": _some(c) for c in prices})
+    s = Series(rows, cell, [f"__{c}" for c in prices] if moving else [], ["__close"] if seeded else [])
+    s.kept = [c for c in df.columns if c not in names]
+    pos, terms = F.col("__pos"), {}
+    if of["ewm"]:
+        s.add(__x=_zero(F.col("__close")), __p=_there(F.col("__close")))
+        for (n,) in of["ewm"]:
+            r = 1 - 2 / (n + 1)
+            terms |= {f"__ewm_s{n}": ("__x", r), f"__ewm_w{n}": ("__p", r)}
+    if of["rsi"] or of["stochrsi"]:
+        move = F.col("__close") - s.lag("__close")
+        s.add(__up=_zero(F.greatest(move, F.when(move.isNotNull(), 0.0))), __down=_zero(F.greatest(-move, F.when(move.isNotNull(), 0.0))))
+        for n in {a[0] for a in of["rsi"] + of["stochrsi"]}:
+            terms |= {f"__up_{n}": ("__up", 1 - 1 / n), f"__down_{n}": ("__down", 1 - 1 / n)}
+    if of["adx"]:
+        up, down, before = F.col("__high") - s.lag("__high"), s.lag("__low") - F.col("__low"), s.lag("__close")
+        tr = F.when(pos > 1, F.greatest(F.col("__high") - F.col("__low"), F.abs(F.col("__high") - before), F.abs(F.col("__low") - before)))
+        s.add(__dmp=F.when((pos > 1) & (up > down) & (up > 0), up).otherwise(0.0), __dmn=F.when((pos > 1) & (down > up) & (down > 0), down).otherwise(0.0), __dm=F.when(pos > 1, 1.0).otherwise(0.0), __tr=_zero(tr), __trp=_there(tr))
+        for (n,) in of["adx"]:
+            terms |= {f"{c}_{n}": (c, 1 - 1 / n) for c in ("__dmp", "__dmn", "__dm", "__tr", "__trp")}
+    if terms:
+        s.scan(terms)
+    for (n,) in of["ewm"]:
+        s.add(**{f"ewm_{n}": _ratio(f"__ewm_s{n}", f"__ewm_w{n}")})
+    for n in {a[0] for a in of["rsi"] + of["stochrsi"]}:
+        s.add(**{f"__rsi_{n}": _ratio(100 * F.col(f"__up_{n}"), F.col(f"__up_{n}") + F.col(f"__down_{n}"))})  # no fall: 100, no move: null
+    for (n,) in of["rsi"]:
+        s.add(**{f"rsi_{n}": F.when(pos > n, F.col(f"__rsi_{n}"))})
+    if of["adx"]:
+        for (n,) in of["adx"]:
+            base = _ratio(f"__tr_{n}", f"__trp_{n}")
+            s.add(**{f"__{c}di_{n}": 100 * _ratio(_ratio(f"__{d}_{n}", f"__dm_{n}"), base) for c, d in (("p", "dmp"), ("m", "dmn"))})
+            p, m = F.col(f"__pdi_{n}"), F.col(f"__mdi_{n}")
+            s.add(**{f"__dx_{n}": 100 * _ratio(F.abs(p - m), p + m)})
+            s.add(**{f"__dx0_{n}": _zero(F.col(f"__dx_{n}")), f"__dxp_{n}": _there(F.col(f"__dx_{n}"))})
+        s.scan({f"__{o}_{n}": (f"__{x}_{n}", 1 - 1 / n) for (n,) in of["adx"] for o, x in (("as", "dx0"), ("aw", "dxp"))})
+        for (n,) in of["adx"]:
+            s.add(**{f"{o}_{n}": F.when(pos > n, c) for o, c in (("adx", _ratio(f"__as_{n}", f"__aw_{n}")), ("dmp", F.col(f"__pdi_{n}")), ("dmn", F.col(f"__mdi_{n}")))})
+    if seeded:
+        emas = {n for (n,) in of["ema"]} | {n for f, sl, _ in of["macd"] for n in (f, sl)}
+        _seeded(s, {f"__ema_{n}": n for n in sorted(emas)}, "__close", "__n___close", "__s___close")
+        for (n,) in of["ema"]:
+            s.add(**{f"ema_{n}": F.col(f"__ema_{n}")})
+    for fast, slow, signal in of["macd"]:
+        key = f"{fast}_{slow}_{signal}"
+        # the line is there from the slower EMA's first value on
+        s.add(__line=F.col(f"__ema_{fast}") - F.col(f"__ema_{slow}"), __k=F.greatest(F.col("__n___close") - (max(fast, slow) - 1), F.lit(0)))
+        s.add(__line0=_zero(F.col("__line")))
+        s.scan({"__total": ("__line0", 1.0)}, "__k")
+        _seeded(s, {"__sig": signal}, "__line", "__k", "__total")
+        s.add(**{f"macd_{key}": F.col("__line"), f"macd_signal_{key}": F.col("__sig"), f"macd_hist_{key}": F.col("__line") - F.col("__sig")})
+    for n, k, d, smooth in of["stochrsi"]:
+        key = f"{n}_{k}_{d}_{smooth}"
+
+        def build(rows: DataFrame, n: int = n, k: int = k, d: int = d, smooth: int = smooth, key: str = key) -> DataFrame:
+            rows = rows.withColumns({"__lo": rolling(f"__rsi_{n}", k, "min"), "__hi": rolling(f"__rsi_{n}", k, "max")})
+            rows = rows.withColumn("__stoch", _ratio(F.col(f"__rsi_{n}") - F.col("__lo"), F.col("__hi") - F.col("__lo")))
+            rows = rows.withColumn(f"stochrsi_k_{key}", rolling("__stoch", smooth, "mean"))
+            return rows.withColumn(f"stochrsi_d_{key}", rolling(f"stochrsi_k_{key}", d, "mean"))
+
+        s.windows(k + d + smooth, build)
+    return s.result(*names)
 
 
 def ewm_native(x: S.Operand, alpha: float, tail: float = 1e-16) -> Column:
@@ -217,35 +235,50 @@ def parse_name(name: str) -> tuple[str, tuple[float, ...]] | None:
     return m["kind"], tuple(float(a.replace("p", ".")) if "p" in a else int(a) for a in m["args"].split("_"))
 
 
-def add_named(df: DataFrame, names: Iterable[str]) -> DataFrame:
+def add_named(df: DataFrame, names: Iterable[str], cell: Column | None = None) -> DataFrame:
     """Compute the indicators that are asked for and not there, each once, each from its name; other names pass by.
 
-    Windows come first; the recursive ones then share their exchange.
+    Windows come first; the recursive ones then share their exchange. With `cell` (see series.Series) no task holds a
+    whole symbol: the windows run in buckets of bars, the recursive ones in cells of time.
     """
-    simple: dict[str, Column] = {}
+    simple: dict[str, tuple] = {}
     recursive: list[tuple[str, tuple[int, ...]]] = []
-    cci, atr = [], []
+    cci, atr, reach = [], [], [0]
     for name in dict.fromkeys(names):
         found = parse_name(name)
         if found is None or name in df.columns:
             continue
         kind, a = found
         if kind in ("sma", "wma", "mom", "roc"):
-            simple[name] = {"sma": sma, "wma": wma, "mom": momentum, "roc": change_rate}[kind](int(a[0]))
+            simple[name] = ({"sma": sma, "wma": wma, "mom": momentum, "roc": change_rate}[kind], int(a[0]))
+            reach.append(int(a[0]))
         elif kind in ("bbl", "bbm", "bbh", "bbu"):
-            simple[name] = bollinger(int(a[0]), float(a[1]) if len(a) > 1 else 2.0)[{"bbl": 0, "bbm": 1}.get(kind, 2)]
+            simple[name] = (lambda n, k, i: bollinger(n, k)[i], int(a[0]), float(a[1]) if len(a) > 1 else 2.0, {"bbl": 0, "bbm": 1}.get(kind, 2))
+            reach.append(int(a[0]))
         elif kind == "cci":
             cci.append(int(a[0]))
+            reach.append(2 * int(a[0]))
         elif kind == "atr":
             atr.append(int(a[0]))
+            reach.append(int(a[0]) + 1)
         else:
             recursive.append(("adx" if kind in ("dmp", "dmn") else kind, tuple(int(x) for x in a)))
-    out = df.withColumns(simple) if simple else df
-    for n in cci:
-        out = add_cci(out, n)
-    for n in atr:
-        out = add_atr(out, n)
-    return add_recursive(out, recursive)
+
+    def build(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumns({name: f(*a) for name, (f, *a) in simple.items()}) if simple else rows
+        for n in cci:
+            rows = add_cci(rows, n)
+        for n in atr:
+            rows = add_atr(rows, n)
+        return rows
+
+    if cell is None:
+        return add_recursive(build(df), recursive)
+    out = df
+    if max(reach):
+        s = Series(df, cell).windows(max(reach), build)
+        out = s.df.drop(*[c for c in s.df.columns if c.startswith("__") and c not in df.columns])
+    return add_recursive(out, recursive, cell)
 
 
 def demanded(predicates: Iterable[str]) -> list[str]:

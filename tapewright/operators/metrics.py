@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from .indicators import by_symbol
+from .series import by_symbol, days
 
 YEAR = 252
 
@@ -89,36 +91,102 @@ def hit_rate(pnl: S.Operand = "pnl") -> tuple[Column, Column, Column]:
 
 
 # ---- tables
+#
+# An equity or a series of returns is cut into cells of time that run side by side, each in a task. What a cell needs of
+# those before it (their peak, product or last value) is merged from one row a cell; no window goes over a whole series.
+
+#: Days of a cell.
+CELL_DAYS = 1024
+
+
+def _keys(by: list[str]) -> list[str]:
+    return [*by, "__cell"]
+
+
+def in_cells(rows: DataFrame, date: str = "date") -> DataFrame:
+    """Adds __cell."""
+    return rows.withColumn("__cell", days(CELL_DAYS, date))
+
+
+def _with_past(rows: DataFrame, by: list[str], out: str, each: Column, merge: Callable[[Column], Column]) -> DataFrame:
+    """Adds `out`, what merge() makes of the aggregates `each` of all earlier cells of the row's series; null in the first.
+
+    merge takes an array in order of the cells. A series has as many cells as its span has CELL_DAYS; they meet as one
+    array, whatever the number of rows.
+    """
+    cells = rows.groupBy(*_keys(by)).agg(each.alias("v"))
+    whole = cells.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("__cell", "v"))).alias("s"))
+    upto = lambda i: F.transform(F.slice("s", 1, i), lambda c: c["v"])
+    past = whole.select(*[F.col(k).alias(f"__{i}") for i, k in enumerate(by)], F.inline(F.transform("s", lambda c, i: F.struct(c["__cell"].alias("__c"), merge(upto(i)).alias(out)))))
+    same = F.col("__cell").eqNullSafe(F.col("__c"))
+    for i, k in enumerate(by):
+        same = same & F.col(k).eqNullSafe(F.col(f"__{i}"))
+    return rows.join(past, same, "left").drop("__c", *[f"__{i}" for i in range(len(by))])
 
 
 def _ordered(by: list[str]):
-    return W.partitionBy(*by).orderBy("date")
+    return W.partitionBy(*_keys(by)).orderBy("date")
+
+
+def _so_far(by: list[str]):
+    return _ordered(by).rowsBetween(W.unboundedPreceding, 0)
 
 
 def with_returns(equity: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Adds ret = equity / the row before - 1."""
-    w = _ordered(by or [])
-    return equity.withColumn("ret", S.divide("equity", F.lag("equity").over(w)) - 1)
+    by = by or []
+    rows = _with_past(in_cells(equity), by, "__last", F.max_by("equity", "date"), lambda v: F.get(v, F.size(v) - 1))
+    before = F.when(F.row_number().over(_ordered(by)) == 1, F.col("__last")).otherwise(F.lag("equity").over(_ordered(by)))
+    return rows.withColumn("ret", S.divide("equity", before) - 1).drop("__cell", "__last")
+
+
+def _product(v: Column) -> Column:
+    return F.aggregate(v, F.lit(1.0), lambda a, x: a * F.coalesce(x, F.lit(1.0)))
 
 
 def with_growth(returns: DataFrame, r: str = "r", by: list[str] | None = None) -> DataFrame:
-    """Adds growth, the running product of 1 + r."""
-    return returns.withColumn("growth", F.product(1 + F.col(r)).over(_ordered(by or []).rowsBetween(W.unboundedPreceding, 0)))
+    """Adds growth, the running product of 1 + r; a missing return moves nothing, one of -1 leaves 0 for good."""
+    by = by or []
+    rows = _with_past(in_cells(returns), by, "__past", F.product(1 + F.col(r)), _product)
+    here = F.coalesce(F.product(1 + F.col(r)).over(_so_far(by)), F.lit(1.0))
+    return rows.withColumn("growth", F.coalesce(F.col("__past"), F.lit(1.0)) * here).drop("__cell", "__past")
+
+
+def with_drawdown(equity: DataFrame, by: list[str] | None = None, value: str = "equity") -> DataFrame:
+    """Adds peak and drawdown (0 or below; null where the peak is 0)."""
+    by = by or []
+    rows = _with_past(in_cells(equity), by, "__past", F.max(value), F.array_max)
+    rows = rows.withColumn("peak", F.greatest(F.col("__past"), F.max(value).over(_so_far(by)))).drop("__cell", "__past")
+    return rows.withColumn("drawdown", S.divide(value, "peak") - 1)
 
 
-def with_drawdown(equity: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Adds peak and drawdown (0 or below)."""
-    w = _ordered(by or []).rowsBetween(W.unboundedPreceding, 0)
-    return equity.withColumn("peak", F.max("equity").over(w)).withColumn("drawdown", F.col("equity") / F.col("peak") - 1)
+def drawdown_segments(equity: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """by..., __cell, deepest, rows, head, inner, tail, whole: a row for each cell of each series. `deepest` is its lowest
+    drawdown; of its runs of rows below a peak `head` is the one it begins with, `tail` the one it ends with and `inner`
+    the longest; `whole` says that it is one run from end to end. Neighbours merge by merged_runs."""
+    by = by or []
+    dd = in_cells(with_drawdown(equity, by)).withColumn("__i", F.sum(F.when(F.col("drawdown") >= 0, 1).otherwise(0)).over(_so_far(by)))
+    runs = dd.groupBy(*_keys(by), "__i").agg(F.min("drawdown").alias("d"), F.count_if(F.col("drawdown") < 0).alias("n"))
+    return runs.groupBy(*_keys(by)).agg(F.min("d").alias("deepest"), F.coalesce(F.max(F.when(F.col("__i") == 0, F.col("n"))), F.lit(0)).alias("head"), F.max("n").alias("inner"), F.max_by("n", "__i").alias("tail"), (F.max("__i") == 0).alias("whole"))
+
+
+def merged_runs(segments: Column) -> Column:
+    """The longest run of a series from the array of its segments in order."""
+    start = F.struct(F.lit(0).cast("long").alias("best"), F.lit(0).cast("long").alias("open"))
+
+    def merge(a: Column, s: Column) -> Column:
+        met = a["open"] + s["head"]
+        return F.struct(F.greatest(a["best"], met, s["inner"]).alias("best"), F.when(s["whole"], met).otherwise(s["tail"]).alias("open"))
+
+    return F.aggregate(segments, start, merge, lambda a: a["best"])
 
 
 def drawdown_runs(equity: DataFrame, by: list[str] | None = None) -> DataFrame:
     """by..., max_drawdown, max_dd_days: the deepest drawdown and the longest run of rows below a peak."""
     by = by or []
-    w = _ordered(by).rowsBetween(W.unboundedPreceding, 0)
-    dd = with_drawdown(equity, by).withColumn("__i", F.sum(F.when(F.col("drawdown") >= 0, 1).otherwise(0)).over(w))
-    islands = dd.groupBy(*by, "__i").agg(F.min("drawdown").alias("d"), F.count_if(F.col("drawdown") < 0).alias("n"))
-    return islands.groupBy(*by).agg(F.min("d").alias("max_drawdown"), F.max("n").alias("max_dd_days"))
+    whole = drawdown_segments(equity, by).groupBy(*by).agg(F.min("deepest").alias("max_drawdown"), F.array_sort(F.collect_list(F.struct("__cell", "head", "inner", "tail", "whole"))).alias("s"))
+    # a global aggregate has its row even of no rows
+    return whole.select(*by, "max_drawdown", F.when(F.size("s") > 0, merged_runs(F.col("s"))).alias("max_dd_days"))
 
 
 def equity_metrics(equity: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -136,30 +204,29 @@ def turnover(weights: DataFrame, periods: DataFrame | None = None) -> DataFrame:
     Only rows that exist are moved: a weight that vanishes or appears counts against the neighbouring period, found by
     the period's ordinal, so the dense grid of periods and assets is never built.
     """
-    days = (periods if periods is not None else weights.select("date")).distinct()
-    ord_ = days.select("date", F.row_number().over(W.orderBy("date")).alias("k"))
-    last = days.count()
+    each = (periods if periods is not None else weights.select("date")).distinct()
+    ord_ = each.select("date", F.row_number().over(W.orderBy("date")).alias("k"), F.count(F.lit(1)).over(W.partitionBy(F.lit(0))).alias("last"))
     rows = weights.groupBy("date", "symbol").agg(F.sum("weight").alias("x")).join(F.broadcast(ord_), "date")
     w = W.partitionBy("symbol").orderBy("k")
     prev_k, prev_x, next_k = F.lag("k").over(w), F.lag("x").over(w), F.lead("k").over(w)
     moved = rows.select(
         F.when(F.col("k") == 1, 0.0).otherwise(F.abs(F.col("x") - F.when(prev_k == F.col("k") - 1, prev_x).otherwise(0.0))).alias("into"),
-        F.when((F.col("k") < last) & F.coalesce(next_k > F.col("k") + 1, F.lit(True)), F.abs("x")).otherwise(0.0).alias("out"),
+        F.when((F.col("k") < F.col("last")) & F.coalesce(next_k > F.col("k") + 1, F.lit(True)), F.abs("x")).otherwise(0.0).alias("out"),
     )
     return moved.agg((F.coalesce(F.sum(F.col("into") + F.col("out")), F.lit(0.0)) / 2).alias("turnover"))
 
 
 def strategy_metrics(returns: DataFrame, by: list[str], r: str = "r", turnover_each: float = 0.0) -> DataFrame:
-    """by..., sharpe, sortino, cagr (percent), max_drawdown (percent, positive), turnover, hit_rate, trades."""
-    w = W.partitionBy(*by).orderBy("date").rowsBetween(W.unboundedPreceding, 0)
-    grown = returns.withColumn("__g", F.exp(F.sum(F.log1p(F.col(r))).over(w)))
-    dd = grown.withColumn("__d", F.col("__g") / F.max("__g").over(w) - 1)
+    """by..., sharpe, sortino, cagr (percent), max_drawdown (percent, positive), turnover, hit_rate, trades.
+
+    A return of -1 loses everything: cagr -100, drawdown 100 from then on."""
+    dd = with_drawdown(with_growth(returns, r, by), by, "growth")
     n = F.count(F.lit(1))
     return dd.groupBy(*by).agg(
         sharpe(r, "sample").alias("sharpe"),
         sortino(r, "sample").alias("sortino"),
-        ((F.pow(F.max_by("__g", "date"), YEAR / n) - 1) * 100).alias("cagr"),
-        (-F.min("__d") * 100).alias("max_drawdown"),
+        ((F.pow(F.max_by("growth", "date"), YEAR / n) - 1) * 100).alias("cagr"),
+        (-F.min("drawdown") * 100).alias("max_drawdown"),
         (n * turnover_each).alias("turnover"),
         F.avg(F.when(F.col(r) > 0, 1.0).otherwise(0.0)).alias("hit_rate"),
         n.alias("trades"),

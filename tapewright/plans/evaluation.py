@@ -119,6 +119,28 @@ def strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settled(m, "sharpe", "sortino", "cagr", "max_drawdown", "turnover", "hit_rate", "score")
 
 
+_LOSSES = _BY_SYMBOL.replace("(close / prev_close - 1) / 100", "CASE WHEN day(date) = 28 AND month(date) = 6 AND ascii(right(symbol, 1)) % 2 = 0 THEN -1.0 ELSE (close / prev_close - 1) / 4 END")
+
+
+@query(
+    "a20_total_losses",
+    f"""WITH {_LOSSES}, gr AS (SELECT symbol, date, r, product(1 + r) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING) AS g FROM rs),
+        ds AS (SELECT *, max(g) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING) AS p FROM gr)
+        SELECT symbol, last(g ORDER BY date) = 0 AS lost, CASE WHEN last(g ORDER BY date) > 0 THEN {r4('ln(last(g ORDER BY date)) * 252 / count(*)')} END AS log_cagr,
+               {r4('max(CASE WHEN p > 0 THEN (p - g) / p END) * 100')} AS max_drawdown, count(*) AS trades FROM ds GROUP BY symbol""",
+    ("bars",),
+)
+def total_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-20 with undamped returns, of which some lose everything: cagr -100, drawdown 100."""
+    from ..operators.indicators import by_symbol
+
+    hit = (F.dayofmonth("date") == 28) & (F.month("date") == 6) & (F.ascii(F.right("symbol", F.lit(1))) % 2 == 0)
+    p = B.panel(spark, sf_dir).withColumn("move", F.col("close") / F.lag("close").over(by_symbol()) - 1).where("move is not null")
+    m = M.strategy_metrics(p.select("symbol", "date", F.when(hit, -1.0).otherwise(F.col("move") / 4).alias("r")), ["symbol"])
+    lost = F.col("cagr") == -100
+    return settled(m.select("symbol", lost.alias("lost"), F.when(~lost, F.log1p(F.col("cagr") / 100)).alias("log_cagr"), "max_drawdown", "trades"), "log_cagr", "max_drawdown")
+
+
 @query("a23_duplicates", "SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1")
 def duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.quality import duplicates
@@ -177,7 +199,7 @@ _SEARCH = f"""{_EXP}, grid AS (SELECT CAST(i AS INTEGER) AS iter, [1.0, 2.0, 5.0
 
 def search_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = E.grid(spark, {"leverage": [1.0, 2.0, 5.0], "cost": [0.0, 0.0001]})
-    return E.search(B.daily_returns(spark, sf_dir), g, E.expanding(B.panel(spark, sf_dir), 4, 3), F.col("r") * F.col("leverage") - F.col("cost"))
+    return E.search(B.daily_returns(spark, sf_dir), g, E.expanding(B.panel(spark, sf_dir), 4, 3), lambda p: F.col("r") * p["leverage"] - p["cost"])
 
 
 @query("e5_j10_grid_search", f"WITH {_SEARCH} SELECT iter, CAST(leverage AS DOUBLE) AS leverage, CAST(cost AS DOUBLE) AS cost, {r4('score')} AS score FROM sc", ("panel", "dret"))
@@ -185,6 +207,21 @@ def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settled(search_table(spark, sf_dir), "score")
 
 
+#: Leverages from a list, costs as whole hundred-thousandths.
+_SPACE = {"leverage": [0.5, 1.0, 2.0, 3.0, 5.0], "cost": (0, 12)}
+_DRAWN = ", ".join(f"({i}, {x}, {c})" for i, x, c in E.drawn(_SPACE, 20, 7))
+
+
+@query(
+    "e5_random_search",
+    "WITH " + _SEARCH.replace("SELECT CAST(i AS INTEGER) AS iter, [1.0, 2.0, 5.0][1 + i // 2] AS leverage, [0.0, 0.0001][1 + i % 2] AS cost FROM (SELECT unnest(generate_series(0, 5)) AS i)", f"SELECT CAST(i AS INTEGER) AS iter, CAST(l AS DOUBLE) AS leverage, CAST(c AS DOUBLE) AS cost FROM (VALUES {_DRAWN}) t(i, l, c)").replace("r * leverage - cost", "r * leverage - cost / 100000") + f" SELECT iter, CAST(leverage AS DOUBLE) AS leverage, CAST(cost AS DOUBLE) AS cost, {r4('score')} AS score FROM sc",
+    ("panel", "dret"),
+)
+def random_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E-5: parameters drawn at random, the same ones on every run of a seed."""
+    return settled(E.search(B.daily_returns(spark, sf_dir), E.draws(spark, _SPACE, 20, 7), E.expanding(B.panel(spark, sf_dir), 4, 3), lambda p: F.col("r") * p["leverage"] - p["cost"] / 100_000), "score")
+
+
 @query("o4_best_parameters", f"WITH {_SEARCH} SELECT iter, CAST(leverage AS DOUBLE) AS leverage, CAST(cost AS DOUBLE) AS cost, score FROM (SELECT * REPLACE ({r4('score')} AS score) FROM sc) ORDER BY score DESC, iter LIMIT 1", ("panel", "dret"))
 def best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.best(settled(search_table(spark, sf_dir), "score"))
