@@ -5,12 +5,16 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scalar as S
-from .series import Series, by_symbol
+from .series import BUCKET, Series, by_symbol
 
 
 def last_n(n: int):
@@ -23,7 +27,9 @@ def _full(x: Column, n: int, value: Column) -> Column:
 
 
 def rolling(x: S.Operand, n: int, how: str) -> Column:
-    """Rolling mean, max, min, sum, std (one degree of freedom lost) or median of the last n bars; null until n are there."""
+    """Rolling mean, max, min, sum, std (one degree of freedom lost) or median of the last n bars; null until n are there.
+
+    The median as a column sorts n values at each bar: add_medians() is for more than some dozen."""
     c = S.as_column(x)
     if how == "median":
         s = F.sort_array(F.collect_list(c).over(last_n(n)))
@@ -32,6 +38,33 @@ def rolling(x: S.Operand, n: int, how: str) -> Column:
     return _full(c, n, f(c).over(last_n(n)))
 
 
+def add_medians(df: DataFrame, wanted: dict[str, tuple[str, int]], cell: Column | None = None, bucket: int = BUCKET) -> DataFrame:
+    """Adds, for out -> (x, n), the median of the last n bars' x, null until n present values are there.
+
+    An order-statistic window: the last n values are kept sorted, a bar puts one in and takes one out in logarithmic time,
+    so that the cost of a bar hardly grows with n. Bars go through Arrow by symbol or, with `cell` (see series.Series), by
+    buckets that overlap; only x is read there, the other columns pass by as they are.
+    """
+    names = [c for c in df.columns if c not in wanted]
+    kept = df.select(*names)
+    s = Series(kept, cell)
+
+    def build(rows: DataFrame) -> DataFrame:
+        schema = T.StructType([*rows.schema.fields, *[T.StructField(o, T.DoubleType()) for o in wanted]])
+        groups = rows.groupBy("symbol", "__bucket") if "__bucket" in rows.columns else rows.groupBy("symbol")
+
+        def run(bars: pa.Table) -> pa.Table:
+            bars = bars.take(pc.sort_indices(bars.column("date")))
+            for out, (x, n) in wanted.items():
+                values = pd.Series(bars.column(x).cast(pa.float64()).to_numpy(zero_copy_only=False))
+                bars = bars.append_column(out, pa.array(values.rolling(n).median(), pa.float64(), from_pandas=True))
+            return bars
+
+        return groups.applyInArrow(run, schema)
+
+    return s.windows(max(n for _, n in wanted.values()), build, bucket).result(*wanted) if wanted else df
+
+
 def sma(n: int, x: S.Operand = "close") -> Column:
     return rolling(x, n, "mean")
 
@@ -235,7 +268,7 @@ def parse_name(name: str) -> tuple[str, tuple[float, ...]] | None:
     return m["kind"], tuple(float(a.replace("p", ".")) if "p" in a else int(a) for a in m["args"].split("_"))
 
 
-def add_named(df: DataFrame, names: Iterable[str], cell: Column | None = None) -> DataFrame:
+def add_named(df: DataFrame, names: Iterable[str], cell: Column | None = None, bucket: int = BUCKET) -> DataFrame:
     """Compute the indicators that are asked for and not there, each once, each from its name; other names pass by.
 
     Windows come first; the recursive ones then share their exchange. With `cell` (see series.Series) no task holds a
@@ -276,7 +309,7 @@ def add_named(df: DataFrame, names: Iterable[str], cell: Column | None = None) -
         return add_recursive(build(df), recursive)
     out = df
     if max(reach):
-        s = Series(df, cell).windows(max(reach), build)
+        s = Series(df, cell).windows(max(reach), build, bucket)
         out = s.df.drop(*[c for c in s.df.columns if c.startswith("__") and c not in df.columns])
     return add_recursive(out, recursive, cell)
 

@@ -9,9 +9,10 @@ from __future__ import annotations
 import fnmatch
 import re
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -211,6 +212,48 @@ def scan(panel: DataFrame, rules: list[Rule], start=None, end=None, on_error: st
     return hit.select("symbol", "date", *carry, F.get(about, F.col("n")).alias("r")).select("r.filter_code", "r.grp", "symbol", "r.side", "date", *carry)
 
 
+def count_hits(panel: DataFrame, rules: list[Rule], by: tuple[str, ...] = (), start=None, end=None, on_error: str = "skip") -> DataFrame:
+    """by..., filter_code, hits: how many bars of [start, end] each rule is met by, in all or by the columns `by`; rules
+    without a hit are absent.
+
+    A hit is a bit of its bar: no row is made for it. In all, the bits go to Arrow as one bitmap a rule and batch, whose
+    set bits are counted; a task hands on a number for each rule. By columns, an aggregate holds a counter for each of
+    CHUNK rules, and what is shuffled is a row of counters for each task and group.
+    """
+    good = usable(panel, rules, on_error)
+    if not good:
+        return panel.where("false").select(*by, F.lit("").alias("filter_code"), F.lit(0).cast("long").alias("hits"))
+    bits = [F.coalesce(r.column(), F.lit(False)) if isinstance(kind, T.BooleanType) else S.nonzero(r.column()) for r, kind in good]
+    codes = [r.code for r, _ in good]
+
+    def within(some: range) -> DataFrame:
+        rows = panel.select(*[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], F.col("date").alias("__date"), *[bits[i].alias(f"__b{i}") for i in some])
+        if start is not None:
+            rows = rows.where(F.col("__date") >= F.lit(start).cast("date"))
+        if end is not None:
+            rows = rows.where(F.col("__date") <= F.lit(end).cast("date"))
+        return rows.drop("__date")
+
+    if not by:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = [0] * len(codes)
+            for batch in batches:
+                total = [n + (c.true_count or 0) for n, c in zip(total, batch.columns, strict=True)]
+            met = [i for i, n in enumerate(total) if n]
+            yield pa.RecordBatch.from_arrays([pa.array([codes[i] for i in met], pa.string()), pa.array([total[i] for i in met], pa.int64())], names=["filter_code", "hits"])
+
+        return within(range(len(good))).mapInArrow(run, "filter_code string, hits long").groupBy("filter_code").agg(F.sum("hits").alias("hits"))
+    counted = None
+    for at in range(0, len(good), CHUNK):
+        some = range(at, min(at + CHUNK, len(good)))
+        sums = within(some).groupBy(*[f"__by{i}" for i in range(len(by))]).agg(*[F.count_if(f"__b{i}").alias(f"__b{i}") for i in some])
+        pairs = F.array(*[F.struct(F.lit(codes[i]).alias("filter_code"), F.col(f"__b{i}").alias("hits")) for i in some])
+        part = sums.select(*[F.col(f"__by{i}").alias(c) for i, c in enumerate(by)], F.inline(F.filter(pairs, lambda p: p["hits"] > 0)))
+        counted = part if counted is None else counted.unionAll(part)
+    return counted
+
+
 def scan_day(panel: DataFrame, rules: list[Rule], day, on_error: str = "skip") -> DataFrame:
     return scan(panel, rules, day, day, on_error)
 
@@ -226,6 +269,6 @@ def rule_audit(panel: DataFrame, rules: list[Rule], days: DataFrame) -> DataFram
     """(code, date, hits, skipped, reason) for every rule and day, days without hits included."""
     spark = panel.sparkSession
     found = spark.createDataFrame([(a["code"], not a["ok"], a["reason"]) for a in audit(panel, rules)], "code string, skipped boolean, reason string")
-    hits = scan(panel, rules).groupBy(F.col("filter_code").alias("code"), "date").agg(F.count(F.lit(1)).alias("hits"))
+    hits = count_hits(panel, rules, ("date",)).withColumnRenamed("filter_code", "code")
     grid = F.broadcast(found).crossJoin(days.select("date"))  # rules by days, two small tables
     return grid.join(hits, ["code", "date"], "left").select("code", "date", F.coalesce("hits", F.lit(0)).cast("long").alias("hits"), "skipped", "reason")

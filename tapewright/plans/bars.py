@@ -211,7 +211,7 @@ def scan_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 def many_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """300 rules over the whole panel in one plan, counted by rule."""
     many = [rules.Rule(f"R{k:03d}", f"close > sma_5 * (1 + ({k} - 150) / 1000.0D)") for k in range(300)]
-    return rules.scan(smas(spark, sf_dir), many).groupBy("filter_code").agg(F.count(F.lit(1)).alias("hits"))
+    return rules.count_hits(smas(spark, sf_dir), many)
 
 
 @query(
@@ -316,6 +316,22 @@ def rule_by_day_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settled(summary.rule_side_day(trade_table(spark, sf_dir)).select("filter_code", "side", "date", F.col("ret").alias("mean_ret")), "mean_ret")
 
 
+_MONTHS = [f"{y}-{m:02d}" for y in range(1992, 1999) for m in range(1, 13)]
+
+
+@query("a4_rule_pivot", "SELECT filter_code, coalesce(side, 'long') AS side, " + ", ".join(f"""{r4(f"avg(return_pct) FILTER (strftime(date, '%Y-%m') = '{m}')")} AS "{m}\"""" for m in _MONTHS) + " FROM trades WHERE return_pct IS NOT NULL GROUP BY ALL", ("trades",))
+def rule_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-4: the pivot itself, a column a month of the tables' span."""
+    t = trade_table(spark, sf_dir).where("return_pct is not null").withColumn("date", F.date_format("date", "yyyy-MM"))
+    return settled(summary.rule_by_day(t, _MONTHS, by_side=True), *_MONTHS)
+
+
+@query("a1_a9_hit_counts", "SELECT date, filter_code, count(*) AS hits FROM signals GROUP BY ALL", ("signals",))
+def hit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-1, A-9 from the rules themselves: a day's hits counted without a row for each."""
+    return rules.count_hits(smas(spark, sf_dir), RULES, ("date",))
+
+
 @query("a24_win_rate", f"SELECT filter_code, date, {r4('avg(CAST(return_pct > 0 AS DOUBLE))')} AS win_rate FROM trades WHERE return_pct IS NOT NULL GROUP BY ALL", ("trades",))
 def win_rate_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A-24: every day, in the long form."""

@@ -146,7 +146,7 @@ def days_in_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
         events.where(F.pmod("event_id", F.lit(3)) == part).write.mode("append").parquet(f"{path}/in")
         X.ingest_events(spark, f"{path}/in", events.schema, f"{path}/store", f"{path}/c").awaitTermination()
     X.ingest_events(spark, f"{path}/in", events.schema, f"{path}/store", f"{path}/again").awaitTermination()
-    return settled(spark.read.parquet(f"{path}/store/bars").select("symbol", "date", "close", "volume"), "volume")
+    return settled(X.read_bars(spark, f"{path}/store"), "volume")
 
 
 @query("f6_rounding", "SELECT l_orderkey, l_linenumber, (c // 8 + CASE WHEN c % 8 > 4 OR (c % 8 = 4 AND c // 8 % 2 = 1) THEN 1 ELSE 0 END) / 100.0 AS cents FROM (SELECT *, CAST(round(l_extendedprice * 100) AS BIGINT) AS c FROM lineitem)")

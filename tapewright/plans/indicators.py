@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import indicators as I
+from ..operators.series import days
 from ..sources import bars as B
 from .base import query, r4, r8, settled
 
@@ -40,8 +41,9 @@ def lags(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W-5, W-6, I-1: full windows only."""
     p = B.panel(spark, sf_dir)
-    cols = {"mean_7": ("close", 7, "mean"), "max_7": ("close", 7, "max"), "min_7": ("close", 7, "min"), "std_7": ("close", 7, "std"), "sum_7": ("volume", 7, "sum"), "med_6": ("close", 6, "median")}
-    return settled(p.select("symbol", "date", *[I.rolling(*a).alias(n) for n, a in cols.items()]), *cols)
+    p = I.add_medians(p, {"med_6": ("close", 6)})
+    cols = {"mean_7": ("close", 7, "mean"), "max_7": ("close", 7, "max"), "min_7": ("close", 7, "min"), "std_7": ("close", 7, "std"), "sum_7": ("volume", 7, "sum")}
+    return settled(p.select("symbol", "date", "med_6", *[I.rolling(*a).alias(n) for n, a in cols.items()]), "med_6", *cols)
 
 
 @query(
@@ -97,9 +99,10 @@ def ewm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("r1_ewm_native", f"SELECT a.symbol, a.date, {r4(_EWM_20)} AS ewm_20 FROM bars a JOIN bars b ON a.symbol = b.symbol AND b.n <= a.n GROUP BY a.symbol, a.date", ("bars",))
-def ewm_native(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R-1 as a bounded window, without Python."""
-    return settled(B.panel(spark, sf_dir).select("symbol", "date", I.ewm_native("close", 2 / 21).alias("ewm_20")), "ewm_20")
+def ewm_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R-1 in cells of 200 days: each cell's scan, then the states that cells begin with; no task holds a symbol."""
+    p = B.panel(spark, sf_dir).select("symbol", "date", "close")
+    return settled(I.add_named(p, ["ewm_20"], days(200)).select("symbol", "date", "ewm_20"), "ewm_20")
 
 
 def _ema(n: int, x: str, src: str, out: str) -> str:
@@ -128,7 +131,18 @@ _RSI = """m AS MATERIALIZED (SELECT symbol, date, n, CASE WHEN close > prev_clos
     rsi AS MATERIALIZED (SELECT symbol, date, n, CASE WHEN u + d > 0 THEN 100 * u / (u + d) END AS v FROM rs)"""
 
 
-@query("i4_rsi", f"WITH {_RSI} SELECT p.symbol, p.date, CASE WHEN p.n > 7 THEN {r4('v')} END AS rsi_7 FROM bars p LEFT JOIN rsi ON rsi.symbol = p.symbol AND rsi.date = p.date", ("bars",))
+@query("r1_macd_cells", _MACD, ("bars",), recursive=True)
+def macd_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R-1, I-2 (b), I-10 in cells of 300 days: three scans, one upon the other."""
+    names = ["ema_6", "macd_6_13_5", "macd_signal_6_13_5", "macd_hist_6_13_5"]
+    out = I.add_recursive(B.panel(spark, sf_dir).select("symbol", "date", "close"), [("ema", (6,)), ("macd", (6, 13, 5))], days(300))
+    return settled(out.select("symbol", "date", *names), *names)
+
+
+RSI_7 = f"WITH {_RSI} SELECT p.symbol, p.date, CASE WHEN p.n > 7 THEN {r4('v')} END AS rsi_7 FROM bars p LEFT JOIN rsi ON rsi.symbol = p.symbol AND rsi.date = p.date"
+
+
+@query("i4_rsi", RSI_7, ("bars",))
 def rsi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settled(I.add_named(B.panel(spark, sf_dir), ["rsi_7"]).select("symbol", "date", "rsi_7"), "rsi_7")
 
@@ -164,6 +178,21 @@ def adx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settled(I.add_named(B.panel(spark, sf_dir), names).select("symbol", "date", *names), *names)
 
 
+@query(
+    "w5_w6_long_series",
+    f"""WITH t AS (SELECT symbol, date, close, greatest(high - low, abs(high - prev_close), abs(low - prev_close)) AS tr, close - lag(close, 4) OVER (PARTITION BY symbol ORDER BY date) AS mom FROM bars)
+        SELECT symbol, date, {r4('mom')} AS mom_4, {_full(7, 'close', 'avg(close) OVER w7')} AS sma_7, {_full(8, 'close', 'avg(close) OVER w8 + 2 * stddev_pop(close) OVER w8')} AS bbh_8_2, {_full(5, 'tr', 'avg(tr) OVER w5')} AS atr_5, {_full(50, 'close', 'median(close) OVER w50')} AS med_50
+        FROM t WINDOW w5 AS {_roll(5)}, w7 AS {_roll(7)}, w8 AS {_roll(8)}, w50 AS {_roll(50)}""",
+    ("bars",),
+)
+def long_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W-5, W-6, I-1, I-6, I-11, I-12 in buckets of 64 bars into which the bars before are copied."""
+    names = ["mom_4", "sma_7", "bbh_8_2", "atr_5"]
+    out = I.add_named(B.panel(spark, sf_dir), names, days(200), bucket=64)
+    out = I.add_medians(out, {"med_50": ("close", 50)}, days(200), bucket=64)
+    return settled(out.select("symbol", "date", *names, "med_50"), *names, "med_50")
+
+
 @query(
     "i13_demand",
     f"""SELECT symbol, date, {r4('close - lag(close, 2) OVER w')} AS mom_2, CASE WHEN count(close) OVER w4 = 4 THEN {r4('avg(close) OVER w4')} END AS sma_4

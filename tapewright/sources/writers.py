@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 def _dealt(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows of a key together, in as many tasks as a shuffle has: folders, not bytes, are the work, and AQE would join small tasks to one."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    """Rows in ranges of their keys, in as many tasks as a shuffle has: a large day or symbol is shared out to several, small
+    ones share a task. Folders, not bytes, are the work, and AQE would join small tasks to one."""
+    return df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
 
 
 def target(path: str, policy: str = "replace", now: dt.datetime | None = None) -> tuple[str, str]:
@@ -29,7 +31,7 @@ def daily_signals(signals: DataFrame, path: str, days: DataFrame | None = None,
     which empty days count too, and which is written beside them."""
     rows = signals.select("date", "symbol", "filter_code").dropDuplicates()
     where, mode = target(path, policy)
-    _dealt(rows, "date").sortWithinPartitions("date", "symbol", "filter_code").write.mode(mode).partitionBy("date").option("header", True).csv(f"{where}/signals")
+    _dealt(rows, "date", "symbol", "filter_code").write.mode(mode).partitionBy("date").option("header", True).csv(f"{where}/signals")
     counts = rows.groupBy("date").agg(F.count(F.lit(1)).alias("signals"))
     written = counts if days is None else days.select("date").join(counts, "date", "left").fillna({"signals": 0})
     written.write.mode(mode).parquet(f"{where}/days_written")
@@ -45,9 +47,9 @@ def report_tables(tables: dict[str, DataFrame], path: str, policy: str = "replac
 
 
 def per_day(trades: DataFrame, stats: DataFrame, path: str, policy: str = "replace") -> None:
-    """Trades in a folder a day, sorted by rule and symbol, and the days' statistics beside them."""
+    """Trades in a folder a day, sorted by rule and symbol within its files, and the days' statistics beside them."""
     where, mode = target(path, policy)
-    trades.repartition("date").sortWithinPartitions("filter_code", "symbol").write.mode(mode).partitionBy("date").option("header", True).csv(f"{where}/trades")
+    _dealt(trades, "date", "filter_code", "symbol").write.mode(mode).partitionBy("date").option("header", True).csv(f"{where}/trades")
     stats.write.mode(mode).option("header", True).csv(f"{where}/days")
 
 
@@ -58,11 +60,26 @@ def documents(tables: dict[str, DataFrame], path: str, policy: str = "replace")
         table.write.mode(mode).json(f"{where}/{name}")
 
 
+def _doubles(panel: DataFrame) -> DataFrame:
+    return panel.withColumns({f.name: F.col(f.name).cast("double") for f in panel.schema.fields if f.name not in ("symbol", "date")})
+
+
 def symbol_store(panel: DataFrame, path: str, policy: str = "replace") -> None:
     """Bars as Parquet partitioned by symbol, all numbers doubles."""
     where, mode = target(path, policy)
-    numbers = {f.name: F.col(f.name).cast("double") for f in panel.schema.fields if f.name not in ("symbol", "date")}
-    panel.withColumns(numbers).repartition("symbol").sortWithinPartitions("symbol", "date").write.mode(mode).partitionBy("symbol").parquet(where)
+    _dealt(_doubles(panel), "symbol", "date").write.mode(mode).partitionBy("symbol").parquet(where)
+
+
+def bucketed_store(panel: DataFrame, name: str, path: str, buckets: int, policy: str = "replace") -> DataFrame:
+    """Bars as the table `name` at `path`, in `buckets` by symbol and sorted by symbol and date, all numbers doubles.
+
+    Windows, groups and joins by symbol that read it need no exchange, and no folder or file is made for a symbol. About a
+    task's worth of bars should fall to a bucket; series too long for a task are read by cells (operators.series).
+    """
+    where, mode = target(path, policy)
+    rows = _doubles(panel).repartition(buckets, "symbol").sortWithinPartitions("symbol", "date")
+    rows.write.mode(mode).bucketBy(buckets, "symbol").sortBy("symbol", "date").option("path", where).format("parquet").saveAsTable(name)
+    return panel.sparkSession.table(name)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -76,38 +93,51 @@ def _store(rows: DataFrame) -> DataFrameWriter:
     return rows.repartitionByRange("yyyymm", "symbol").sortWithinPartitions("yyyymm", "symbol", "date").write.partitionBy("yyyymm")
 
 
-def upsert(new: DataFrame, path: str) -> DataFrame:
+def first_of(rows: DataFrame, keys: tuple[str, ...], first: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each key, null like any other: the least by `first`, then by its other columns in order."""
+    rest = [c for c in rows.columns if c not in keys and c not in first]
+    if not first and not rest:
+        return rows.dropDuplicates(list(keys))
+    kept = rows.groupBy(*keys).agg(F.min(F.struct(*first, *rest)).alias("__r"))
+    return kept.select(*[c if c in keys else F.col("__r")[c].alias(c) for c in rows.columns])
+
+
+def upsert(new: DataFrame, path: str, first: tuple[str, ...] = ()) -> DataFrame:
     """Add bars to the store yyyymm=; a (symbol, date) that is there stays as it is, so rows are only ever appended.
 
     Of the store just the keys of the months in question are read (their few names are broadcast and prune the folders).
-    Returns the rows added, read from the run's own side folder beside the store (`<store>__new-...`, the caller's to
-    clear), which is written first: a run that is lost before its end leaves the store as it was. Writing the same rows
-    again adds none; a null symbol or date is a key like any other.
+    Of new rows with one (symbol, date) the least by `first` and then by all columns is taken. Returns the rows added, as
+    a read of the store: each has the upsert's own number. The files of a run appear together, when its job commits; one
+    that is lost before leaves the store as it was. Writing the same rows again adds none; a null symbol or date is a key
+    like any other.
     """
-    spark = new.sparkSession
-    rows = new.withColumn("yyyymm", F.date_format("date", "yyyyMM")).dropDuplicates(["symbol", "date"])
-    side = f"{path.rstrip('/')}__new-{uuid.uuid4().hex}"
-    if exists(spark, path):
+    spark, number = new.sparkSession, uuid.uuid4().hex
+    rows = first_of(new, ("symbol", "date"), first).withColumn("yyyymm", F.date_format("date", "yyyyMM"))
+    there = exists(spark, path)
+    if there:
         months = F.broadcast(new.select(F.date_format("date", "yyyyMM").alias("__month")).distinct())
         held = read_store(spark, path).join(months, F.col("yyyymm").eqNullSafe(F.col("__month")), "left_semi")
         held = held.select(F.col("symbol").alias("__symbol"), F.col("date").alias("__date"))
         rows = rows.join(held, F.col("symbol").eqNullSafe(F.col("__symbol")) & F.col("date").eqNullSafe(F.col("__date")), "left_anti")
-    rows.write.parquet(side)
-    added = spark.read.schema(rows.schema).parquet(side)
-    if not added.isEmpty():
-        _store(added).mode("append").parquet(path)
-    return added
+    if not there and rows.isEmpty():  # a store without a row has no files to read a schema from
+        return rows
+    _store(rows.withColumn("__batch", F.lit(number))).mode("append").parquet(path)
+    return _read(spark, path).where(F.col("__batch") == number).select(*rows.columns)
 
 
 def compact(spark: SparkSession, path: str, out: str) -> None:
     """Copy a store that many upserts have left in small files, with each month in as few as its bytes ask for."""
-    _store(read_store(spark, path)).mode("overwrite").parquet(out)
+    _store(_read(spark, path)).mode("overwrite").parquet(out)
 
 
-def read_store(spark: SparkSession, path: str) -> DataFrame:
+def _read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).withColumn("yyyymm", F.col("yyyymm").cast("string"))
 
 
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    return _read(spark, path).drop("__batch")
+
+
 def high_water(store: DataFrame, source: str = "provider", ttl_hours: int = 0, fetched: Column | None = None) -> DataFrame:
     """symbol, last_date, last_fetch_ts, source, ttl_hours; `fetched` (now where not given) over symbol and last_date."""
     marks = store.groupBy("symbol").agg(F.max("date").alias("last_date"))
@@ -128,9 +158,47 @@ def due(wanted: DataFrame, marks: DataFrame, start, end, now: Column | None = No
     return stale.select("symbol", begin.alias("from"), F.lit(end).cast("date").alias("to")).where("`from` <= `to`")
 
 
+def read_marks(spark: SparkSession, path: str) -> DataFrame:
+    """The newest high-water marks of a folder of versions; no rows where there are none."""
+    versions = _versions(spark, path)
+    empty = "symbol string, last_date date, last_fetch_ts timestamp, source string, ttl_hours int"
+    return spark.read.parquet(f"{path}/version={versions[-1]:08d}").select("symbol", "last_date", "last_fetch_ts", "source", "ttl_hours") if versions else spark.createDataFrame([], empty)
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the versions that are whole."""
+    if not exists(spark, path):
+        return []
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    names = [f.getPath().getName() for f in where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listStatus(where)]
+    return sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version=") and exists(spark, f"{path}/{n}/_SUCCESS"))
+
+
+def fetch(wanted: DataFrame, source: Callable[[DataFrame], DataFrame], store: str, marks: str, start, end, name: str = "provider", ttl_hours: int = 0, now: Column | None = None) -> DataFrame:
+    """Fetch what is due: due() -> source -> upsert -> new marks. Returns what was asked for (symbol, from, to).
+
+    `source` turns a table of symbol, from, to into bars, all symbols in one job. Symbols whose bars came get a mark with
+    the latest of their dates; the others keep theirs, and are asked for again. Marks are written last, as a new version
+    of the folder `marks`: a fetch that is lost before is done again and adds nothing twice.
+    """
+    spark = wanted.sparkSession
+    now = F.current_timestamp() if now is None else now
+    old = read_marks(spark, marks)
+    asked = due(wanted, old, start, end, now)
+    bars = source(asked)
+    upsert(bars, store)
+    came = bars.groupBy("symbol").agg(F.max("date").alias("__last"))
+    new = old.withColumnRenamed("symbol", "__symbol").join(came, F.col("symbol") == F.col("__symbol"), "full")
+    here = F.col("__last").isNotNull()
+    new = new.select(F.coalesce("symbol", "__symbol").alias("symbol"), F.greatest("last_date", "__last").alias("last_date"), F.when(here, now).otherwise(F.col("last_fetch_ts")).alias("last_fetch_ts"), F.when(here, F.lit(name)).otherwise(F.col("source")).alias("source"), F.when(here, F.lit(ttl_hours)).otherwise(F.col("ttl_hours")).alias("ttl_hours"))
+    number = (_versions(spark, marks) or [0])[-1] + 1
+    new.write.mode("overwrite").parquet(f"{marks}/version={number:08d}")
+    return asked
+
+
 def retain(spark: SparkSession, path: str, cutoff: str, out: str) -> None:
     """Copy the store without bars before the cutoff (by their own date); folders of months before it are not read, and the
     copy is compact."""
     month = F.date_format(F.lit(cutoff).cast("date"), "yyyyMM")
-    kept = read_store(spark, path).where((F.col("yyyymm") >= month) & (F.col("date") >= F.lit(cutoff).cast("date")))
+    kept = _read(spark, path).where((F.col("yyyymm") >= month) & (F.col("date") >= F.lit(cutoff).cast("date")))
     _store(kept).mode("overwrite").parquet(out)
