@@ -64,21 +64,24 @@ def as_text(sketch: Column) -> Column:
     return F.array_join(F.transform(sketch, lambda h: F.lpad(F.hex(h), 16, "0")), "")
 
 
-def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fraction: float = 0.25, per_range: int = 2000) -> DataFrame:
+def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fraction: float = 0.25, per_range: int = 2000, range_bytes: int = 64 << 20) -> DataFrame:
     """Fingerprints of all texts and of their edited texts.
 
     Edited text: the last floor(n_chars/2) code points replaced by the first as many (or all) of the next document in
     descending id order (after the last: the first). Ties of ids are ordered by the text's hash; null ids come last.
 
-    The order is cut into ranges of about `per_range` rows, between ids or, within an id of many texts, between hashes:
-    Spark's range partitioning of the keys alone finds the first key of each (16 bytes a range, one broadcast row). A range also
-    gets the first row of the one after it, so one shuffle of the texts, in bounded windows, does for all neighbours.
+    The order is cut into ranges, between ids or, within an id of many texts, between hashes: of `range_bytes` of text, or
+    less as long as that keeps all tasks of a shuffle busy. Spark's range partitioning of the keys alone finds the first
+    key of each; they are one broadcast row of 16 bytes a range, a four-millionth of the texts. A range also gets the
+    first row of the one after it, so one shuffle of the texts, in bounded windows, does for all neighbours.
     """
     rows = docs.select(col(id_col).alias("__id"), F.coalesce(col(text_col), F.lit("")).alias("__t"))
     # ascending: ids from the greatest to the least, then the text's hash
     falling = F.bitwise_not(F.coalesce(F.col("__id").cast("long"), F.lit(-(1 << 63))))
     keyed = rows.select("*", F.struct(falling.alias("k"), F.xxhash64("__t").alias("h")).alias("__key"))
-    parts = max(1, -(-rows.count() // per_range))
+    n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("__t")), F.lit(0))).first()
+    busy = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, -(-size // range_bytes), min(-(-n // per_range), busy))
     keys = keyed.select("__key")
     ranged = keys.repartitionByRange(parts, F.col("__key")["k"], F.col("__key")["h"]) if parts > 1 else keys
     firsts = ranged.groupBy(F.spark_partition_id().alias("__p")).agg(F.min("__key").alias("__first"))
@@ -89,7 +92,7 @@ def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fract
     guests = rows.where(opens).groupBy("__b").agg(F.min("__t").alias("__t"), F.first(F.size("__starts")).alias("__n"))
     guests = guests.select(F.lit(None).cast(rows.schema["__id"].dataType).alias("__id"), "__t", F.lit(None).cast(rows.schema["__key"].dataType).alias("__key"), F.pmod(F.col("__b") - 1, F.col("__n")).alias("__b"), F.lit(True).alias("__guest"))
     both = rows.drop("__starts", "__one").withColumn("__guest", F.lit(False)).unionByName(guests)
-    dealt = both.repartition(max(1, parts // 4), "__b")
+    dealt = both.repartition(max(1, parts // 2), "__b")
     fp = add_sketch(dealt, "__t", "__fp", fraction)
     w = W.partitionBy("__b").orderBy("__guest", "__key", "__t")
     seen = fp.select("*", F.lead("__t").over(w).alias("__next"), F.lead("__fp").over(w).alias("__nfp")).where("not __guest")

@@ -12,8 +12,9 @@ The driver holds numbers for sources, blocks of the first level (256 a source) a
 find their block by their own hash, so texts are not shuffled until they are written.
 
 Defined results: a null source is a source of its own, last in order; a null text has size 0; documents of size 0 are
-taken once with each epoch of their block; rows with equal ids and texts share a fate; an empty table gives an empty
-result. Reruns agree.
+taken once with each epoch of their block; rows with equal ids and texts lie in one block, and where the cut falls among
+them, a share of them is taken, drawn by their places in the table; an empty table gives an empty result. Reruns on the
+same table agree.
 """
 
 from __future__ import annotations
@@ -137,7 +138,7 @@ class MixPlan:
     targets: list[float]
     epochs: list[int]
     below: list[int]
-    leaves: list[tuple[int, int]]  # source number, document hash
+    leaves: list[tuple[int, int, float]]  # source number, document hash, share of the rows with that hash
     blocks: list[tuple[int, int, int, int]]  # source number, copy, block, shard
     shards: int = 16
 
@@ -148,8 +149,8 @@ def _head(h: Column) -> Column:
 
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
-    """Adds __s, __n (words) and __h, the hash that deals a document to its block."""
-    return docs.withColumns({"__s": col(source_col).cast("string"), "__n": n_words(col(text_col))}).withColumn("__h", F.xxhash64(F.lit(seed), col(id_col), F.col("__n")))
+    """Adds __s, __n (words) and __h, the hash that deals a document to its block: of its id and its text."""
+    return docs.withColumns({"__s": col(source_col).cast("string"), "__n": n_words(col(text_col)), "__h": F.xxhash64(F.lit(seed), col(id_col), col(text_col))})
 
 
 def make_plan(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: float = 2.0, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 29) -> MixPlan:
@@ -210,18 +211,25 @@ def make_plan(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] =
         lo = F.create_map(*[x for i, (start, _) in ends.items() for x in (F.lit(i), F.lit(start).cast("long"))])
         hi = F.create_map(*[x for i, (_, end) in ends.items() for x in (F.lit(i), F.lit(end).cast("long"))])
         here = numbered.where((_head(F.col("__h")) >= lo[F.col("__i")]) & (_head(F.col("__h")) < hi[F.col("__i")]))
-        inside_leaf: dict[int, list[tuple[int, int]]] = {}
-        for i, h, n in sorted(tuple(r) for r in here.groupBy("__i", "__h").agg(F.sum("__n").alias("n")).collect()):
-            inside_leaf.setdefault(i, []).append((h, n))
+        inside_leaf: dict[int, list[tuple[int, int, int]]] = {}
+        for i, h, n, d in sorted(tuple(r) for r in here.groupBy("__i", "__h").agg(F.sum("__n").alias("n"), F.count(F.lit(1)).alias("d")).collect()):
+            inside_leaf.setdefault(i, []).append((h, n, d))
         for i, rows_ in inside_leaf.items():
-            taken = fill(np.array([n for _, n in rows_], float), left[i])
-            leaves += [(i, h) for (h, _), t in zip(rows_, taken, strict=True) if t]
+            # of rows that are alike as many as fit, then single documents
+            for h, n, d in rows_:
+                if d > 1 and n:
+                    k = min(d, int(max(left[i], 0.0) * d // n))
+                    left[i] -= k * n / d
+                    leaves += [(i, h, k / d)] * (k > 0)
+            single = [(h, n) for h, n, d in rows_ if d == 1 or not n]
+            taken = fill(np.array([n for _, n in single], float), left[i]) if single else []
+            leaves += [(i, h, 1.0) for (h, _), t in zip(single, taken, strict=True) if t]
 
     # drawn blocks (copy, block) of every source in a random order, dealt to the shards by their quotas
     drawn = []
     for i in range(len(names)):
         # blocks of the partial epoch: up to the cut, or to the last leaf document
-        part = max([-(-below[i] >> 48), *(((h & (1 << 64) - 1) >> 56) + 1 for x, h in leaves if x == i)])
+        part = max([-(-below[i] >> 48), *(((h & (1 << 64) - 1) >> 56) + 1 for x, h, _ in leaves if x == i)])
         units = [(c, b) for c in range(epochs[i]) for b in range(256)] + [(epochs[i], b) for b in range(min(256, part))]
         order = np.random.default_rng([seed, i]).permutation(len(units))
         drawn.append([units[k] for k in order])
@@ -251,17 +259,18 @@ def with_copies(docs: DataFrame, plan: MixPlan, id_col: str = "doc_id", text_col
         held.setdefault((i, block), []).append((copy, shard))
     units = small_table(spark, [(i, b, [{"copy": c, "shard": s} for c, s in sorted(d)]) for (i, b), d in held.items()], "__ui int, __ub int, __units array<struct<copy:int,shard:int>>")
     per_source = small_table(spark, [(s, i, n, float(t), e, b) for i, (s, n, t, e, b) in enumerate(zip(plan.sources, plan.sizes, plan.targets, plan.epochs, plan.below, strict=True))], "__name string, __i int, source_size long, target double, __e int, __below long")
-    leaf = small_table(spark, plan.leaves, "__li int, __lh long").withColumn("__leaf", F.lit(1))
+    leaf = small_table(spark, plan.leaves, "__li int, __lh long, __share double")
     out = rows.join(F.broadcast(per_source), F.col("__s").eqNullSafe(F.col("__name")), "left")
     out = out.join(F.broadcast(leaf), (F.col("__i") == F.col("__li")) & (F.col("__h") == F.col("__lh")), "left")
     out = out.withColumn("__b", F.shiftright(_head(F.col("__h")), 48).cast("int"))
     out = out.join(F.broadcast(units), (F.col("__i") == F.col("__ui")) & (F.col("__b") == F.col("__ub")), "left")
-    # the partial epoch holds only what lies below the cut, and leaf documents
-    out = out.withColumn("__cut", (_head(F.col("__h")) < F.col("__below")) | F.col("__leaf").isNotNull())
+    # the partial epoch holds only what lies below the cut, and leaf documents; rows that are alike by their places
+    drawn = F.pmod(F.xxhash64(F.lit(seed), F.monotonically_increasing_id()), F.lit(1 << 30)) / (1 << 30)
+    out = out.withColumn("__cut", (_head(F.col("__h")) < F.col("__below")) | F.coalesce((F.col("__share") >= 1) | (drawn < F.col("__share")), F.lit(False)))
     whole = F.filter("__units", lambda u: (u["copy"] < F.col("__e")) | F.col("__cut"))
     placed = F.transform(whole, lambda u: F.struct(u["copy"].alias("copy"), u["shard"].alias("shard"), F.xxhash64(u["shard"], u["copy"], F.col("__h")).alias("order_key")))
     out = out.withColumn("drawn", F.coalesce(placed, F.array().cast("array<struct<copy:int,shard:int,order_key:bigint>>")))
-    return out.withColumns({"size": F.col("__n"), "copies": F.size("drawn")}).drop("__name", "__below", "__li", "__lh", "__leaf", "__s", "__n", "__ui", "__ub", "__units", "__cut", "__b", "__i", "__e", "__h")
+    return out.withColumns({"size": F.col("__n"), "copies": F.size("drawn")}).drop("__name", "__below", "__li", "__lh", "__share", "__s", "__n", "__ui", "__ub", "__units", "__cut", "__b", "__i", "__e", "__h")
 
 
 def mix(docs: DataFrame, plan: MixPlan, **names) -> DataFrame:

@@ -26,8 +26,9 @@ from .common import col, flat_bytes, give_back, range_hashes, small_batches, sta
 MEMO_PIECES = 400_000
 #: Bytes of text whose words are looked up together.
 WORDS_BYTES = 1 << 20
-#: Marks that are cut off a word which they end, after a letter or digit: no pre-token spans that place.
-MARKS = pa.array(list(".,!?;:"))
+#: Marks that are cut off a word which they end, after one of STEMS: no pre-token spans that place. Letters beyond ASCII may
+#: be lower-cased to a letter and a combining mark, which the tokenizer keeps with the marks after it.
+MARKS, STEMS = pa.array(list(".,!?;:")), pa.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
 #: Stands between words that are tokenized in one call, as a pre-token of its own.
 SEPARATOR = "\x01"
 
@@ -58,7 +59,7 @@ class WordTokenizer:
         each = split.flatten().dictionary_encode()
         words, which = each.dictionary, each.indices.to_numpy()
         stem, last = pc.utf8_slice_codeunits(words, 0, -1), pc.utf8_slice_codeunits(words, -1)
-        apart = pc.and_(pc.is_in(last, MARKS.cast(last.type)), pc.utf8_is_alnum(pc.utf8_slice_codeunits(stem, -1)))
+        apart = pc.and_(pc.is_in(last, MARKS.cast(last.type)), pc.is_in(pc.utf8_slice_codeunits(stem, -1), STEMS.cast(last.type)))
         pieces = pa.concat_arrays([pc.if_else(apart, stem, words), pc.if_else(apart, last, "")]).dictionary_encode()
         # stem and mark of every word that occurs, one after the other
         both = self.place(pieces.dictionary)[pieces.indices.to_numpy()].reshape(2, -1)[:, which].T.ravel()
@@ -131,22 +132,22 @@ class WordTokenizer:
         self.hashes, self.places = self.hashes[self.places >= n], self.places[self.places >= n] - n
 
 
-def tokenize(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, digest: bool = False) -> DataFrame:
-    """(id, piece, start, length[, ids][, ids_crc32]): a row for each piece of each document's ids, end_id after the last.
+def tokenize(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, digest: bool = False, more: tuple[str, ...] = ()) -> DataFrame:
+    """(id, piece, start, length[, ids][, ids_crc32][, more]): a row for each piece of each document's ids, end_id after the last.
 
     `ids` (array<int>) are the tokens themselves; `digest` adds the unsigned crc32 of their little-endian uint32 bytes.
     """
     fields = [T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType())]
     fields += [T.StructField("ids", T.ArrayType(T.IntegerType()))] * ids + [T.StructField("ids_crc32", T.LongType())] * digest
-    rows = docs.select(col(id_col), col(text_col).alias("__t"))
-    schema = T.StructType([rows.schema[0], *fields])
+    rows = docs.select(col(id_col), col(text_col).alias("__t"), *[col(c) for c in more])
+    schema = T.StructType([rows.schema[0], *fields, *rows.schema.fields[2:]])
 
     def run(batches):
         of = WordTokenizer(tokenizer_path)
         for batch in batches:
             at = 0
             for part in steps(batch.column(1), WORDS_BYTES):
-                keys = batch.column(0).slice(at, len(part))
+                keys, others = batch.column(0).slice(at, len(part)), [c.slice(at, len(part)) for c in batch.columns[2:]]
                 at += len(part)
                 flat, offsets = of(part)
                 flat = np.insert(flat, offsets[1:], end_id)
@@ -161,6 +162,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: i
                     columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view("<i4"))))
                 if digest:
                     columns.append(pa.array([zlib.crc32(flat[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.int64()))
+                columns += [c.take(pa.array(row)) for c in others]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
         del of
         give_back()
@@ -217,18 +219,25 @@ def best_fit(sizes: list[int], capacity: int) -> tuple[list[int], list[int]]:
     return bins, offsets
 
 
-def pack(pieces: DataFrame, length: int = 2048, keys: tuple[str, ...] = ("doc_id", "piece"), size_col: str = "length", group_rows: int = 16_000) -> DataFrame:
+def pack(pieces: DataFrame, length: int = 2048, keys: tuple[str, ...] = ("doc_id", "piece"), size_col: str = "length", group_rows: int = 16_000, within: str | None = None) -> DataFrame:
     """Adds sequence_id and offset: pieces of one sequence lie without gaps from 0 and fill at most `length`.
 
     Pieces that fill a sequence alone are placed without a shuffle. The others are dealt at random, the same way on
-    every run, into groups of about `group_rows`, each packed in one task; a repeated piece is spread by its place.
+    every run, into groups of about `group_rows`, each packed in one task; a repeated piece is spread by its place. With
+    `within`, a column of whole numbers from 0, like shards, no sequence holds pieces of two of them; they should be few
+    and alike in size, since each has its own groups.
     """
     rows = without(pieces, ["sequence_id", "offset"])
     whole = rows.where(col(size_col) >= length)
     part = rows.where(col(size_col) < length)
-    n_part = part.count()
-    groups = max(1, -(-n_part // group_rows))
-    spread = part.withColumn("__g", F.pmod(F.xxhash64(*[col(k) for k in keys], F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
+    if within is None:
+        shards, n_part = 1, part.count()
+        each = max(1, -(-n_part // group_rows))
+    else:
+        most = part.groupBy(col(within).alias("s")).count().agg(F.coalesce(F.max("s"), F.lit(0)).alias("s"), F.coalesce(F.max("count"), F.lit(0)).alias("n")).first()
+        shards, each = int(most["s"]) + 1, max(1, -(-most["n"] // group_rows))
+    groups, shard = shards * each, F.lit(0) if within is None else col(within)
+    spread = part.withColumn("__g", (shard * each + F.pmod(F.xxhash64(*[col(k) for k in keys], F.monotonically_increasing_id()), F.lit(each))).cast("int"))
     schema = T.StructType([*rows.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     at, names = rows.columns.index(size_col), rows.columns
     key_at = [names.index(k) for k in keys]
@@ -247,14 +256,15 @@ def pack(pieces: DataFrame, length: int = 2048, keys: tuple[str, ...] = ("doc_id
     return packed.unionByName(whole.withColumns({"sequence_id": F.monotonically_increasing_id() * 2, "offset": F.lit(0).cast("long")}))
 
 
-def sequences(pieces: DataFrame, placed: DataFrame, keys: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
-    """(sequence_id, ids): the packed token sequences, from pieces with ids and their places."""
-    joined = pieces.select(*[col(k) for k in keys], "ids").join(placed.select(*[col(k) for k in keys], "sequence_id", "offset"), list(keys))
-    parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
-    return joined.groupBy("sequence_id").agg(F.flatten(F.transform(parts, lambda p: p["ids"])).alias("ids"))
+def sequences(packed: DataFrame) -> DataFrame:
+    """(sequence_id, ids): the token sequences of packed pieces that carry their ids (tokenize(..., ids=True) through pack());
+    pieces that occur twice are there twice."""
+    parts = F.array_sort(F.collect_list(F.struct("offset", "length", "ids")))
+    return packed.groupBy("sequence_id").agg(F.flatten(F.transform(parts, lambda p: p["ids"])).alias("ids"))
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, length: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, piece, start, length, ids_crc32, sequence_id, offset) of all documents; tokenized once, into the shared folder."""
-    pieces = stash(tokenize(docs, tokenizer_path, length, id_col=id_col, text_col=text_col, ids=False, digest=True))
-    return pack(pieces, length, (id_col, "piece"))
+def pack_documents(docs: DataFrame, tokenizer_path: str, length: int = 2048, id_col: str = "doc_id", text_col: str = "text", within: str | None = None) -> DataFrame:
+    """(id, piece, start, length, ids_crc32[, within], sequence_id, offset) of all documents; tokenized once, into the shared
+    folder. `within`: a column of docs, see pack()."""
+    pieces = stash(tokenize(docs, tokenizer_path, length, id_col=id_col, text_col=text_col, ids=False, digest=True, more=(within,) if within else ()))
+    return pack(pieces, length, (id_col, "piece"), within=within)

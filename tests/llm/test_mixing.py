@@ -105,3 +105,18 @@ def test_tree_decides_the_registered_result(spark, docs, monkeypatch, tmp_path):
             after = [p for p in places[r["doc_id"]] if p >= last]
             assert after
             last = min(after)
+
+
+def test_rows_without_ids_and_rows_that_are_alike_meet_targets(spark):
+    """Null ids with different texts are documents of their own; of rows that are wholly alike a share is taken."""
+    texts = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(10)), lambda i: F.concat(F.lit("w"), (F.col("id") * i).cast("string"))), " ")
+    many = spark.range(1000).select(F.lit(None).cast("long").alias("doc_id"), texts.alias("text"), F.lit("a").alias("source"))
+    alike = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("ten words are here so that they can be counted").alias("text"), F.lit("b").alias("source"))
+    few = spark.range(3).select(F.col("id").alias("doc_id"), F.expr("repeat('x ', int(1000 * (id + 1)))").alias("text"), F.lit("c").alias("source"))
+    docs = many.unionByName(alike).unionByName(few)
+    out = mixing.with_copies(docs, mixing.make_plan(docs)).groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target"), F.max("copies").alias("most")).collect()
+    got = {r["source"]: r for r in out}
+    assert abs(got["a"]["taken"] - got["a"]["target"]) <= 10 and abs(got["b"]["taken"] - got["b"]["target"]) < 0.03 * got["b"]["target"] and abs(got["c"]["taken"] - got["c"]["target"]) <= 1000
+    assert all(r["most"] <= 2 for r in out)
+    alone = mixing.with_copies(many, mixing.make_plan(many)).agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target")).first()
+    assert abs(alone["taken"] - alone["target"]) <= 10

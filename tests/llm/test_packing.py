@@ -73,10 +73,10 @@ def check(rows, length):
 def test_round_trip_of_packed_sequences(spark, odd, tokenizer):
     docs = odd.where("doc_id is not null and doc_id <> 1").select("doc_id", "text", "offset")
     pieces = packing.tokenize(docs, tokenizer_path(), 64, ids=True, digest=True).cache()
-    placed = packing.pack(pieces.drop("ids"), 64)
-    rows = placed.collect()
+    placed = packing.pack(pieces, 64).cache()
+    rows = placed.drop("ids").collect()
     check(rows, 64)
-    seqs = {r["sequence_id"]: r["ids"] for r in packing.sequences(pieces, placed).collect()}
+    seqs = {r["sequence_id"]: r["ids"] for r in packing.sequences(placed).collect()}
     texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
     for doc, text in texts.items():
         want = [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
@@ -87,6 +87,36 @@ def test_round_trip_of_packed_sequences(spark, odd, tokenizer):
             assert r["ids_crc32"] == zlib.crc32(np.array(want[r["start"] : r["start"] + r["length"]], "<u4").tobytes())
 
 
+def test_words_that_end_in_a_mark_whatever_the_letter_before(tokenizer):
+    """Letters whose lower case has a mark of its own, or that change under normalisation, before and after marks."""
+    letters = ["İ", "i̇", "ı", "ﬁ", "ǅ", "Ǆ", "ŉ", "ẞ", "ΐ", "Σ", "é", "e\u0301", "ⅳ", "½", "²", "Å", "K", "a", "Z", "7", "日", "ก็", "\u0301", "_", "'"]
+    rng = random.Random(7)
+    texts = [" ".join("".join(rng.choice(letters) for _ in range(rng.randrange(1, 4))) + rng.choice(["", ".", "!", "?!", ";", ",", ":", "'s."]) for _ in range(3)) for _ in range(10_000)]
+    texts += ["İ!", "BELEDİYESİ, İ.", "DİYARBAKIRLI? İİ;"]
+    ids, at = packing.WordTokenizer(tokenizer_path())(pa.array(texts))
+    wrong = [t for t, a, b, w in zip(texts, at, at[1:], tokenizer.encode_batch(texts, add_special_tokens=False)) if ids[a:b].tolist() != w.ids]
+    assert wrong == []
+
+
+def test_sequences_of_documents_that_occur_twice(spark, tokenizer):
+    texts = ["one two three", "one two three", "another text"]
+    docs = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (2, texts[2])], "doc_id long, text string")
+    packed = packing.pack(packing.tokenize(docs, tokenizer_path(), 8), 8)
+    want = sorted(t for text in texts for t in [*tokenizer.encode(text, add_special_tokens=False).ids, 0])
+    got = packing.sequences(packed).collect()
+    assert sorted(t for r in got for t in r["ids"]) == want and all(len(r["ids"]) <= 8 for r in got)
+
+
+def test_no_sequence_crosses_shards(spark):
+    docs = spark.range(3000).selectExpr("id as doc_id", "repeat('word ', int(id % 90 + 1)) as text", "int(id % 5) as shard")
+    rows = packing.pack(packing.tokenize(docs, tokenizer_path(), 128, ids=False, digest=True, more=("shard",)), 128, group_rows=200, within="shard").collect()
+    check(rows, 128)
+    of = defaultdict(set)
+    for r in rows:
+        of[r["sequence_id"]].add(r["shard"])
+    assert all(len(x) == 1 for x in of.values()) and {s for x in of.values() for s in x} == set(range(5))
+
+
 def test_few_sequences_and_odd_rows(spark, odd, empty):
     rows = packing.pack_documents(odd, tokenizer_path(), 2048).collect()
     n = check(rows, 2048)
