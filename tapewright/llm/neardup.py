@@ -43,12 +43,23 @@ def with_bands(docs: DataFrame, text_col: str, bands: int, rows: int) -> DataFra
     return append(docs, text_col, [T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("n_shingles", T.LongType())], make)
 
 
+#: Keys that the rows of one band, leader or hub are dealt to where they meet a row of their own.
+SALTS = 16
+
+
+def salted_join(rows: DataFrame, one: DataFrame, key: str, by: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """Join rows to the one row of their key, which is copied for each salt; rows are dealt to the salts by a hash of `by`,
+    so no task gets all rows of a key."""
+    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    return dealt.join(one.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [key, "__salt"], how).drop("__salt")
+
+
 def with_text(pairs: DataFrame, texts: DataFrame, side: str, per_key: int) -> DataFrame:
     """Adds t<side>, the text of one end of each pair. The pairs of an id that has more than `per_key` are dealt to as many
     keys as that needs, with a copy of the text for each, so that no task holds all pairs of a hub."""
     hubs = pairs.groupBy(side).agg(F.ceil(F.count(F.lit(1)) / per_key).cast("int").alias("keys")).where("keys > 1")
     other = "a" if side == "b" else "b"
-    dealt = pairs.join(hubs, side, "left").withColumn("key", F.pmod(F.xxhash64(other), F.coalesce("keys", F.lit(1)))).drop("keys")
+    dealt = salted_join(pairs, hubs, side, other, "left").withColumn("key", F.pmod(F.xxhash64(other), F.coalesce("keys", F.lit(1)))).drop("keys")
     ends = texts.select(F.col("id").alias(side), F.col("t").alias(f"t{side}")).join(hubs, side, "left")
     ends = ends.withColumn("key", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("keys", F.lit(1)).cast("long") - 1))).drop("keys")
     return dealt.join(ends, [side, "key"]).drop("key")
@@ -91,13 +102,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
 
     bucket = stash(member.where("bands is not null").select(F.explode("bands").alias("k"), "m", "n"))
     shared = bucket.groupBy("k").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    crowded = stash(bucket.join(shared, "k"))
+    crowded = stash(salted_join(bucket, shared, "k", "m"))
     drop(bucket)
     # the member that meets most others leads its buckets: in a family of copies that is the original, near to all
     pull = crowded.groupBy("m").agg(F.sum("size").alias("pull"))
     led = stash(crowded.join(pull, "m"))
     lead = led.groupBy("k").agg(F.max_by("m", F.struct("pull", (-F.col("m")).alias("o"))).alias("lead"))
-    met = stash(led.join(lead, "k").select("k", "m", "n", "lead"))
+    met = stash(salted_join(led, lead, "k", "m").select("k", "m", "n", "lead"))
     drop(crowded, led)
     pairs = stash(met.where("m <> lead").select(F.col("m").alias("a"), F.col("lead").alias("b")).distinct())
     needed = met.select(F.col("m").alias("id")).distinct()
@@ -110,15 +121,16 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
 
     # members of other components than their leader's, against all that met the same leader
     part = first.select("id", "component")
+    leaders = links.select("b").distinct()
+    of_leader = leaders.join(part.select(F.col("id").alias("b"), F.col("component").alias("lead_c")), "b")
     placed = (
-        links.join(part.select(F.col("id").alias("a"), F.col("component").alias("c")), "a", "left")
-        .join(part.select(F.col("id").alias("b"), F.col("component").alias("lead_c")), "b", "left")
+        salted_join(links.join(part.select(F.col("id").alias("a"), F.col("component").alias("c")), "a", "left"), of_leader, "b", "a", "left")
         .join(member.select(F.col("m").alias("a"), "n"), "a")
         .withColumns({"c": F.coalesce("c", "a"), "lead_c": F.coalesce("lead_c", "b")})
         .withColumn("apart", F.col("c") != F.col("lead_c"))
     )
     open_ = placed.where("apart").groupBy("b").agg(F.count(F.lit(1)).alias("others"))
-    live = stash(placed.join(open_.select("b"), "b").select("b", F.col("a").alias("m"), "n", "j", "c", "apart", "extra", "common"))
+    live = stash(salted_join(placed, open_.select("b"), "b", "a").select("b", F.col("a").alias("m"), "n", "j", "c", "apart", "extra", "common"))
     # the order of a leader's extra tokens: the rarest first; of each member just the prefix is kept
     extra = live.select("b", "m", "n", F.explode("extra").alias("tok"))
     often = extra.groupBy("b", "tok").agg(F.count(F.lit(1)).alias("often"))
