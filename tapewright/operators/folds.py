@@ -128,7 +128,7 @@ def _segments(rows: pa.Table) -> pa.Table:
         mean = np.where(of, zero, 0.0).sum(axis=0) / np.maximum(n, 1)
         return n.astype(float), mean, (np.where(of, zero - mean, 0.0) ** 2).sum(axis=0)
 
-    growth = np.cumprod(1 + zero, axis=0)
+    growth = np.cumprod(np.maximum(1 + zero, 0.0), axis=0)
     peak = np.maximum.accumulate(growth, axis=0)
     with np.errstate(divide="ignore", invalid="ignore"):
         deepest = np.nanmin(np.where(peak > 0, growth / peak - 1, np.nan), axis=0, initial=0.0)

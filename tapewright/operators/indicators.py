@@ -236,7 +236,8 @@ def add_recursive(df: DataFrame, wanted: Iterable[tuple[str, tuple[int, ...]]],
 
         def build(rows: DataFrame, n: int = n, k: int = k, d: int = d, smooth: int = smooth, key: str = key) -> DataFrame:
             rows = rows.withColumns({"__lo": rolling(f"__rsi_{n}", k, "min"), "__hi": rolling(f"__rsi_{n}", k, "max")})
-            rows = rows.withColumn("__stoch", _ratio(F.col(f"__rsi_{n}") - F.col("__lo"), F.col("__hi") - F.col("__lo")))
+            spread = F.col("__hi") - F.col("__lo")  # of 100; less than 1e-9 is rounding
+            rows = rows.withColumn("__stoch", F.when(spread > 1e-9, (F.col(f"__rsi_{n}") - F.col("__lo")) / spread))
             rows = rows.withColumn(f"stochrsi_k_{key}", rolling("__stoch", smooth, "mean"))
             return rows.withColumn(f"stochrsi_d_{key}", rolling(f"stochrsi_k_{key}", d, "mean"))
 

