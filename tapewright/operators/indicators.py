@@ -205,7 +205,7 @@ def add_recursive(df: DataFrame, wanted: Iterable[tuple[str, tuple[int, ...]]],
     for (n,) in of["ewm"]:
         s.add(**{f"ewm_{n}": _ratio(f"__ewm_s{n}", f"__ewm_w{n}")})
     for n in {a[0] for a in of["rsi"] + of["stochrsi"]}:
-        s.add(**{f"__rsi_{n}": _ratio(100 * F.col(f"__up_{n}"), F.col(f"__up_{n}") + F.col(f"__down_{n}"))})  # no fall: 100, no move: null
+        s.add(**{f"__rsi_{n}": 100 * _ratio(F.col(f"__up_{n}"), F.col(f"__up_{n}") + F.col(f"__down_{n}"))})  # no fall: 100, no move: null
     for (n,) in of["rsi"]:
         s.add(**{f"rsi_{n}": F.when(pos > n, F.col(f"__rsi_{n}"))})
     if of["adx"]:
