@@ -146,10 +146,15 @@ class _Bags:
         row = np.repeat(np.arange(len(idx)), n)
         return self.grams[np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.begin[idx], n)], row
 
-    def values(self, margin: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(self.grams) + 1)
-        np.cumsum(margin[self.grams], out=total[1:])
-        return (total[self.end] - total[self.begin]) / self.size
+    def values(self, margin: np.ndarray, step: int = 1 << 15) -> np.ndarray:
+        """The value of every bag; running sums over a run of bags at a time, for they overlap."""
+        out = np.empty(len(self.begin))
+        for at in range(0, len(out), step):
+            begin, end = self.begin[at : at + step], self.end[at : at + step]
+            lo, hi = int(begin[0]), int(end.max())
+            total = np.concatenate([[0.0], np.cumsum(margin[self.grams[lo:hi]], dtype=np.float64)])
+            out[at : at + step] = (total[end - lo] - total[begin - lo]) / self.size[at : at + step]
+        return out
 
     def best(self, value: np.ndarray, most: int) -> np.ndarray:
         """The `most` bags of greatest value of each document."""
@@ -220,7 +225,8 @@ def fit_texts(texts: pa.Array, y: np.ndarray, dim: int = 4, bag_words: int = 12,
     margins = np.zeros(BUCKETS, np.float32)
     margins[known] = e @ (w[:, 1] - w[:, 0])
     bias = float(b[1] - b[0])
-    slope, shift = _platt(SubwordSoftmax(margins, bias, 1.0, 0.0, bag_words, hop).logits(texts), y)
+    plain = SubwordSoftmax(margins, bias, 1.0, 0.0, bag_words, hop)
+    slope, shift = _platt(np.concatenate([plain.logits(part) for _, part in _slices(texts)]), y)
     return SubwordSoftmax(margins, bias, slope, shift, bag_words, hop)
 
 
