@@ -133,7 +133,7 @@ def test_one_long_symbol_runs_in_many_tasks_without_python(spark):
 
 
 @given(ratios=st.lists(st.sampled_from([0.0, 1e-3, 0.2, 0.5, 0.9, 0.999, 1.0]), min_size=1, max_size=3, unique=True), n=st.integers(1, 60))
-@settings(max_examples=6, deadline=None)
+@settings(max_examples=4, deadline=None)
 def test_scan_is_the_recurrence(spark, ratios, n):
     values = [float((i * 37) % 11 - 5) for i in range(n)]
     df = spark.createDataFrame([("s", i + 1, v) for i, v in enumerate(values)], "k string, at long, x double")
@@ -184,7 +184,7 @@ def runs_loop(values):
 
 
 @given(st.lists(st.integers(1, 9), min_size=1, max_size=25), st.sampled_from([1, 3, 7, 1000]))
-@settings(max_examples=12, deadline=None)
+@settings(max_examples=6, deadline=None)
 def test_drawdowns_merge_over_cells(spark, values, length):
     eq = spark.createDataFrame([("s", day(i), float(v)) for i, v in enumerate(values)], "k string, date date, equity double")
     before, M.CELL_DAYS = M.CELL_DAYS, length
