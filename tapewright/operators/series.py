@@ -76,8 +76,13 @@ def scanned(df: DataFrame, terms: dict[str, tuple[str, float]], step: str, by: t
             new[f"__h_{o}"], new[f"__b_{o}"] = F.sum(f"__w_{o}").over(here), F.sum(f"__w_{o}").over(before)
     rows = rows.withColumns(new)
     done = {o: F.pow(F.lit(terms[o][1]), F.col("__i")) * (F.col(f"__h_{o}") + F.coalesce(F.col(f"__b_{o}"), F.lit(0.0)) * terms[o][1] ** k) for o in scaled}
-    rows = rows.withColumns(done) if done else rows
-    return rows.drop("__chunk", "__i", *[f"__{p}_{o}" for o in scaled for p in "whb"])
+    rows = rows.withColumns({f"__y_{o}": c for o, c in done.items()}) if done else rows
+    # the last step as the recurrence itself takes it: a mean of few values is then as exact as theirs
+    w = W.partitionBy(*by).orderBy(order)
+    if done:
+        rows = rows.withColumns({"__gap": (F.col(step) - F.lag(step).over(w)).cast("double")} | {f"__l_{o}": F.lag(f"__y_{o}").over(w) for o in done})
+        rows = rows.withColumns({o: F.col(terms[o][0]) + F.coalesce(F.col(f"__l_{o}") * F.pow(F.lit(terms[o][1]), F.col("__gap")), F.lit(0.0)) for o in done})
+    return rows.drop("__chunk", "__i", "__gap", *[f"__{p}_{o}" for o in scaled for p in "whbyl"])
 
 
 class Series:
