@@ -92,9 +92,11 @@ def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fract
     guests = rows.where(opens).groupBy("__b").agg(F.min("__t").alias("__t"), F.first(F.size("__starts")).alias("__n"))
     guests = guests.select(F.lit(None).cast(rows.schema["__id"].dataType).alias("__id"), "__t", F.lit(None).cast(rows.schema["__key"].dataType).alias("__key"), F.pmod(F.col("__b") - 1, F.col("__n")).alias("__b"), F.lit(True).alias("__guest"))
     both = rows.drop("__starts", "__one").withColumn("__guest", F.lit(False)).unionByName(guests)
-    dealt = both.repartition(max(1, parts // 2), "__b")
+    # dealt by number, not by hash, so that every task gets two ranges
+    tasks = max(1, parts // 2)
+    dealt = both.withColumn("__task", F.pmod("__b", F.lit(tasks))).repartitionById(tasks, F.col("__task"))
     fp = add_sketch(dealt, "__t", "__fp", fraction)
-    w = W.partitionBy("__b").orderBy("__guest", "__key", "__t")
+    w = W.partitionBy("__task", "__b").orderBy("__guest", "__key", "__t")
     seen = fp.select("*", F.lead("__t").over(w).alias("__next"), F.lead("__fp").over(w).alias("__nfp")).where("not __guest")
     size = F.char_length("__t").cast("long")
     half = F.floor(size / 2).cast("int")
