@@ -121,15 +121,20 @@ def bucketed_rsi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settled(I.add_named(store, ["rsi_7"]).select("symbol", "date", "rsi_7"), "rsi_7")
 
 
+def _key(*columns: str):
+    """Compares as the columns do, one after the other: joined to one text, S1 and a date would come after S10."""
+    return F.struct(*[F.col(c).cast("string").alias(f"k{i}") for i, c in enumerate(columns)]).alias("key")
+
+
 @query("o1_o2_file_order", "SELECT unnest(['bars', 'trades']) AS kind, unnest([(SELECT count(*) FROM panel), (SELECT count(*) FROM trades)]) AS n, 0 AS out_of_order", ("panel", "trades"))
 def file_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-1, O-2: within each file, bars by symbol and date, trades of a day by rule and symbol."""
     path = scratch(spark)
     writers.bucketed_store(B.panel(spark, sf_dir), f"bars_{path[-32:].replace('-', '_')}", f"{path}/bars", 4)
     writers.per_day(trade_table(spark, sf_dir).select("filter_code", "symbol", "date", "return_pct"), signals(spark, sf_dir).groupBy("date").count(), f"{path}/days")
-    bars = spark.read.parquet(f"{path}/bars").select(F.lit("bars").alias("kind"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"), F.concat_ws("|", "symbol", "date").alias("key"))
+    bars = spark.read.parquet(f"{path}/bars").select(F.lit("bars").alias("kind"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"), _key("symbol", "date"))
     trades = spark.read.schema("filter_code string, symbol string, return_pct double, date date").option("header", True).csv(f"{path}/days/trades")
-    trades = trades.select(F.lit("trades").alias("kind"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), F.concat_ws("|", "filter_code", "symbol").alias("key"))
+    trades = trades.select(F.lit("trades").alias("kind"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), _key("filter_code", "symbol"))
     w = W.partitionBy("file").orderBy("at")
     both = bars.unionByName(trades).withColumn("late", F.lag("key").over(w) > F.col("key"))
     return both.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_if("late").cast("int").alias("out_of_order"))
