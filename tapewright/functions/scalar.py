@@ -160,9 +160,11 @@ def round_even(x: Operand, digits: int) -> Column:
 
 
 def settle(x: Operand, digits: int = 4) -> Column:
-    """floor(x * 10^d + 1/2) / 10^d in doubles: the same rounding on any engine."""
+    """floor(x * 10^d + 1/2) / 10^d in doubles: the same rounding on any engine. From 2^53 on doubles are whole, and floor(),
+    which makes longs, would cut off large values, infinities and NaN."""
     scale = float(10**digits)
-    return F.floor(as_column(x) * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale)
+    half_up = as_column(x) * F.lit(scale) + F.lit(0.5)
+    return F.when(F.abs(half_up) < 2.0**53, F.floor(half_up).cast("double")).otherwise(half_up) / F.lit(scale)
 
 
 def to_lots(quantity: Operand, lot: int = 1, least: int = 1, how: str = "floor") -> Column:

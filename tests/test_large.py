@@ -31,3 +31,15 @@ def test_no_downside_has_no_ratio(spark):
     rises = spark.createDataFrame([(dt.date(2024, 1, d), d / 100) for d in range(1, 6)], "date date, r double")
     one = evaluation.risk_table(rises).first()
     assert one["sortino_null"] is None and one["sortino_floor"] is None and one["sortino_sample"] is None and one["sharpe_null"] > 0
+
+
+def test_rounding_keeps_what_a_long_cannot_hold(spark):
+    rows = spark.createDataFrame([(0, float("inf")), (1, float("-inf")), (2, float("nan")), (3, 1e300), (4, 3e15), (5, -1.00005), (6, None)], "k int, x double")
+    got = [r[0] for r in rows.orderBy("k").select(S.settle("x", 4)).collect()]
+    assert got[0] == float("inf") and got[1] == float("-inf") and got[2] != got[2] and got[3:] == [1e300, 3e15, pytest.approx(-1.0, abs=1e-4), None]
+
+
+def test_equity_that_only_grows_has_no_sortino_and_an_infinite_mar(spark):
+    equity = spark.createDataFrame([(dt.date(2024, 1, d), 100.0 + d * d) for d in range(1, 6)], "date date, equity double")
+    one = M.equity_metrics(equity).select("sortino", S.settle("mar").alias("mar"), "max_dd_days").first()
+    assert one["sortino"] is None and one["mar"] == float("inf") and one["max_dd_days"] == 0
