@@ -12,7 +12,7 @@ from ..operators import clean, rules, summary, trades
 from ..operators import indicators as I
 from ..sources import bars as B
 from ..sources import readers
-from .base import long, query, r4, settled
+from .base import long, query, r4, scratch, settled
 
 RULES = [rules.Rule("UP_DAY", "close > open", "day", "long"), rules.Rule("DOWN_DAY", "close < open", "day", "short"), rules.Rule("SMA_UP", "sma_5 > sma_10", "trend", None)]
 
@@ -73,9 +73,12 @@ def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("s9_wide_to_long", "SELECT symbol, date, close, volume FROM panel", ("panel",))
 def wide_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S-9: a two-field wide panel of all symbols and back."""
-    w = B.panel(spark, sf_dir).groupBy("date").pivot("symbol").agg(F.first("close").alias("close"), F.first("volume").alias("volume"))
-    return readers.wide_to_long(w).where("close is not null")
+    """S-9: a two-field wide panel of all symbols, in pages of some hundred symbols each, and back."""
+    path, fields = scratch(spark), ("close", "volume")
+    readers.page_header(B.ticks(spark, sf_dir)).write.parquet(path)
+    header = spark.read.parquet(path)
+    pages = readers.wide_pages(B.panel(spark, sf_dir), header, fields)
+    return readers.pages_to_long(pages, header, fields).where("close is not null")
 
 
 @query("t1_t2_canonical_names", "SELECT 'S' || l_suppkey AS symbol, l_extendedprice AS close, l_quantity AS volume, l_tax AS sma_20, l_discount AS bbu_20_2 FROM lineitem")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -100,22 +102,43 @@ def signal_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(SIGNALS).option("header", True).option("enforceSchema", False).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(folder)
 
 
-def wide_to_long(wide: DataFrame, fields: tuple[str, ...] = ("open", "high", "low", "close", "volume")) -> DataFrame:
-    """date, SYM_field, ... -> symbol, date, fields: the symbol is the upper-case prefix before the first underscore.
+def page_header(symbols: DataFrame, width: int = 256) -> DataFrame:
+    """page, slot, symbol: the distinct symbols dealt by hash to pages of about `width`, numbered from 0 on each."""
+    each = symbols.select("symbol").where("symbol is not null").distinct()
+    pages = max(1, math.ceil(each.count() / width))
+    each = each.withColumn("page", F.pmod(F.xxhash64("symbol"), F.lit(pages)).cast("int"))
+    return each.select("page", (F.row_number().over(W.partitionBy("page").orderBy("symbol")) - 1).alias("slot"), "symbol")
+
+
+def wide_pages(bars: DataFrame, header: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """page, date, 0_field, ...: bars side by side, a row for each page and day and a column for each slot and field, so that
+    the width of a row, and of the plan, does not grow with the number of symbols."""
+    slots = header.agg(F.max("slot")).first()[0] or 0
+    return bars.join(header, "symbol").groupBy("page", "date").pivot("slot", list(range(slots + 1))).agg(*[F.first(f).alias(f) for f in fields])
+
+
+def pages_to_long(pages: DataFrame, header: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """wide_pages() back: symbol, date, fields, a row for each symbol of a page and each of the page's days."""
+    rows = wide_to_long(pages, fields, ("page",)).withColumn("slot", F.col("symbol").cast("int")).where(F.coalesce(*fields).isNotNull())
+    return rows.drop("symbol").join(header, ["page", "slot"]).select("symbol", "date", *fields)
+
+
+def wide_to_long(wide: DataFrame, fields: tuple[str, ...] = ("open", "high", "low", "close", "volume"), keys: tuple[str, ...] = ()) -> DataFrame:
+    """date, SYM_field, ... -> keys, symbol, date, fields: the symbol is the upper-case prefix before the first underscore.
 
     The names are known to the driver, so that a bar's fields are built side by side and only unpivoted by symbol.
     """
     symbols: dict[str, dict[str, str]] = {}
     for c in wide.columns:
         head, _, tail = c.partition("_")
-        if tail and head == head.upper() and c != "date":
+        if tail and head == head.upper() and c not in ("date", *keys):
             symbols.setdefault(head, {})[tail.lower()] = c
     extra = sorted({f for have in symbols.values() for f in have} - set(fields))
     names = [f for f in (*fields, *extra) if any(f in have for have in symbols.values())]
     bars = [F.struct(F.lit(s).alias("symbol"), *[(F.col(f"`{have[f]}`").cast("double") if f in have else F.lit(None).cast("double")).alias(f) for f in names]) for s, have in symbols.items()]
     if not bars:
         raise BadTable("no SYMBOL_field columns")
-    return wide.select("date", F.inline(F.array(*bars))).select("symbol", "date", *names)
+    return wide.select(*keys, "date", F.inline(F.array(*bars))).select(*keys, "symbol", "date", *names)
 
 
 def alias_table(spark: SparkSession, path: str) -> dict[str, str]:

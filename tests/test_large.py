@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from tapewright.functions import scalar as S
 from tapewright.operators import metrics as M
-from tapewright.plans import evaluation, stores
+from tapewright.plans import bars, evaluation, stores
+from tapewright.sources import bars as B
+from tapewright.sources import readers
 
 LINE = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
 
@@ -43,3 +45,21 @@ def test_equity_that_only_grows_has_no_sortino_and_an_infinite_mar(spark):
     equity = spark.createDataFrame([(dt.date(2024, 1, d), 100.0 + d * d) for d in range(1, 6)], "date date, equity double")
     one = M.equity_metrics(equity).select("sortino", S.settle("mar").alias("mar"), "max_dd_days").first()
     assert one["sortino"] is None and one["mar"] == float("inf") and one["max_dd_days"] == 0
+
+
+def test_a_wide_panel_of_more_symbols_than_a_pivot_takes(spark, market):
+    held = spark.conf.get("spark.sql.pivotMaxValues")
+    spark.conf.set("spark.sql.pivotMaxValues", 50)
+    try:
+        got = bars.wide_whole(spark, market)
+        assert got.exceptAll(B.panel(spark, market).select(*got.columns)).count() == 0 and got.count() == 360
+    finally:
+        spark.conf.set("spark.sql.pivotMaxValues", held)
+
+
+def test_wide_pages_and_back(spark, market):
+    panel = B.panel(spark, market).select("symbol", "date", "close", "volume")
+    header = readers.page_header(panel, 7)
+    pages = readers.wide_pages(panel, header, ("close", "volume"))
+    assert header.select("page").distinct().count() > 10 and len(pages.columns) < 2 + 2 * 25
+    assert sorted(readers.pages_to_long(pages, header, ("close", "volume")).collect()) == sorted(panel.collect())
