@@ -228,15 +228,10 @@ def timed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = B.read(spark, sf_dir, "events").select(X.symbol_of().alias("symbol"), "ts", "event_id", "value")
     middle = e.agg(F.min("ts"), F.max("ts")).select(F.expr("`min(ts)` + (`max(ts)` - `min(ts)`) / 2")).first()[0]
     early, later = e.where(F.col("ts") < F.lit(middle)), e.where(F.col("ts") >= F.lit(middle))
-    held = spark.conf.get(L.PROVIDER[0], None)
-    spark.conf.set(*L.PROVIDER)
-    try:
-        for k, part in enumerate((early.unionAll(early.where("event_id % 3 = 0")), later, e.where("event_id % 5 = 0").withColumn("event_id", -F.col("event_id") - 1))):
-            part.write.mode("append").parquet(f"{path}/in")
-            stream = spark.readStream.schema(e.schema).parquet(f"{path}/in")
-            L.write_live(L.live_bars(stream), f"{path}/out", f"{path}/c").awaitTermination()
-    finally:
-        spark.conf.unset(L.PROVIDER[0]) if held is None else spark.conf.set(L.PROVIDER[0], held)
+    for part in (early.unionAll(early.where("event_id % 3 = 0")), later, e.where("event_id % 5 = 0").withColumn("event_id", -F.col("event_id") - 1)):
+        part.write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(e.schema).parquet(f"{path}/in")
+        L.write_live(L.live_bars(stream), f"{path}/out", f"{path}/c").awaitTermination()
     late = L.read_live(spark, f"{path}/out", "late").groupBy("symbol", "date").agg(F.count(F.lit(1)).alias("late"))
     bars = L.read_live(spark, f"{path}/out", "bar").select("symbol", "date", F.col("value").alias("close"), "volume", "events")
     return settled(bars.join(late, ["symbol", "date"], "left").fillna({"late": 0}), "volume")

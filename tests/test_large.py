@@ -12,6 +12,7 @@ from tapewright.operators import metrics as M
 from tapewright.plans import bars, evaluation, stores
 from tapewright.sources import bars as B
 from tapewright.sources import readers
+from tapewright.streaming import live as L
 
 LINE = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
 
@@ -63,3 +64,18 @@ def test_wide_pages_and_back(spark, market):
     pages = readers.wide_pages(panel, header, ("close", "volume"))
     assert header.select("page").distinct().count() > 10 and len(pages.columns) < 2 + 2 * 25
     assert sorted(readers.pages_to_long(pages, header, ("close", "volume")).collect()) == sorted(panel.collect())
+
+
+def test_live_bars_need_no_python_and_keep_open_days_alone(spark, tmp_path):
+    rows = lambda x: spark.createDataFrame([("A", dt.datetime(2024, 1, d, h), i, v) for d, h, i, v in x], "symbol string, ts timestamp, event_id long, value double")
+    schema, kept = rows([(1, 0, 1, 1.0)]).schema, []
+    for part in ([(1, 9, 1, 5.0), (1, 9, None, 1.0), (1, 9, None, 1.0)], [(1, 10, 1, 7.0), (4, 9, 2, 1.0)], [(1, 9, 3, 2.0)], [(9, 9, 4, 2.0)]):
+        rows(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = L.live_bars(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+        L.write_live(stream, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+        kept.append({p.name for p in (tmp_path / "c/live/open").glob("batch=*/date=*")})
+    assert "Python" not in stream._jdf.queryExecution().logical().toString()
+    # an id that comes again counts as it came first, events without an id all count; what is closed goes a batch later
+    assert {(str(r["date"]), r["value"], r["volume"], r["events"]) for r in L.read_live(spark, str(tmp_path / "out"), "bar").collect()} == {("2024-01-01", 5.0, 7.0, 3), ("2024-01-04", 1.0, 1.0, 1)}
+    assert L.read_live(spark, str(tmp_path / "out"), "late").count() == 1
+    assert kept[1] == {"date=2024-01-01", "date=2024-01-04"} and kept[2] == {"date=2024-01-04"}
