@@ -77,7 +77,7 @@ def wide_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, fields = scratch(spark), ("close", "volume")
     readers.page_header(B.ticks(spark, sf_dir)).write.parquet(path)
     header = spark.read.parquet(path)
-    pages = readers.wide_pages(B.panel(spark, sf_dir), header, fields)
+    pages = readers.wide_pages(B.panel(spark, sf_dir).select("symbol", "date", *fields), header, fields, B.tasks(spark, sf_dir))
     return readers.pages_to_long(pages, header, fields).where("close is not null")
 
 

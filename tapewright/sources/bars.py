@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,9 +32,21 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """symbol, date, open, high, low, close, volume: one row for each symbol and day, partitioned by symbol."""
-    day = ticks(spark, sf_dir).groupBy("symbol", "date")
+#: Line items that one task is given, at most about.
+TASK_ROWS = 1 << 17
+
+
+def tasks(spark: SparkSession, sf_dir: str, table: str = "lineitem") -> int:
+    """How many tasks a table's rows are dealt to: their number grows with the table, so that a task's memory does not."""
+    return max(spark.sparkContext.defaultParallelism, math.ceil(read(spark, sf_dir, table).count() / TASK_ROWS))
+
+
+def panel(spark: SparkSession, sf_dir: str, *by: str) -> DataFrame:
+    """symbol, date, open, high, low, close, volume: one row for each symbol and day, partitioned by symbol (or `by`).
+
+    Line items are dealt out once, by symbol, and make their bars where the windows over a symbol want them."""
+    t = ticks(spark, sf_dir).select("symbol", "date", "at").repartition(tasks(spark, sf_dir), *(by or ("symbol",)))
+    day = t.withColumns({"px": F.col("at.l_extendedprice") / F.col("at.l_quantity"), "l_quantity": F.col("at.l_quantity")}).groupBy("symbol", "date")
     return day.agg(F.min_by("px", "at").alias("open"), F.max("px").alias("high"), F.min("px").alias("low"), F.max_by("px", "at").alias("close"), F.sum("l_quantity").alias("volume"))
 
 

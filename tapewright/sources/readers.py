@@ -110,11 +110,13 @@ def page_header(symbols: DataFrame, width: int = 256) -> DataFrame:
     return each.select("page", (F.row_number().over(W.partitionBy("page").orderBy("symbol")) - 1).alias("slot"), "symbol")
 
 
-def wide_pages(bars: DataFrame, header: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+def wide_pages(bars: DataFrame, header: DataFrame, fields: tuple[str, ...], tasks: int | None = None) -> DataFrame:
     """page, date, 0_field, ...: bars side by side, a row for each page and day and a column for each slot and field, so that
-    the width of a row, and of the plan, does not grow with the number of symbols."""
+    the width of a row, and of the plan, does not grow with the number of symbols. `tasks`: how many share the rows."""
     slots = header.agg(F.max("slot")).first()[0] or 0
-    return bars.join(header, "symbol").groupBy("page", "date").pivot("slot", list(range(slots + 1))).agg(*[F.first(f).alias(f) for f in fields])
+    rows = bars.join(header, "symbol")
+    rows = rows.repartition(tasks, "page", "date") if tasks else rows
+    return rows.groupBy("page", "date").pivot("slot", list(range(slots + 1))).agg(*[F.first(f).alias(f) for f in fields])
 
 
 def pages_to_long(pages: DataFrame, header: DataFrame, fields: tuple[str, ...]) -> DataFrame:
