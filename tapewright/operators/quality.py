@@ -100,10 +100,14 @@ def silence_warm_up(signals: DataFrame, columns: list[str], bars: int) -> DataFr
     return out.withColumns({c: F.when(F.col("__n") > bars, F.col(c)) for c in columns}).drop("__n")
 
 
-def misaligned(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ("symbol", "date")) -> DataFrame:
-    """keys..., side: rows of one frame whose keys the other has not as often."""
-    x, y = a.select(*keys), b.select(*keys)
-    return x.exceptAll(y).withColumn("side", F.lit("left")).unionByName(y.exceptAll(x).withColumn("side", F.lit("right")))
+def misaligned(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ("symbol", "date"), tasks: int | None = None) -> DataFrame:
+    """keys..., side: rows of one frame whose keys the other has not as often. Both are read and counted once; `tasks`: how
+    many share the keys."""
+    both = a.select(*keys, F.lit(1).alias("n")).unionByName(b.select(*keys, F.lit(-1).alias("n")))
+    both = both.repartition(tasks, *keys) if tasks else both
+    more = both.groupBy(*keys).agg(F.sum("n").alias("n")).where("n <> 0")
+    side = F.when(F.col("n") > 0, "left").otherwise("right")
+    return more.select(*keys, F.explode(F.array_repeat(side, F.abs("n").cast("int"))).alias("side"))
 
 
 def monotonic(df: DataFrame, arrival: str) -> DataFrame:

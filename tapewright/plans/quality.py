@@ -67,8 +67,8 @@ def silenced(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q7_misaligned", "SELECT symbol, date, 'left' AS side FROM panel WHERE day(date) = 2 UNION ALL SELECT symbol, date, 'right' FROM panel WHERE day(date) = 3", ("panel",))
 def misaligned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = B.panel(spark, sf_dir)
-    return Q.misaligned(p.where("day(date) <> 3"), p.where("day(date) <> 2"))
+    p = B.panel(spark, sf_dir, "symbol", "date")
+    return Q.misaligned(p.where("day(date) <> 3"), p.where("day(date) <> 2"), tasks=B.tasks(spark, sf_dir))
 
 
 @query("w11_monotonic", "SELECT symbol, count(*) FILTER (date < p) AS backward, count(date) - count(DISTINCT date) AS repeated FROM (SELECT symbol, date, lag(date) OVER (PARTITION BY symbol ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS p FROM ticks) GROUP BY symbol", ("ticks",))

@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapewright.functions import scalar as S
+from tapewright.operators import indicators as I
 from tapewright.operators import metrics as M
+from tapewright.operators import quality
 from tapewright.plans import bars, evaluation, stores
 from tapewright.sources import bars as B
 from tapewright.sources import readers
@@ -79,3 +81,18 @@ def test_live_bars_need_no_python_and_keep_open_days_alone(spark, tmp_path):
     assert {(str(r["date"]), r["value"], r["volume"], r["events"]) for r in L.read_live(spark, str(tmp_path / "out"), "bar").collect()} == {("2024-01-01", 5.0, 7.0, 3), ("2024-01-04", 1.0, 1.0, 1)}
     assert L.read_live(spark, str(tmp_path / "out"), "late").count() == 1
     assert kept[1] == {"date=2024-01-01", "date=2024-01-04"} and kept[2] == {"date=2024-01-04"}
+
+
+def test_tasks_grow_with_the_table(spark, market, monkeypatch):
+    monkeypatch.setattr(B, "TASK_ROWS", 40)
+    assert B.tasks(spark, market) == 18 and B.panel(spark, market).rdd.getNumPartitions() == 18
+    panel = B.panel(spark, market)
+    assert quality.misaligned(panel, panel, tasks=9).rdd.getNumPartitions() == 9
+    plan = I.add_named(panel, ["rsi_7"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == plan.count("REPARTITION_BY_NUM") == 1
+
+
+def test_misaligned_counts_rows_that_repeat(spark):
+    a = spark.createDataFrame([("A", dt.date(2024, 1, 1))] * 3 + [(None, None)], "symbol string, date date")
+    b = a.limit(1).union(spark.createDataFrame([("B", dt.date(2024, 1, 1))] * 2, a.schema)).union(a.where("symbol is null"))
+    assert sorted((r["symbol"], r["side"]) for r in quality.misaligned(a, b).collect()) == [("A", "left")] * 2 + [("B", "right")] * 2
