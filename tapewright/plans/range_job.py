@@ -72,9 +72,11 @@ def scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("u1_u4_sets", "SELECT symbol, date FROM panel p WHERE NOT EXISTS (SELECT 1 FROM panel q WHERE q.date = p.date AND q.symbol = 'S' || (CAST(substr(p.symbol, 2) AS BIGINT) + 1))", ("panel",))
 def sets_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """U-1, U-3, U-4 over all symbols: of each, the days on which the symbol of the next number has no bar."""
-    p = B.panel(spark, sf_dir)
+    p, n = B.panel(spark, sf_dir, "symbol", "date"), B.tasks(spark, sf_dir)
     number = F.substring("symbol", 2, 20).cast("long")
     odd, even = p.where(number % 2 == 1), p.where(number % 2 == 0)
     every = odd.select("symbol", "date").unionByName(even.select("date", "symbol", "close"), allowMissingColumns=True).unionByName(odd.select("symbol", "date"), allowMissingColumns=True)
     after = p.select(F.concat(F.lit("S"), (number - 1).cast("string")).alias("symbol"), "date")
-    return every.dropDuplicates(["symbol", "date"]).join(after, ["symbol", "date"], "left_anti").select("symbol", "date")
+    # dealt by their keys to as many tasks as the line items are, before rows are made one and joined
+    every, after = every.select("symbol", "date").repartition(n, "symbol", "date"), after.repartition(n, "symbol", "date")
+    return every.dropDuplicates().join(after, ["symbol", "date"], "left_anti").select("symbol", "date")
