@@ -96,7 +96,8 @@ def fetch_due(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X-1, K-7: what is due is fetched to the middle of the span, asked for again too early, then fetched to its end; no
     bar comes twice and every symbol is asked for twice."""
     path = scratch(spark)
-    p = B.panel(spark, sf_dir)
+    B.panel(spark, sf_dir).write.parquet(f"{path}/provider")  # asked three times, made once
+    p = spark.read.parquet(f"{path}/provider")
     wanted = p.select("symbol").distinct()
 
     def provider(asked: DataFrame) -> DataFrame:
@@ -117,7 +118,7 @@ def fetch_due(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bucketed_rsi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K-5, S-3 in buckets: indicators on the stored table need no exchange."""
     path = scratch(spark)
-    store = writers.bucketed_store(B.panel(spark, sf_dir), f"bars_{path[-32:].replace('-', '_')}", path, 8)
+    store = writers.bucketed_store(B.panel(spark, sf_dir), f"bars_{path[-32:].replace('-', '_')}", path, B.tasks(spark, sf_dir))
     return settled(I.add_named(store, ["rsi_7"]).select("symbol", "date", "rsi_7"), "rsi_7")
 
 
@@ -130,7 +131,7 @@ def _key(*columns: str):
 def file_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-1, O-2: within each file, bars by symbol and date, trades of a day by rule and symbol."""
     path = scratch(spark)
-    writers.bucketed_store(B.panel(spark, sf_dir), f"bars_{path[-32:].replace('-', '_')}", f"{path}/bars", 4)
+    writers.bucketed_store(B.panel(spark, sf_dir), f"bars_{path[-32:].replace('-', '_')}", f"{path}/bars", B.tasks(spark, sf_dir))
     writers.per_day(trade_table(spark, sf_dir).select("filter_code", "symbol", "date", "return_pct"), signals(spark, sf_dir).groupBy("date").count(), f"{path}/days")
     bars = spark.read.parquet(f"{path}/bars").select(F.lit("bars").alias("kind"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"), _key("symbol", "date"))
     trades = spark.read.schema("filter_code string, symbol string, return_pct double, date date").option("header", True).csv(f"{path}/days/trades")
