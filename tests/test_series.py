@@ -271,3 +271,11 @@ def test_hits_are_counted_as_a_scan_finds_them(spark, bars, monkeypatch):
             assert {tuple(r) for r in rules.count_hits(bars, many, by, **more).collect()} == want
     assert rules.count_hits(bars, []).count() == 0 and rules.count_hits(bars.where("false"), many).count() == 0
     assert math.isclose(sum(r["hits"] for r in rules.count_hits(bars, many).collect()), rules.scan(bars, many).count())
+
+
+def test_an_rsi_of_100_has_no_stochastic(spark):
+    # S228 of sf0.1: no close falls in the first six bars, so that all five RSIs are 100 and have no spread, however sums round
+    closes = [200.514, 1146.621, 1178.003, 1565.579, 2272.854, 3553.328, 2583.913, 2600.5, 2400.25, 2700.0]
+    p = spark.createDataFrame([("S228", dt.date(2024, 1, 1 + i), c) for i, c in enumerate(closes)], "symbol string, date date, close double")
+    got = [r[0] for r in I.add_named(p, ["rsi_7", "stochrsi_k_7_5_4_3"]).orderBy("date").select("stochrsi_k_7_5_4_3").collect()]
+    assert got[:8] == [None] * 8 and None not in got[8:]
