@@ -38,7 +38,7 @@ def rolling(x: S.Operand, n: int, how: str) -> Column:
     return _full(c, n, f(c).over(last_n(n)))
 
 
-def add_medians(df: DataFrame, wanted: dict[str, tuple[str, int]], cell: Column | None = None, bucket: int = BUCKET) -> DataFrame:
+def add_medians(df: DataFrame, wanted: dict[str, tuple[str, int]], cell: Column | None = None, bucket: int = BUCKET, tasks: int | None = None) -> DataFrame:
     """Adds, for out -> (x, n), the median of the last n bars' x, null until n present values are there.
 
     An order-statistic window: the last n values are kept sorted, a bar puts one in and takes one out in logarithmic time,
@@ -47,22 +47,22 @@ def add_medians(df: DataFrame, wanted: dict[str, tuple[str, int]], cell: Column
     """
     names = [c for c in df.columns if c not in wanted]
     kept = df.select(*names)
-    s = Series(kept, cell)
+    s = Series(kept, cell, tasks=tasks)
+    return s.windows(max(n for _, n in wanted.values()), lambda rows: _medians(rows, wanted), bucket).result(*wanted) if wanted else df
 
-    def build(rows: DataFrame) -> DataFrame:
-        schema = T.StructType([*rows.schema.fields, *[T.StructField(o, T.DoubleType()) for o in wanted]])
-        groups = rows.groupBy("symbol", "__bucket") if "__bucket" in rows.columns else rows.groupBy("symbol")
 
-        def run(bars: pa.Table) -> pa.Table:
-            bars = bars.take(pc.sort_indices(bars.column("date")))
-            for out, (x, n) in wanted.items():
-                values = pd.Series(bars.column(x).cast(pa.float64()).to_numpy(zero_copy_only=False))
-                bars = bars.append_column(out, pa.array(values.rolling(n).median(), pa.float64(), from_pandas=True))
-            return bars
+def _medians(rows: DataFrame, wanted: dict[str, tuple[str, int]]) -> DataFrame:
+    schema = T.StructType([*rows.schema.fields, *[T.StructField(o, T.DoubleType()) for o in wanted]])
+    groups = rows.groupBy("symbol", "__bucket") if "__bucket" in rows.columns else rows.groupBy("symbol")
 
-        return groups.applyInArrow(run, schema)
+    def run(bars: pa.Table) -> pa.Table:
+        bars = bars.take(pc.sort_indices(bars.column("date")))
+        for out, (x, n) in wanted.items():
+            values = pd.Series(bars.column(x).cast(pa.float64()).to_numpy(zero_copy_only=False))
+            bars = bars.append_column(out, pa.array(values.rolling(n).median(), pa.float64(), from_pandas=True))
+        return bars
 
-    return s.windows(max(n for _, n in wanted.values()), build, bucket).result(*wanted) if wanted else df
+    return groups.applyInArrow(run, schema)
 
 
 def sma(n: int, x: S.Operand = "close") -> Column:
@@ -169,7 +169,7 @@ RECURSIVE = {
 }
 
 
-def add_recursive(df: DataFrame, wanted: Iterable[tuple[str, tuple[int, ...]]], cell: Column | None = None) -> DataFrame:
+def add_recursive(df: DataFrame, wanted: Iterable[tuple[str, tuple[int, ...]]], cell: Column | None = None, tasks: int | None = None) -> DataFrame:
     """Add recursive indicators as scans, all in windows: by symbol, whose exchange they share with the windows before
     them, or, with `cell` (a column that grows with the date, like series.days()), by cells of time, for symbols that are
     too long for a task. A missing close moves no EMA; the other means hold their value there."""
@@ -181,7 +181,7 @@ def add_recursive(df: DataFrame, wanted: Iterable[tuple[str, tuple[int, ...]]],
     moving, seeded = of["rsi"] + of["stochrsi"] + of["adx"], of["ema"] + of["macd"]
     prices = ["close", *(["high", "low"] if of["adx"] else [])]
     rows = df.drop(*names).withColumns({f"__{c}": _some(c) for c in prices})
-    s = Series(rows, cell, [f"__{c}" for c in prices] if moving else [], ["__close"] if seeded else [])
+    s = Series(rows, cell, [f"__{c}" for c in prices] if moving else [], ["__close"] if seeded else [], tasks)
     s.kept = [c for c in df.columns if c not in names]
     pos, terms = F.col("__pos"), {}
     if of["ewm"]:
@@ -269,11 +269,12 @@ def parse_name(name: str) -> tuple[str, tuple[float, ...]] | None:
     return m["kind"], tuple(float(a.replace("p", ".")) if "p" in a else int(a) for a in m["args"].split("_"))
 
 
-def add_named(df: DataFrame, names: Iterable[str], cell: Column | None = None, bucket: int = BUCKET) -> DataFrame:
+def add_named(df: DataFrame, names: Iterable[str], cell: Column | None = None, bucket: int = BUCKET, tasks: int | None = None, medians: dict[str, tuple[str, int]] | None = None) -> DataFrame:
     """Compute the indicators that are asked for and not there, each once, each from its name; other names pass by.
 
     Windows come first; the recursive ones then share their exchange. With `cell` (see series.Series) no task holds a
-    whole symbol: the windows run in buckets of bars, the recursive ones in cells of time.
+    whole symbol: the windows run in buckets of bars, the recursive ones in cells of time. `medians`, as add_medians() takes
+    them, run in the same buckets.
     """
     simple: dict[str, tuple] = {}
     recursive: list[tuple[str, tuple[int, ...]]] = []
@@ -298,21 +299,28 @@ def add_named(df: DataFrame, names: Iterable[str], cell: Column | None = None, b
         else:
             recursive.append(("adx" if kind in ("dmp", "dmn") else kind, tuple(int(x) for x in a)))
 
+    medians = {out: m for out, m in (medians or {}).items() if out not in df.columns}
+    reach += [n for _, n in medians.values()]
+
     def build(rows: DataFrame) -> DataFrame:
         rows = rows.withColumns({name: f(*a) for name, (f, *a) in simple.items()}) if simple else rows
         for n in cci:
             rows = add_cci(rows, n)
         for n in atr:
             rows = add_atr(rows, n)
-        return rows
+        return _medians(rows, medians) if medians else rows
 
     if cell is None:
         return add_recursive(build(df), recursive)
     out = df
     if max(reach):
-        s = Series(df, cell).windows(max(reach), build, bucket)
+        s = Series(df, cell, tasks=tasks).windows(max(reach), build, bucket)
         out = s.df.drop(*[c for c in s.df.columns if c.startswith("__") and c not in df.columns])
-    return add_recursive(out, recursive, cell)
+    if not (tasks and max(reach) and recursive):
+        return add_recursive(out, recursive, cell, tasks)
+    # from buckets back to cells
+    out = out.withColumn("__cell", cell).repartition(tasks, "symbol", "__cell")
+    return add_recursive(out, recursive, F.col("__cell"), tasks).drop(*{"__cell"} - set(df.columns))
 
 
 def demanded(predicates: Iterable[str]) -> list[str]:

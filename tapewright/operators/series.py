@@ -91,10 +91,13 @@ class Series:
     cell None: a symbol's bars lie in one task. Else a column that grows with the date; no task then holds more of a
     symbol than a cell (or a bucket); bars without a symbol or a date are then no series. Adds __pos, a bar's place in its symbol from 1, and for each column c of `present`
     __n_c and __s_c, the count and the sum of its values so far.
+
+    tasks: bars lie in so many tasks by symbol and cell (sources.bars.panel(cell=)); what is joined to them, and buckets, are
+    dealt to as many, so that a task's share does not grow with the table. Else as many as the session's shuffles have.
     """
 
-    def __init__(self, df: DataFrame, cell: Column | None = None, edges: Iterable[str] = (), present: Iterable[str] = ()):
-        self.long, self.kept = cell is not None, df.columns
+    def __init__(self, df: DataFrame, cell: Column | None = None, edges: Iterable[str] = (), present: Iterable[str] = (), tasks: int | None = None):
+        self.long, self.kept, self.tasks = cell is not None, df.columns, tasks
         self.by = ("symbol", "__cell") if self.long else ("symbol",)
         edges, present = list(edges), list(present)
         rows = df
@@ -121,8 +124,11 @@ class Series:
         self.df = rows.withColumn("__pos", F.col("__at") + F.col("__rows") if self.long else F.col("__at").cast("long"))
 
     def _joined(self, rows: DataFrame, cells: DataFrame) -> DataFrame:
-        """Rows with what belongs to their cell; rows are where the join wants them."""
-        return rows.join(cells, list(self.by), "left")
+        """Rows with what belongs to their cell."""
+        return rows.join(self._dealt(cells, *self.by), list(self.by), "left")
+
+    def _dealt(self, rows: DataFrame, *keys: str) -> DataFrame:
+        return rows.repartition(self.tasks, *keys) if self.tasks else rows
 
     def add(self, **columns: Column) -> Series:
         self.df = self.df.withColumns(columns)
@@ -156,6 +162,7 @@ class Series:
         # the last bars of a bucket are there for the next one as well
         both = F.when(place >= size - look_back, F.array(number, number + 1)).otherwise(F.array(number))
         rows = self.df.withColumn("__bucket", F.explode(both)).withColumn("__own", F.col("__bucket") == number)
+        rows = self._dealt(rows, "symbol", "__bucket")
         with windowed_by("symbol", "__bucket"):
             rows = build(rows)
         self.df = rows.where("__own").drop("__bucket", "__own")

@@ -101,8 +101,8 @@ def ewm(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("r1_ewm_native", f"SELECT a.symbol, a.date, {r4(_EWM_20)} AS ewm_20 FROM bars a JOIN bars b ON a.symbol = b.symbol AND b.n <= a.n GROUP BY a.symbol, a.date", ("bars",))
 def ewm_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R-1 in cells of 200 days: each cell's scan, then the states that cells begin with; no task holds a symbol."""
-    p = B.panel(spark, sf_dir).select("symbol", "date", "close")
-    return settled(I.add_named(p, ["ewm_20"], days(200)).select("symbol", "date", "ewm_20"), "ewm_20")
+    p = B.panel(spark, sf_dir, cell=days(200)).select("symbol", "date", "__cell", "close")
+    return settled(I.add_named(p, ["ewm_20"], F.col("__cell"), tasks=B.tasks(spark, sf_dir)).select("symbol", "date", "ewm_20"), "ewm_20")
 
 
 def _ema(n: int, x: str, src: str, out: str) -> str:
@@ -135,7 +135,8 @@ _RSI = """m AS MATERIALIZED (SELECT symbol, date, n, CASE WHEN close > prev_clos
 def macd_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R-1, I-2 (b), I-10 in cells of 300 days: three scans, one upon the other."""
     names = ["ema_6", "macd_6_13_5", "macd_signal_6_13_5", "macd_hist_6_13_5"]
-    out = I.add_recursive(B.panel(spark, sf_dir).select("symbol", "date", "close"), [("ema", (6,)), ("macd", (6, 13, 5))], days(300))
+    p = B.panel(spark, sf_dir, cell=days(300)).select("symbol", "date", "__cell", "close")
+    out = I.add_recursive(p, [("ema", (6,)), ("macd", (6, 13, 5))], F.col("__cell"), B.tasks(spark, sf_dir))
     return settled(out.select("symbol", "date", *names), *names)
 
 
@@ -188,8 +189,8 @@ def adx(spark: SparkSession, sf_dir: str) -> DataFrame:
 def long_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W-5, W-6, I-1, I-6, I-11, I-12 in buckets of 64 bars into which the bars before are copied."""
     names = ["mom_4", "sma_7", "bbh_8_2", "atr_5"]
-    out = I.add_named(B.panel(spark, sf_dir), names, days(200), bucket=64)
-    out = I.add_medians(out, {"med_50": ("close", 50)}, days(200), bucket=64)
+    p = B.panel(spark, sf_dir, cell=days(200)).select("symbol", "date", "__cell", "high", "low", "close")
+    out = I.add_named(p, names, F.col("__cell"), 64, B.tasks(spark, sf_dir), {"med_50": ("close", 50)})
     return settled(out.select("symbol", "date", *names, "med_50"), *names, "med_50")
 
 

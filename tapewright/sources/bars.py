@@ -41,12 +41,15 @@ def tasks(spark: SparkSession, sf_dir: str, table: str = "lineitem") -> int:
     return max(spark.sparkContext.defaultParallelism, math.ceil(read(spark, sf_dir, table).count() / TASK_ROWS))
 
 
-def panel(spark: SparkSession, sf_dir: str, *by: str) -> DataFrame:
+def panel(spark: SparkSession, sf_dir: str, *by: str, cell: Column | None = None) -> DataFrame:
     """symbol, date, open, high, low, close, volume: one row for each symbol and day, partitioned by symbol (or `by`).
 
-    Line items are dealt out once, by symbol, and make their bars where the windows over a symbol want them."""
-    t = ticks(spark, sf_dir).select("symbol", "date", "at").repartition(tasks(spark, sf_dir), *(by or ("symbol",)))
-    day = t.withColumns({"px": F.col("at.l_extendedprice") / F.col("at.l_quantity"), "l_quantity": F.col("at.l_quantity")}).groupBy("symbol", "date")
+    Line items are dealt out once, by symbol, and make their bars where the windows over a symbol want them. With `cell`, a
+    function of the date, they are dealt by symbol and cell, and bars have it as __cell (see operators.series)."""
+    t = ticks(spark, sf_dir).select("symbol", "date", "at", *([cell.alias("__cell")] if cell is not None else []))
+    cells = ("__cell",) if cell is not None else ()
+    t = t.repartition(tasks(spark, sf_dir), *(by or ("symbol", *cells)))
+    day = t.withColumns({"px": F.col("at.l_extendedprice") / F.col("at.l_quantity"), "l_quantity": F.col("at.l_quantity")}).groupBy("symbol", "date", *cells)
     return day.agg(F.min_by("px", "at").alias("open"), F.max("px").alias("high"), F.min("px").alias("low"), F.max_by("px", "at").alias("close"), F.sum("l_quantity").alias("volume"))
 
 

@@ -96,3 +96,19 @@ def test_misaligned_counts_rows_that_repeat(spark):
     a = spark.createDataFrame([("A", dt.date(2024, 1, 1))] * 3 + [(None, None)], "symbol string, date date")
     b = a.limit(1).union(spark.createDataFrame([("B", dt.date(2024, 1, 1))] * 2, a.schema)).union(a.where("symbol is null"))
     assert sorted((r["symbol"], r["side"]) for r in quality.misaligned(a, b).collect()) == [("A", "left")] * 2 + [("B", "right")] * 2
+
+
+def test_cells_and_buckets_are_dealt_to_tasks_that_grow_with_the_table(spark, market, monkeypatch):
+    monkeypatch.setattr(B, "TASK_ROWS", 40)
+    spark.conf.set("spark.sql.shuffle.partitions", 3)
+    try:
+        p = B.panel(spark, market, cell=F.floor(F.unix_date("date") / 2))
+        assert p.rdd.getNumPartitions() == 18
+        names = ["ewm_2", "ema_2", "mom_1", "med_2"]
+        got = I.add_named(p, names, F.col("__cell"), 2, B.tasks(spark, market), {"med_2": ("close", 2)})
+        assert got.rdd.getNumPartitions() == 18 and "__cell" in p.columns
+        want = I.add_medians(I.add_named(B.panel(spark, market), names), {"med_2": ("close", 2)})
+        rounded = lambda t: t.select("symbol", "date", *[F.round(c, 9).alias(c) for c in names])
+        assert rounded(got).exceptAll(rounded(want)).count() == 0 and got.count() == want.count() == 360
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
