@@ -24,7 +24,7 @@ from .indicators import RSI_7
 def symbol_store_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K-5: the panel written by symbol, all of it read back."""
     path = scratch(spark)
-    writers.symbol_store(B.panel(spark, sf_dir), path)
+    writers.symbol_store(B.panel(spark, sf_dir), path, tasks=B.tasks(spark, sf_dir))
     return spark.read.parquet(path).select(F.col("symbol").cast("string").alias("symbol"), "date", "open", "high", "low", "close", "volume")
 
 
@@ -32,7 +32,7 @@ def symbol_store_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 def symbol_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K-5, S-1, S-3: written by symbol, read for some symbols, dates and columns."""
     path = scratch(spark)
-    writers.symbol_store(B.panel(spark, sf_dir), path)
+    writers.symbol_store(B.panel(spark, sf_dir), path, tasks=B.tasks(spark, sf_dir))
     return readers.prices(spark, path, ["S1", "S3", "S7"], "1997-01-01", "1999-12-31", ["close"])
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalar as S
+from .writers import exists
 
 PANEL = T.StructType([T.StructField("symbol", T.StringType()), T.StructField("date", T.DateType()), *[T.StructField(c, T.DoubleType()) for c in ("open", "high", "low", "close", "volume")]])
 SIGNALS = T.StructType([T.StructField("date", T.DateType()), T.StructField("symbol", T.StringType()), T.StructField("filter_code", T.StringType())])
@@ -41,13 +43,24 @@ def csv_panel(spark: SparkSession, path: str, schema: T.StructType = PANEL) -> D
 def prices(spark: SparkSession, root: str, symbols: list[str], start=None, end=None, columns: list[str] | None = None) -> DataFrame:
     """Bars of some symbols from a store partitioned by symbol: partitions are pruned, dates and columns pushed down.
 
-    Raises where a symbol has no partition.
+    Raises where a symbol has no partition. Symbols that are plain names are read from their own folders, so that the
+    others are not listed.
     """
+    root = root.rstrip("/")
+    if symbols and all(re.fullmatch(r"[A-Za-z][A-Za-z0-9_.-]*", s) for s in symbols):
+        folders = {s: f"{root}/symbol={s}" for s in symbols}
+        if gone := [s for s in symbols if not exists(spark, folders[s])]:
+            raise MissingSymbols(", ".join(gone))
+        store = spark.read.option("basePath", root).parquet(*folders.values()).withColumn("symbol", F.col("symbol").cast("string"))
+        return _chosen(store, start, end, columns)
     store = spark.read.parquet(root).withColumn("symbol", F.col("symbol").cast("string"))
     there = {r[0] for r in store.where(F.col("symbol").isin(symbols)).select("symbol").distinct().collect()}
     if gone := [s for s in symbols if s not in there]:
         raise MissingSymbols(", ".join(gone))
-    out = store.where(F.col("symbol").isin(symbols))
+    return _chosen(store.where(F.col("symbol").isin(symbols)), start, end, columns)
+
+
+def _chosen(out: DataFrame, start, end, columns: list[str] | None) -> DataFrame:
     if start is not None:
         out = out.where(F.col("date") >= F.lit(start).cast("date"))
     if end is not None:

@@ -64,10 +64,16 @@ def _doubles(panel: DataFrame) -> DataFrame:
     return panel.withColumns({f.name: F.col(f.name).cast("double") for f in panel.schema.fields if f.name not in ("symbol", "date")})
 
 
-def symbol_store(panel: DataFrame, path: str, policy: str = "replace") -> None:
-    """Bars as Parquet partitioned by symbol, all numbers doubles."""
+def symbol_store(panel: DataFrame, path: str, policy: str = "replace", tasks: int | None = None) -> None:
+    """Bars as Parquet partitioned by symbol, all numbers doubles.
+
+    `tasks`: symbols are dealt whole to so many, which costs nothing where the panel lies so (sources.bars.panel); ranges
+    would make the panel twice, once for their sample.
+    """
     where, mode = target(path, policy)
-    _dealt(_doubles(panel), "symbol", "date").write.mode(mode).partitionBy("symbol").parquet(where)
+    rows = _doubles(panel)
+    rows = rows.repartition(tasks, "symbol").sortWithinPartitions("symbol", "date") if tasks else _dealt(rows, "symbol", "date")
+    rows.write.mode(mode).partitionBy("symbol").parquet(where)
 
 
 def bucketed_store(panel: DataFrame, name: str, path: str, buckets: int, policy: str = "replace") -> DataFrame:

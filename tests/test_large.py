@@ -13,7 +13,7 @@ from tapewright.operators import metrics as M
 from tapewright.operators import quality
 from tapewright.plans import bars, evaluation, stores
 from tapewright.sources import bars as B
-from tapewright.sources import readers
+from tapewright.sources import readers, writers
 from tapewright.streaming import live as L
 
 LINE = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
@@ -112,3 +112,13 @@ def test_cells_and_buckets_are_dealt_to_tasks_that_grow_with_the_table(spark, ma
         assert rounded(got).exceptAll(rounded(want)).count() == 0 and got.count() == want.count() == 360
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
+def test_a_symbol_store_is_read_without_listing_the_other_symbols(spark, market, tmp_path):
+    panel, where = B.panel(spark, market), str(tmp_path / "store")
+    writers.symbol_store(panel, where, tasks=B.tasks(spark, market))
+    got = readers.prices(spark, where, ["S1", "S17"], columns=["close", "volume"])
+    assert {f.split("symbol=")[1].split("/")[0] for f in got.inputFiles()} == {"S1", "S17"} and len(got.inputFiles()) == 2
+    assert sorted(got.collect()) == sorted(panel.where("symbol in ('S1', 'S17')").select("symbol", "date", "close", "volume").collect())
+    with pytest.raises(readers.MissingSymbols, match="S999"):
+        readers.prices(spark, where, ["S1", "S999"])
