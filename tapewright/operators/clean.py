@@ -114,18 +114,27 @@ def require(df: DataFrame, columns: tuple[str, ...] = ("symbol", "date", *OHLCV)
     return df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("double").alias(c) for c in columns])
 
 
-def _first_per_bar(df: DataFrame, arrival: str | None) -> DataFrame:
-    """One row for each (symbol, date): the first by arrival, or else by its values, so that reruns agree."""
+def _first_per_bar(df: DataFrame, arrival: str | None, tasks: int | None = None) -> DataFrame:
+    """One row for each (symbol, date): the first by arrival, or else by its values, so that reruns agree.
+
+    `tasks`: rows are dealt by symbol to so many, and windows over a symbol that come after need no other exchange."""
+    df = df.repartition(tasks, "symbol") if tasks else df
     rest = [F.col(c) for c in df.columns if c not in ("symbol", "date", arrival) and isinstance(df.schema[c].dataType, T.AtomicType)]
     w = W.partitionBy("symbol", "date").orderBy(*([F.col(arrival)] if arrival else []), *rest)
     return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
-def clean_panel(df: DataFrame, arrival: str | None = None) -> DataFrame:
-    """Upper-case trimmed symbol, whole days, numbers or null (NaN is null), a close at least, one row a bar."""
-    out = df.withColumns({"symbol": F.upper(F.trim(F.col("symbol").cast("string"))), "date": S.mixed_date("date")})
+def clean_rows(df: DataFrame) -> DataFrame:
+    """Upper-case trimmed symbol, whole days, numbers or null (NaN is null), a close at least."""
+    date = F.col("date") if isinstance(df.schema["date"].dataType, T.DateType) else S.mixed_date("date")
+    out = df.withColumns({"symbol": F.upper(F.trim(F.col("symbol").cast("string"))), "date": date})
     out = out.withColumns({c: S.drop_nan(F.col(c).try_cast("double")) for c in OHLCV if c in df.columns})
-    return _first_per_bar(out.dropna(subset=["symbol", "date", "close"]), arrival)
+    return out.dropna(subset=["symbol", "date", "close"])
+
+
+def clean_panel(df: DataFrame, arrival: str | None = None, tasks: int | None = None) -> DataFrame:
+    """clean_rows(), one row a bar, dealt by symbol to `tasks` where they are given."""
+    return _first_per_bar(clean_rows(df), arrival, tasks)
 
 
 def clean_loaded(df: DataFrame, arrival: str | None = None) -> DataFrame:

@@ -258,11 +258,14 @@ def scan_day(panel: DataFrame, rules: list[Rule], day, on_error: str = "skip") -
     return scan(panel, rules, day, day, on_error)
 
 
-def scan_range(panel: DataFrame, rules: list[Rule], start, end, on_error: str = "skip") -> DataFrame:
-    """scan(), but a range without a single bar is an error."""
-    if panel.where(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))).limit(1).count() == 0:
+def scan_range(panel: DataFrame, rules: list[Rule], start, end, on_error: str = "skip", carry: tuple[str, ...] = (), dates: DataFrame | None = None) -> DataFrame:
+    """scan(), but a range without a single bar is an error.
+
+    `dates`: a table with the panel's dates that costs less than the panel to make, to look for a bar in."""
+    known = (panel if dates is None else dates).select("date")
+    if not known.where(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))).take(1):  # looks into one task first, isEmpty() into all
         raise RuleError(f"no bars from {start} to {end}")
-    return scan(panel, rules, start, end, on_error)
+    return scan(panel, rules, start, end, on_error, carry)
 
 
 def rule_audit(panel: DataFrame, rules: list[Rule], days: DataFrame) -> DataFrame:

@@ -15,19 +15,22 @@ from ..sources import writers
 from .base import query, r4, settled
 
 
-def run_range(panel: DataFrame, catalog: list[rules.Rule], start: str, end: str, benchmark: DataFrame | None = None, actions: DataFrame | None = None, holidays: DataFrame | None = None, holding: int = 1, cost_pct: float = 0.0, keep: Iterable[str] | None = None, out: str | None = None, policy: str = "replace") -> dict[str, DataFrame]:
+def run_range(panel: DataFrame, catalog: list[rules.Rule], start: str, end: str, benchmark: DataFrame | None = None, actions: DataFrame | None = None, holidays: DataFrame | None = None, holding: int = 1, cost_pct: float = 0.0, keep: Iterable[str] | None = None, out: str | None = None, policy: str = "replace", tasks: int | None = None) -> dict[str, DataFrame]:
     """All tables of a range scan, by name; written under `out` where that is given (signals a day, the others as CSV).
 
-    keep: glob patterns of rule codes. The benchmark has date and close.
+    keep: glob patterns of rule codes. The benchmark has date and close. `tasks`: bars are dealt by symbol to so many. Trades
+    that are held for one bar take their exits from the bars' own windows and join nothing.
     """
-    bars = clean.clean_panel(clean.require(panel))
+    bars = clean.clean_panel(clean.require(panel), tasks=tasks)
     if actions is not None:
         bars = clean.adjust_for_actions(bars, actions)
     chosen, _ = rules.tidy(rules.select_codes(catalog, keep) if keep else catalog)
+    exits = ("entry_close", "exit_date", "exit_close") if holding == 1 else ()
     named = I.add_named(bars, I.demanded(r.predicate for r in chosen if isinstance(r.predicate, str)))
     days = C.trading_days(bars, holidays)
-    signals = rules.scan_range(named, chosen, start, end)
-    made = trades.returns(bars, signals, holding, cost_pct, None if holding == 1 else days)
+    found = rules.scan_range(trades.with_exits(named) if exits else named, chosen, start, end, carry=exits, dates=clean.clean_rows(panel))
+    signals = found.drop(*exits)
+    made = trades.settle_trades(found, cost_pct) if exits else trades.returns(bars, signals, holding, cost_pct, days)
     tables = {"trades": made, "days": summary.trade_days(made), "profile": quality.profile(bars), "issues": quality.row_issues(bars), "missing_days": C.missing_days(bars, days)}
     if benchmark is not None:
         pct = summary.benchmark_returns(benchmark, holding).withColumn("bench_ret", F.col("bench_ret") * 100)
@@ -52,7 +55,7 @@ _JOB = f"""
 def range_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B-6: the whole job over three years; its rule table."""
     catalog = [rules.Rule("UP_DAY", "close > open", "day", "long"), rules.Rule("DOWN_DAY", "close < open", "day", "short"), rules.Rule("SMA_UP", "sma_5 > sma_10", "trend")]
-    tables = run_range(B.panel(spark, sf_dir), catalog, "1997-01-01", "1999-12-31", B.benchmark(spark, sf_dir), cost_pct=0.1, keep=["UP_*", "SMA_*"])
+    tables = run_range(B.panel(spark, sf_dir), catalog, "1997-01-01", "1999-12-31", B.benchmark(spark, sf_dir), cost_pct=0.1, keep=["UP_*", "SMA_*"], tasks=B.tasks(spark, sf_dir))
     return settled(tables["rules"], "mean_ret", "bench_mean_ret", "hit_ratio", "alpha_ret")
 
 

@@ -46,11 +46,15 @@ def panel(spark: SparkSession, sf_dir: str, *by: str, cell: Column | None = None
 
     Line items are dealt out once, by symbol, and make their bars where the windows over a symbol want them. With `cell`, a
     function of the date, they are dealt by symbol and cell, and bars have it as __cell (see operators.series)."""
-    t = ticks(spark, sf_dir).select("symbol", "date", "at", *([cell.alias("__cell")] if cell is not None else []))
+    order = ("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
+    t = ticks(spark, sf_dir).select("symbol", "date", *[F.col("at")[c].alias(c) for c in order], *([cell.alias("__cell")] if cell is not None else []))
     cells = ("__cell",) if cell is not None else ()
     t = t.repartition(tasks(spark, sf_dir), *(by or ("symbol", *cells)))
-    day = t.withColumns({"px": F.col("at.l_extendedprice") / F.col("at.l_quantity"), "l_quantity": F.col("at.l_quantity")}).groupBy("symbol", "date", *cells)
-    return day.agg(F.min_by("px", "at").alias("open"), F.max("px").alias("high"), F.min("px").alias("low"), F.max_by("px", "at").alias("close"), F.sum("l_quantity").alias("volume"))
+    day = t.withColumns({"px": F.col("l_extendedprice") / F.col("l_quantity"), "at": F.struct(*order)}).groupBy("symbol", "date", *cells)
+    # the first and the last line item whole: their prices are in them, and each is compared once
+    made = day.agg(F.min("at").alias("__first"), F.max("px").alias("high"), F.min("px").alias("low"), F.max("at").alias("__last"), F.sum("l_quantity").alias("volume"))
+    price = lambda at: F.col(f"{at}.l_extendedprice") / F.col(f"{at}.l_quantity")
+    return made.select("symbol", "date", *cells, price("__first").alias("open"), "high", "low", price("__last").alias("close"), "volume")
 
 
 def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ from tapewright.functions import scalar as S
 from tapewright.operators import indicators as I
 from tapewright.operators import metrics as M
 from tapewright.operators import quality
-from tapewright.plans import bars, evaluation, stores
+from tapewright.operators import clean, rules, trades
+from tapewright.plans import bars, evaluation, range_job, stores
 from tapewright.sources import bars as B
 from tapewright.sources import readers, writers
 from tapewright.streaming import live as L
@@ -122,3 +123,18 @@ def test_a_symbol_store_is_read_without_listing_the_other_symbols(spark, market,
     assert sorted(got.collect()) == sorted(panel.where("symbol in ('S1', 'S17')").select("symbol", "date", "close", "volume").collect())
     with pytest.raises(readers.MissingSymbols, match="S999"):
         readers.prices(spark, where, ["S1", "S999"])
+
+
+def test_a_range_job_makes_its_bars_once(spark, market, monkeypatch):
+    monkeypatch.setattr(B, "TASK_ROWS", 40)
+    catalog, p = [rules.Rule("UP", "close > open", side="long"), rules.Rule("MEAN", "sma_2 > close", side="short")], B.panel(spark, market)
+    made = range_job.run_range(p, catalog, "2024-01-01", "2024-01-03", B.benchmark(spark, market), cost_pct=0.1, tasks=B.tasks(spark, market))
+    plan = made["trades"]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 1 and "Join" not in plan and plan.count("REPARTITION_BY_NUM") == plan.count("Exchange") == 2
+    assert made["trades"].rdd.getNumPartitions() == 18
+    named = I.add_named(clean.clean_panel(p), ["sma_2"])
+    want = trades.returns(named, rules.scan_range(named, catalog, "2024-01-01", "2024-01-03"), 1, 0.1)
+    assert want.count() > 240 and sorted(made["trades"].collect(), key=str) == sorted(want.collect(), key=str)
+    assert made["rules"].count() == 2
+    with pytest.raises(rules.RuleError, match="no bars"):
+        range_job.run_range(p, catalog, "1990-01-01", "1990-02-01")
