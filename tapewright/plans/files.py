@@ -102,9 +102,9 @@ def numbered_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def per_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K-3, O-2: all trades in a folder a day, sorted by rule and symbol, read back."""
     path = scratch(spark)
-    t = trade_table(spark, sf_dir)
-    writers.per_day(t.select("filter_code", "symbol", "date", "return_pct"), summary.trade_days(t), path)
-    back = spark.read.schema("filter_code string, symbol string, return_pct double, date date").option("header", True).csv(f"{path}/trades")
+    t = trade_table(spark, sf_dir).select("filter_code", "symbol", "date", "return_pct")
+    stats = lambda written: summary.trade_days(written.withColumn("win", F.col("return_pct") > 0))
+    back = writers.per_day(t, stats, path, rows_by_day=B.rows_by_day(spark, sf_dir), tasks=B.tasks(spark, sf_dir))
     return settled(back.select("filter_code", "symbol", "date", "return_pct"), "return_pct")
 
 

@@ -132,7 +132,7 @@ def file_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-1, O-2: within each file, bars by symbol and date, trades of a day by rule and symbol."""
     path = scratch(spark)
     writers.bucketed_store(B.panel(spark, sf_dir), f"bars_{path[-32:].replace('-', '_')}", f"{path}/bars", B.tasks(spark, sf_dir))
-    writers.per_day(trade_table(spark, sf_dir).select("filter_code", "symbol", "date", "return_pct"), signals(spark, sf_dir).groupBy("date").count(), f"{path}/days")
+    writers.per_day(trade_table(spark, sf_dir).select("filter_code", "symbol", "date", "return_pct"), lambda written: written.groupBy("date").count(), f"{path}/days", rows_by_day=B.rows_by_day(spark, sf_dir), tasks=B.tasks(spark, sf_dir))
     bars = spark.read.parquet(f"{path}/bars").select(F.lit("bars").alias("kind"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"), _key("symbol", "date"))
     trades = spark.read.schema("filter_code string, symbol string, return_pct double, date date").option("header", True).csv(f"{path}/days/trades")
     trades = trades.select(F.lit("trades").alias("kind"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), _key("filter_code", "symbol"))

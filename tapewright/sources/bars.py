@@ -41,6 +41,11 @@ def tasks(spark: SparkSession, sf_dir: str, table: str = "lineitem") -> int:
     return max(spark.sparkContext.defaultParallelism, math.ceil(read(spark, sf_dir, table).count() / TASK_ROWS))
 
 
+def rows_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """date, rows: line items of each day, from their dates alone; a day has no more bars than that."""
+    return read(spark, sf_dir, "lineitem").groupBy(F.col("l_shipdate").cast("date").alias("date")).agg(F.count(F.lit(1)).alias("rows"))
+
+
 def panel(spark: SparkSession, sf_dir: str, *by: str, cell: Column | None = None) -> DataFrame:
     """symbol, date, open, high, low, close, volume: one row for each symbol and day, partitioned by symbol (or `by`).
 

@@ -8,6 +8,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
 
 def _dealt(df: DataFrame, *keys: str) -> DataFrame:
     """Rows in ranges of their keys, in as many tasks as a shuffle has: a large day or symbol is shared out to several, small
@@ -15,6 +17,21 @@ def _dealt(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
 
 
+#: Rows of a day that lie in one task and file, at most about.
+DAY_ROWS = 1 << 18
+
+
+def _dealt_by_day(df: DataFrame, rows_by_day: DataFrame, tasks: int | None, *keys: str) -> DataFrame:
+    """Rows by day, a large day in several parts, without the sample of _dealt(), which makes the rows twice.
+
+    rows_by_day: date and rows, about how many rows a day has; a row a day, so it is broadcast."""
+    parts = rows_by_day.select(F.col("date").alias("__day"), F.ceil(F.col("rows") / DAY_ROWS).alias("__parts"))
+    rows = df.join(F.broadcast(parts), F.col("date").eqNullSafe(F.col("__day")), "left")
+    rows = rows.withColumn("__part", F.pmod(F.xxhash64(*keys), F.greatest(F.coalesce("__parts", F.lit(1)), F.lit(1))))
+    number = max(tasks or 1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(number, "date", "__part").sortWithinPartitions("date", *keys).select(*df.columns)
+
+
 def target(path: str, policy: str = "replace", now: dt.datetime | None = None) -> tuple[str, str]:
     """(path, Spark mode) of an overwrite policy: replace, fail or timestamp (a new path)."""
     if policy == "replace":
@@ -46,11 +63,21 @@ def report_tables(tables: dict[str, DataFrame], path: str, policy: str = "replac
     return [f"{where}/{n}" for n in tables]
 
 
-def per_day(trades: DataFrame, stats: DataFrame, path: str, policy: str = "replace") -> None:
-    """Trades in a folder a day, sorted by rule and symbol within its files, and the days' statistics beside them."""
+def per_day(trades: DataFrame, stats: DataFrame | Callable[[DataFrame], DataFrame], path: str, policy: str = "replace", rows_by_day: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
+    """Trades in a folder a day, sorted by rule and symbol within its files, and the days' statistics beside them. Returns
+    the trades as a read of their files.
+
+    `stats` may be a function, which is given that read, so that the trades are made once. `rows_by_day` (see
+    _dealt_by_day) and `tasks` spare the sample that finds ranges of trades, for which they are made as well.
+    """
     where, mode = target(path, policy)
-    _dealt(trades, "date", "filter_code", "symbol").write.mode(mode).partitionBy("date").option("header", True).csv(f"{where}/trades")
-    stats.write.mode(mode).option("header", True).csv(f"{where}/days")
+    keys = ("filter_code", "symbol")
+    rows = _dealt(trades, "date", *keys) if rows_by_day is None else _dealt_by_day(trades, rows_by_day, tasks, *keys)
+    rows.write.mode(mode).partitionBy("date").option("header", True).csv(f"{where}/trades")
+    schema = T.StructType([*[f for f in trades.schema.fields if f.name != "date"], trades.schema["date"]])
+    back = trades.sparkSession.read.schema(schema).option("header", True).csv(f"{where}/trades")
+    (stats(back) if callable(stats) else stats).write.mode(mode).option("header", True).csv(f"{where}/days")
+    return back
 
 
 def documents(tables: dict[str, DataFrame], path: str, policy: str = "replace") -> None:

@@ -138,3 +138,18 @@ def test_a_range_job_makes_its_bars_once(spark, market, monkeypatch):
     assert made["rules"].count() == 2
     with pytest.raises(rules.RuleError, match="no bars"):
         range_job.run_range(p, catalog, "1990-01-01", "1990-02-01")
+
+
+def test_trades_of_a_day_are_made_once_and_large_days_are_cut(spark, market, tmp_path, monkeypatch):
+    monkeypatch.setattr(writers, "DAY_ROWS", 50)
+    t = bars.trade_table(spark, market).select("filter_code", "symbol", "date", "return_pct")
+    made, seen = spark.sparkContext.accumulator(0), []
+    counted = F.udf(lambda x: made.add(1) or x, "string").asNondeterministic()
+    rows = t.withColumn("symbol", counted("symbol"))
+    back = writers.per_day(rows, lambda written: seen.append(written) or written.groupBy("date").count(), str(tmp_path / "w"), rows_by_day=B.rows_by_day(spark, market), tasks=6)
+    assert made.value == back.count() == t.count() and seen == [back]
+    assert sorted(back.select(*t.columns).collect(), key=str) == sorted(t.collect(), key=str)
+    assert all(len(list(day.glob("*.csv"))) > 1 for day in (tmp_path / "w/trades").glob("date=*"))  # 240 line items a day
+    for file in (tmp_path / "w/trades").glob("date=*/*.csv"):
+        lines = [x.split(",")[:2] for x in file.read_text().splitlines()[1:]]
+        assert lines == sorted(lines)
