@@ -153,3 +153,11 @@ def test_trades_of_a_day_are_made_once_and_large_days_are_cut(spark, market, tmp
     for file in (tmp_path / "w/trades").glob("date=*/*.csv"):
         lines = [x.split(",")[:2] for x in file.read_text().splitlines()[1:]]
         assert lines == sorted(lines)
+
+
+def test_a_panel_compares_its_first_and_last_line_items_once(spark, market):
+    p = B.panel(spark, market)
+    assert "min_by" not in (plan := p._jdf.queryExecution().executedPlan().toString()) and "max_by" not in plan
+    day = B.ticks(spark, market).groupBy("symbol", "date")
+    want = day.agg(F.min_by("px", "at"), F.max("px"), F.min("px"), F.max_by("px", "at"), F.sum("l_quantity"))
+    assert p.count() == 360 and sorted(p.collect()) == sorted(want.collect())
