@@ -70,6 +70,18 @@ def test_locale_numbers_and_dates(spark):
     assert [r["d"] for r in rows] == [dt.date(2025, 3, 7)] * 3 + [None]
 
 
+def test_written_dates_do_not_pass_through_a_time_zone(spark):
+    """Apia had no 30th of December 2011, so that its midnight is one of the day after."""
+    texts = ["2011-12-30", " 2011-12-30T10:00 ", "2024-02-30", "2024-13-01", "2024-1-5", "2024", "2024-01-0\n", "05.01.2024"]
+    held = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Pacific/Apia")
+    try:
+        got = [r[0] for r in spark.createDataFrame([(x,) for x in texts], "d string").select(S.mixed_date("d")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", held)
+    assert got == [dt.date(2011, 12, 30)] * 2 + [None] * 5 + [dt.date(2024, 1, 5)]
+
+
 def test_corporate_actions_equal_a_loop(spark):
     p = panel(spark, [10.0, 20.0, 30.0]).unionByName(panel(spark, [8.0, 9.0], "BBB"))
     actions = spark.createDataFrame([("AAA", day(1), 0.5), ("AAA", day(2), 0.5), ("BBB", day(5), 0.1)], "symbol string, date date, factor double")
