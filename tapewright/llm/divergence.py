@@ -179,7 +179,8 @@ def traverse(a: Quadtree, b: Quadtree) -> Iterator[tuple[np.ndarray, np.ndarray,
     each pair of rows is met once, the lower first. Depth first, in pieces of STEP nodes."""
     last = len(a.levels) - 1
     root = np.zeros(1, np.int64)
-    stack = [(0, root, root, root)] if a.levels[0].any() or b.levels[0].any() else []
+    # a tree of one cell has no level at which a row could be told from itself: it holds no pair
+    stack = [(0, root, root, root)] if (a.levels[0].any() or b.levels[0].any()) and not (a is b and last == 0) else []
     ka, kb, kc = (x.ravel() for x in np.meshgrid(*[np.arange(K)] * 3, indexing="ij"))
     while stack:
         level, i, j, c = stack.pop()

@@ -96,6 +96,12 @@ def test_traversal_meets_each_leaf_of_either_once(seed, rows_a, rows_b, cols, de
     assert set(found) == want and set(found.values()) <= {1}
 
 
+def test_a_single_cell_is_no_pair_with_itself():
+    one = V.Quadtree(np.ones((1, 1), bool), V.depth_of(1, 1, 1))
+    assert len(one.levels) == 1 and list(V.traverse(one, one)) == []
+    assert [tuple(x.tolist() for x in found) for found in V.traverse(one, V.Quadtree(np.zeros((1, 1), bool), 0))] == [([0], [0], [0])]
+
+
 def test_empty_quadrants_are_not_entered():
     """Of two sources with terms of their own far apart, the traversal sees little more than their cells."""
     filled = np.zeros((2, 4096), bool)
