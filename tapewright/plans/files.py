@@ -40,10 +40,10 @@ def csv_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 def symbol_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S-4: a file for each symbol, which is named by the path alone."""
     path = scratch(spark)
-    p = B.panel(spark, sf_dir)
-    p.select("date", "close", "volume", F.col("symbol").alias("of")).repartition("of").write.partitionBy("of").option("header", True).csv(path)
-    raw = readers.symbol_files(spark, f"{path}/*", r"/of=([^/]+)/")
-    return raw.select("symbol", S.mixed_date("date").alias("date"), F.col("close").try_cast("double").alias("close"), F.col("volume").try_cast("double").alias("volume"))
+    p = B.panel(spark, sf_dir).select("symbol", "date", "close", "volume")
+    writers.symbol_files(p, path, B.tasks(spark, sf_dir))
+    raw = readers.symbol_files(spark, path, writers.WRITTEN)
+    return raw.select(writers.name_symbol(F.col("symbol")).alias("symbol"), S.mixed_date("date").alias("date"), F.col("close").try_cast("double").alias("close"), F.col("volume").try_cast("double").alias("volume"))
 
 
 @query("s5_holidays", "SELECT DISTINCT date FROM panel WHERE day(date) = 1", ("panel",))

@@ -68,9 +68,18 @@ def _chosen(out: DataFrame, start, end, columns: list[str] | None) -> DataFrame:
     return out.select("symbol", "date", *[c for c in columns if c not in ("symbol", "date")]) if columns else out
 
 
-def symbol_files(spark: SparkSession, folder: str, pattern: str = r"([^/]+)\.csv$") -> DataFrame:
-    """All CSV files of a folder, one for each symbol, whose name is the file's; columns as strings, still to be cleaned."""
-    raw = spark.read.option("header", True).csv(f"{folder.rstrip('/')}/*.csv")
+def symbol_files(spark: SparkSession, folder: str, pattern: str = r"/([^/]+)\.csv$") -> DataFrame:
+    """All CSV files of a folder, one for each symbol, whose name is the file's; columns as strings, still to be cleaned.
+
+    The folder is listed, not each file, and the names of the columns are one file's first line: where Spark looks for them
+    itself, it asks for the status of every file once more."""
+    files = spark.read.option("pathGlobFilter", "*.csv")
+    head = files.text(folder).where(F.trim("value") != "").first()
+    if head is None:
+        raise BadTable(f"no CSV files in {folder}")
+    names = spark.read.option("header", True).csv(spark.sparkContext.parallelize([head["value"]], 1)).columns
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    raw = spark.read.option("pathGlobFilter", "*.csv").schema(schema).option("header", True).csv(folder)
     return raw.withColumn("symbol", F.upper(F.regexp_extract(F.col("_metadata.file_path"), pattern, 1)))
 
 

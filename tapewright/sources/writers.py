@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -103,6 +106,75 @@ def symbol_store(panel: DataFrame, path: str, policy: str = "replace", tasks: in
     rows.write.mode(mode).partitionBy("symbol").parquet(where)
 
 
+#: How readers.symbol_files() finds in a path the name that symbol_files() gave it.
+WRITTEN = r"/symbol=([^/]*?)(?:\.csv|/[^/]+)$"
+
+
+def symbol_name(symbol: Column) -> Column:
+    """A symbol, null too, as part of a file's name: what is no letter, digit or one of .-_+ is ~ and its code."""
+    return F.coalesce(F.translate(F.replace(F.url_encode(symbol), F.lit("*"), F.lit("%2A")), "%", "~"), F.lit("~00"))
+
+
+def name_symbol(name: Column) -> Column:
+    """The symbol that symbol_name() made a name of."""
+    return F.nullif(F.url_decode(F.translate(name, "~", "%")), F.lit("\0"))
+
+
+def symbol_files(rows: DataFrame, path: str, tasks: int | None = None) -> None:
+    """A CSV with a header for each symbol, in order of date, which only its path names (readers.symbol_files, WRITTEN), in
+    a folder that is not there yet.
+
+    `tasks`: see symbol_store(). On a file: path tasks write `symbol=S.csv` themselves, each file under a hidden name until
+    it is whole: Hadoop's local file system starts processes of its own for the permissions of each file made or listed,
+    which takes longer than the file. Elsewhere it is a folder a symbol, by Spark's writer.
+    """
+    spark = rows.sparkSession
+    rows = rows.repartition(*filter(None, [tasks]), "symbol")
+    named = rows.withColumn("__name", symbol_name(F.col("symbol")))
+    columns = [c for c in rows.columns if c != "symbol"]
+    folder = _local(spark, path)
+    if folder is None:
+        named = named.sortWithinPartitions("__name", "date").select(*columns, F.col("__name").alias("symbol"))
+        named.write.partitionBy("symbol").option("header", True).csv(path)
+        return
+    os.makedirs(folder)
+    lines = named.sortWithinPartitions("__name", "date").select("__name", F.concat(F.to_csv(F.struct(*columns)), F.lit("\n")).alias("line"))
+    header = spark.range(1).select(F.to_csv(F.struct(*[F.lit(c) for c in columns]))).first()[0]
+    lines.mapInArrow(_file_a_name(folder, f"{header}\n"), "files long").agg(F.sum("files")).collect()
+    open(f"{folder}/_SUCCESS", "w").close()
+
+
+def _file_a_name(folder: str, header: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Writes the lines of sorted names to a file each; a file that is there, by a task that was lost, is replaced whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, name, out = 0, None, None
+
+        def done() -> int:
+            if out is None:
+                return 0
+            out.close()
+            os.replace(out.name, f"{folder}/symbol={name}.csv")
+            return 1
+
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            runs = pc.run_end_encode(batch.column("__name"))
+            ends = pa.concat_arrays([pa.array([0], pa.int32()), runs.run_ends])
+            texts = pc.binary_join(pa.ListArray.from_arrays(ends, batch.column("line").cast(pa.string())), "")
+            for here, text in zip(runs.values.to_pylist(), texts, strict=True):
+                if here != name:
+                    files += done()
+                    name, out = here, open(f"{folder}/.{uuid.uuid4().hex}", "wb")
+                    out.write(header.encode())
+                out.write(text.as_buffer())
+        files += done()
+        yield pa.RecordBatch.from_pydict({"files": pa.array([files], pa.int64())})
+
+    return run
+
+
 def bucketed_store(panel: DataFrame, name: str, path: str, buckets: int, policy: str = "replace") -> DataFrame:
     """Bars as the table `name` at `path`, in `buckets` by symbol and sorted by symbol and date, all numbers doubles.
 
@@ -120,6 +192,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where)
 
 
+def _local(spark: SparkSession, path: str) -> str | None:
+    """The path on the local file system, if that is where it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(where).toUri()
+    return at.getPath() if at.getScheme() == "file" else None
+
+
 def _store(rows: DataFrame) -> DataFrameWriter:
     """Rows by month and, within a month, by ranges of symbols: about as many files as months and tasks, whose statistics
     let a reader of few symbols skip the others; AQE sets the number of tasks by bytes."""

@@ -12,7 +12,7 @@ from tapewright.operators import indicators as I
 from tapewright.operators import metrics as M
 from tapewright.operators import quality
 from tapewright.operators import clean, rules, trades
-from tapewright.plans import bars, evaluation, range_job, stores
+from tapewright.plans import bars, evaluation, files, range_job, stores
 from tapewright.sources import bars as B
 from tapewright.sources import readers, writers
 from tapewright.streaming import live as L
@@ -161,3 +161,54 @@ def test_a_panel_compares_its_first_and_last_line_items_once(spark, market):
     day = B.ticks(spark, market).groupBy("symbol", "date")
     want = day.agg(F.min_by("px", "at"), F.max("px"), F.min("px"), F.max_by("px", "at"), F.sum("l_quantity"))
     assert p.count() == 360 and sorted(p.collect()) == sorted(want.collect())
+
+
+def test_symbol_files_lie_in_one_folder_that_is_listed_once(spark, market):
+    sc = spark.sparkContext
+    sc.setJobGroup("s4", "symbol files")
+    try:
+        got = files.symbol_files(spark, market)
+        stages = [st for j in sc.statusTracker().getJobIdsForGroup("s4") for st in sc.statusTracker().getJobInfo(j).stageIds]
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    named = got.inputFiles()
+    assert len(named) == 120 and len({f.rsplit("/", 1)[0] for f in named}) == 1
+    # no task for each file or folder
+    assert stages and max(i.numTasks for i in map(sc.statusTracker().getStageInfo, stages) if i) < 20
+    assert sorted(got.collect()) == sorted(B.panel(spark, market).select("symbol", "date", "close", "volume").collect())
+
+
+@pytest.mark.parametrize("local", [True, False])
+def test_symbol_files_keep_any_symbol_and_value(spark, tmp_path, monkeypatch, local):
+    if not local:
+        monkeypatch.setattr(writers, "_local", lambda spark, path: None)
+    symbols = [None, "A", "A.CSV", "A/B", "_X", ".Y", "A+B C", "%41", "~41", "*?[{", "Ü", "=", "SYMBOL=A"]
+    odd = ["1", None, 'a "b", c', "x\\y", "z z"]
+    rows = spark.createDataFrame([(s, dt.date(2024, 1, 1 + i), 0.1 * i if i else None, v) for s in symbols for i, v in enumerate(odd)], "symbol string, date date, close double, note string")
+    where = str(tmp_path / "s")
+    writers.symbol_files(rows.repartition(3), where, 2)
+    raw = readers.symbol_files(spark, where, writers.WRITTEN)
+    back = raw.select(writers.name_symbol(F.col("symbol")).alias("symbol"), F.col("date").cast("date").alias("date"), F.col("close").cast("double").alias("close"), "note")
+    assert len(back.inputFiles()) == len(symbols) and sorted(back.collect(), key=str) == sorted(rows.collect(), key=str)
+
+
+def test_symbol_files_larger_than_a_batch_are_whole(spark, tmp_path):
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        rows = spark.range(300).select(F.concat(F.lit("S"), F.col("id") % 5).alias("symbol"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") / 5).cast("int")).alias("date"), "id")
+        writers.symbol_files(rows, f"file://{tmp_path}/s", 3)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    assert sorted(p.name for p in (tmp_path / "s").iterdir()) == ["_SUCCESS", *[f"symbol=S{i}.csv" for i in range(5)]]
+    for i in range(5):
+        lines = (tmp_path / f"s/symbol=S{i}.csv").read_text().splitlines()
+        assert lines[0] == "date,id" and [int(x.split(",")[1]) for x in lines[1:]] == list(range(i, 300, 5))
+    with pytest.raises(FileExistsError):
+        writers.symbol_files(rows, str(tmp_path / "s"))
+
+
+def test_a_folder_without_symbol_files_is_an_error(spark, tmp_path):
+    (tmp_path / "other.txt").write_text("date,close\n")
+    with pytest.raises(readers.BadTable, match="no CSV files"):
+        readers.symbol_files(spark, str(tmp_path))
